@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html import op4_html
+from .jaccard import op10_jaccard
 from .langid import op5_language_id
 from .media import op9_media
 from .packing import op7_packing
+from .pii import op3_pii
 from .quality import op6_quality
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_pii": op3_pii,
     "op4_html": op4_html,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op9_media": op9_media,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
