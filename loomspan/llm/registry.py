@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html import op4_html
 from .jaccard import op10_jaccard
 from .langid import op5_language_id
+from .lm import op8_lm
 from .media import op9_media
 from .packing import op7_packing
 from .pii import op3_pii
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_lm": op8_lm,
     "op9_media": op9_media,
     "op10_jaccard": op10_jaccard,
 }
