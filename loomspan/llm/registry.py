@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_decontamination
 from .html import op4_html
 from .jaccard import op10_jaccard
 from .langid import op5_language_id
@@ -16,8 +17,17 @@ from .pii import op3_pii
 from .quality import op6_quality
 from .toxicity import op1_toxicity
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_html": op4_html,
     "op5_language_id": op5_language_id,
@@ -26,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_media": op9_media,
     "op10_jaccard": op10_jaccard,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

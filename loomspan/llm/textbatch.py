@@ -78,6 +78,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 lower-cased."""
+    out = LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    out[capital] += 32
+    return out
+
+
 class Prefix:
     """Hashes of any stretch of a chunk's bytes in constant time."""
 

@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression over sparse hashed text features.
 
-Features are the words of a text (runs of letters, A-Z folded) and their first 3 to 7
+Features are the words of a text (runs of letters, capitals folded) and their first 3 to 7
 bytes, hashed to a fixed number of buckets, each worth log2(1 + count). One sparse
 weight vector is shared by all thresholds: P(grade <= j) = sigmoid(t_j - w.x), with
 t_1 < t_2 < t_3. The result is the expected grade, 0 (clean) to 3.
@@ -38,7 +38,7 @@ L1 = 1.5e-3
 
 def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets and rows of the words, then of their prefixes of each length."""
-    folded = tb.LOWER[data]
+    folded = tb.fold(data)
     starts, ends, row = tb.runs(tb.LETTER[data].astype(np.uint8), bounds)
     if not len(starts):
         return
