@@ -12,15 +12,18 @@ class, and everything below works on one member of each.
   enough to link with a heavy one are in the lists too.
 - The boundary is where enumeration plus scanning costs least, from the sizes counted.
 
-Rarity is that of a shingle's rarest word, by a table of word counts with a fixed number
-of buckets, over the whole corpus; the order needs only to be the same for all sets.
+Rarity is that of a shingle's rarest word, then that of all its words together, by a
+table of word counts with a fixed number of buckets, over the whole corpus; the order
+needs only to be the same for all sets.
 
 Links are wanted as components. In each list (of a subset or a shingle), every set is
-first compared with its neighbour by size and with the list's first set of about its
-size: a group of thousands of near copies costs as many comparisons, not their square.
-After these links' components, lists that still hold several components are compared
-across components in full, so no link between different texts is lost. Candidates are
-compared by their whole sets.
+first compared with one other, in an order of the list's own, and with the list's first
+set of about its size: a group of thousands of near copies costs as many comparisons as
+it has list entries, not their square. After these links' components, lists that still
+hold several components are compared across components, first by a few draws and then in
+full, so no link between different texts is lost; sets with too many shingles that no other set there has are left
+out before, as they can't link with any. Candidates must share enough first shingles,
+and are then compared by their whole sets.
 
 Defined results: null texts, and those without words, have the empty set and are their
 own component; fewer than k words are one shingle, the whole sequence. Rows of one id
@@ -36,17 +39,22 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .common import settle, table
 
-WORD_BITS = 17
+WORD_BITS = 22
 #: Sizes that may count as light; their sets are kept whole for enumeration.
 MOST_LIGHT = 32
 BITMAP_BITS = 24
+#: Rounds in which sets of different components are drawn from each list, before all are compared.
+DRAWS = 2
+#: Components of so many sets are compared in blocks of about SIDE sets.
+LARGE, SIDE = 64, 256
 _RANK = tb.U64(56)
 
 
@@ -69,19 +77,20 @@ def word_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int, ranks: np.ndarray) -> Iterator[np.ndarray]:
-    """Each text's distinct shingles, from rare to frequent: the rank in the upper byte, 56 bits of hash below."""
+    """Each text's distinct shingles, from rare to frequent: the rarest word's rank in the upper byte, the mean rank in the next, 48 bits of hash below."""
     h, row = tb.words(data, bounds)
     n = len(bounds) - 1
     at = tb.row_starts(row, n)
     rarity = ranks[(h >> tb.U64(64 - WORD_BITS)).astype(np.int64)]
     count = max(0, len(h) - k + 1)
-    acc, low = np.zeros(count, tb.U64), np.full(count, 255, np.uint8)
+    acc, low, mean = np.zeros(count, tb.U64), np.full(count, 255, np.uint8), np.zeros(count, tb.U64)
     factor = tb.U64(1)
     for j in range(k):
         acc += h[j : j + count] * factor
         np.minimum(low, rarity[j : j + count], out=low)
+        mean += rarity[j : j + count]
         factor = tb.U64((int(factor) * 0xD6E8FEB86659FD93) & (2**64 - 1))
-    ids = (low.astype(tb.U64) << _RANK) | (tb.mix(acc) >> tb.U64(8))
+    ids = (low.astype(tb.U64) << _RANK) | (mean // tb.U64(k) << tb.U64(48)) | (tb.mix(acc) >> tb.U64(16))
     for i in range(n):
         a, b = at[i], at[i + 1]
         if b - a >= k:
@@ -92,7 +101,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int, ranks: np.ndarray
                 for x in h[a:b]:
                     part += x * factor
                     factor *= tb.U64(0xD6E8FEB86659FD93)
-            yield (tb.U64(int(rarity[a:b].min())) << _RANK) | (tb.mix(np.array([part ^ tb.U64(0xABCDEF)])) >> tb.U64(8))
+            yield (tb.U64(int(rarity[a:b].min())) << _RANK) | (tb.mix(np.array([part ^ tb.U64(0xABCDEF)])) >> tb.U64(16))
         else:
             yield np.zeros(0, tb.U64)
 
@@ -202,8 +211,8 @@ def _may_link(n: str, pos: str, m: str, at: str, num: int, den: int):
 
 
 def candidate_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b), a < b: each set with its neighbour by size in each list, and with the first of its size class there."""
-    by_key = Window.partitionBy("key").orderBy("n", "cls")
+    """Distinct (a, b), a < b: each set with its neighbour in each list, in an order of the list's own, and with the first of its size class there."""
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key"), "cls")
     by_size = Window.partitionBy("key", "band").orderBy("n", "cls")
     near = entries.withColumn("before", F.lag(F.struct("cls", "n", "pos")).over(by_key)).withColumn("first", F.first(F.struct("cls", "n", "pos")).over(by_size))
     pairs = near.select("cls", "n", "pos", F.explode(F.array("before", "first")).alias("o")).where(F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls")))
@@ -211,10 +220,29 @@ def candidate_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(_may_link("n", "pos", "on", "op", num, den)).select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """The pairs whose whole sets link. Sets are made again from the texts of classes that a bitmap of fixed size has, once in a task."""
+def _up(x: Column, y: int) -> Column:
+    """x / y of whole numbers, rounded up."""
+    return F.floor((x + (y - 1)) / F.lit(float(y)) + 1e-9)
+
+
+def _least_shared(n: Column, m: Column, num: int, den: int) -> Column:
+    """First shingles that two sets of sizes n and m share at least if they link: what lies behind either's first shingles is too little otherwise."""
+    n, m = n.cast("long"), m.cast("long")
+    return _up((n + m) * num, num + den) - F.greatest(_up(n * num, den), _up(m * num, den)) + 1
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs whose first shingles are enough for a link; light pairs are all."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    own = settle(classes.join(wanted, "cls", "left_semi").select("cls", "n", "prefix").dropDuplicates(["cls"]))
+    left, right = (own.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= _least_shared(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, k: int, text: str = "text") -> DataFrame:
+    """(c, ids) of each wanted class, made again from the texts; a bitmap of fixed size tells which texts to look at, and a task sends a class once."""
     slot = F.shiftrightunsigned("c", 64 - BITMAP_BITS).cast("int")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     width = 1 << 12
     words = wanted.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / width).cast("int").alias("block")).agg(F.collect_list("slot").alias("slots")).toArrow()
     bits = np.zeros(1 << BITMAP_BITS, bool)
@@ -239,7 +267,11 @@ def linked(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, k: int, num: in
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(whole, pa.list_(pa.int64()))], names=["c", "ids"])
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "c long, ids array<long>")
-    found = settle(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
+    return settle(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
+
+
+def linked(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets link."""
     both = pairs.join(found.select(F.col("c").alias("a"), F.col("ids").alias("left")), "a").join(found.select(F.col("c").alias("b"), F.col("ids").alias("right")), "b")
     shared_size = F.size(F.array_intersect("left", "right")).cast("long")
     union = F.size("left") + F.size("right") - shared_size
@@ -261,17 +293,93 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _across(entries: DataFrame, roots: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a list and may link, without those tested."""
+def mixed_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the lists that still hold several components, with their root."""
     rooted = entries.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rooted = settle(rooted.join(mixed, "key", "left_semi").select("key", "cls", "n", "pos", "root"))
-    groups = rooted.select("key", "root").distinct()
+    return rooted.join(mixed, "key", "left_semi").select("key", *(c for c in entries.columns if c != "key"), "root")
+
+
+def able_entries(rooted: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of sets that may still link here, with ``most``: a bound of their overlap with any other.
+
+    That is their shingles that at least one of the other sets has. A near copy whose own
+    edits are too many is out by it, whatever its number of partners.
+    """
+    alone = found.select("c", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.min("c").alias("cls")).where("sets = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
+    most = (F.col("n") - F.coalesce("alone", F.lit(0))).cast("long")
+    return settle(rooted.join(alone, "cls", "left").withColumn("most", most).where(F.col("most") * den >= F.col("n").cast("long") * num).drop("alone"))
+
+
+def _enough(n: str, most: str, m: str, other: str, num: int, den: int) -> Column:
+    return F.least(most, other) * (num + den) >= (F.col(n).cast("long") + F.col(m)) * num
+
+
+def drawn_pairs(able: DataFrame, turn: int, num: int, den: int, partners: int = 3) -> DataFrame:
+    """Pairs of different components: each set with the next few in each list, in an order of the list's and the turn's own."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key", F.lit(turn)), "cls")
+    near = able.withColumn("o", F.array(*(F.lag(F.struct("cls", "n", "pos", "most", "root"), k).over(order) for k in range(1, partners + 1))))
+    pairs = near.select("cls", "n", "pos", "most", "root", F.explode("o").alias("o")).where(F.col("o.root") != F.col("root"))
+    pairs = pairs.select("cls", "n", "pos", "most", F.col("o.cls").alias("oc"), F.col("o.n").alias("on"), F.col("o.pos").alias("op"), F.col("o.most").alias("om"))
+    pairs = pairs.where(_may_link("n", "pos", "on", "op", num, den) & _enough("n", "most", "on", "om", num, den))
+    return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
+
+
+def large_roots(able: DataFrame) -> DataFrame:
+    """(root, size) of the components with LARGE sets or more here."""
+    return able.select("root", "cls").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+
+
+def against_large(able: DataFrame, large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of sets with large components that they share a list with, one for a set and block of members.
+
+    Members and outer sets are dealt into blocks, and each pair of blocks is compared in
+    one task, so no row is made for a pair; members are linked already, so one link is
+    as good as all.
+    """
+    sized = able.join(large.select("root", F.col("size").alias("own")), "root", "left")
+    groups = able.join(large, "root").select("key", F.col("root").alias("other"), "size").distinct()
+    smaller = F.struct(F.coalesce("own", F.lit(0)).alias("s"), F.col("root").alias("r")) < F.struct(F.col("size").alias("s"), F.col("other").alias("r"))
+    outer = settle(sized.select("key", "cls", "root", "own").join(groups, "key").where((F.col("root") != F.col("other")) & smaller).select("cls", "other", "size").distinct())
+    many = outer.groupBy("other", "size").agg(F.count(F.lit(1)).alias("outer"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(SIDE))).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("cls"), blocks(n)).cast("int")
+    members = able.select(F.col("root").alias("other"), "cls").distinct().join(many, "other")
+    left = members.select("other", "cls", deal("size").alias("i"), spread("outer").alias("j"), F.lit(True).alias("member"))
+    right = outer.drop("size").join(many, "other").select("other", "cls", spread("size").alias("i"), deal("outer").alias("j"), F.lit(False).alias("member"))
+    dealt = left.unionByName(right).join(found.select(F.col("c").alias("cls"), "ids"), "cls")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        inner, others = frame[frame["member"]], frame[~frame["member"]]
+        out: list[tuple[int, int]] = []
+        if len(inner) and len(others):
+            size = inner["ids"].str.len().to_numpy()
+            ids, place = np.unique(np.concatenate(inner["ids"].to_list()), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(size)[:-1]])
+            for cls, own in zip(others["cls"], others["ids"], strict=True):
+                k = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                mark = np.zeros(len(ids), np.int64)
+                mark[k[ids[k] == own]] = 1
+                shared = np.add.reduceat(mark[place], at)
+                hit = np.flatnonzero(shared * den >= (size + len(own) - shared) * num)
+                if len(hit):
+                    other = int(inner["cls"].iloc[hit[0]])
+                    out.append((min(cls, other), max(cls, other)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.groupBy("other", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def across(able: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of different components that share a list and may link, but for those with a large component."""
+    able = able.join(large.select("root"), "root", "left_anti")
+    groups = able.select("key", "root").distinct()
     meets = groups.join(groups.withColumnRenamed("root", "other"), "key").where("root < other")
-    left = meets.join(rooted, ["key", "root"])
-    right = rooted.select("key", F.col("root").alias("other"), F.col("cls").alias("oc"), F.col("n").alias("on"), F.col("pos").alias("op"))
-    pairs = left.join(right, ["key", "other"]).where(_may_link("n", "pos", "on", "op", num, den))
-    return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    left = meets.join(able, ["key", "root"])
+    right = able.select("key", F.col("root").alias("other"), F.col("cls").alias("oc"), F.col("n").alias("on"), F.col("pos").alias("op"), F.col("most").alias("om"))
+    pairs = left.join(right, ["key", "other"]).where(_may_link("n", "pos", "on", "op", num, den) & _enough("n", "most", "on", "om", num, den))
+    return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,13 +395,29 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
     of_key = Window.partitionBy("key")
     entries = settle(entries.withColumn("many", F.min("cls").over(of_key) != F.max("cls").over(of_key)).where("many").drop("many"))
     pairs = settle(candidate_pairs(entries, num, den))
-    edges = settle(linked(narrow, pairs, ranks, k, num, den))
+    likely = settle(plausible(pairs, classes, num, den))
+    found = whole_sets(narrow, likely.select(F.explode(F.array("a", "b")).alias("c")).distinct(), ranks, k)
+    edges = settle(linked(likely, found, num, den))
     roots = components(edges)
-    more = settle(_across(entries.drop("band"), roots, pairs, num, den))
-    if more.limit(1).count():
-        late = settle(linked(narrow, more, ranks, k, num, den))
-        if late.limit(1).count():
-            roots = components(edges.unionByName(late))
+    rooted = settle(mixed_lists(entries.drop("band"), roots))
+    if rooted.limit(1).count():
+        found = whole_sets(narrow, rooted.select(F.col("cls").alias("c")).distinct(), ranks, k)
+        able = able_entries(rooted, found, num, den)
+        tested = pairs
+        # components mostly meet within a few draws; what is left is compared in full
+        for turn in range(DRAWS + 2):
+            if turn == DRAWS:
+                large = settle(large_roots(able))
+                late = settle(against_large(able, large, found, num, den))
+            else:
+                some = drawn_pairs(able, turn, num, den) if turn < DRAWS else across(able, large, num, den)
+                some = settle(some.join(tested, ["a", "b"], "left_anti"))
+                late = settle(linked(plausible(some, classes, num, den), found, num, den))
+                tested = settle(tested.unionByName(some))
+            if late.limit(1).count():
+                edges = settle(edges.unionByName(late))
+                roots = components(edges)
+                able = settle(mixed_lists(able.drop("root"), roots)) if turn < DRAWS else able
     member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
