@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .common import settle, table
 
-WORD_BITS = 22
+WORD_BITS = 20
 #: Sizes that may count as light; their sets are kept whole for enumeration.
 MOST_LIGHT = 32
 BITMAP_BITS = 24
@@ -70,9 +70,10 @@ def word_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = sums.select("bucket", F.least(F.rint(8 * F.log2(F.col("n") + 1)), F.lit(255.0)).cast("short").alias("rank")).toArrow()  # at most 2 ** WORD_BITS rows
     out = np.zeros(1 << WORD_BITS, np.uint8)
-    out[sums["bucket"].to_numpy(np.int64)] = np.minimum(255, np.rint(8 * np.log2(1 + sums["n"].to_numpy(np.float64))))
+    out[found.column("bucket").to_numpy()] = found.column("rank").to_numpy()
     return out
 
 
