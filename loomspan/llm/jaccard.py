@@ -21,9 +21,9 @@ first compared with one other, in an order of the list's own, and with the list'
 set of about its size: a group of thousands of near copies costs as many comparisons as
 it has list entries, not their square. After these links' components, lists that still
 hold several components are compared across components, first by a few draws and then in
-full, so no link between different texts is lost; sets with too many shingles that no other set there has are left
-out before, as they can't link with any. Candidates must share enough first shingles,
-and are then compared by their whole sets.
+full, so no link between different texts is lost; pairs of which the set that is first in
+the order of shingles has too many that no list shares can't link and are never made.
+Candidates must share enough first shingles, and are then compared by their whole sets.
 
 Defined results: null texts, and those without words, have the empty set and are their
 own component; fewer than k words are one shingle, the whole sequence. Rows of one id
@@ -52,7 +52,7 @@ WORD_BITS = 20
 MOST_LIGHT = 32
 BITMAP_BITS = 24
 #: Rounds in which sets of different components are drawn from each list, before all are compared.
-DRAWS = 2
+DRAWS = 1
 #: Components of so many sets are compared in blocks of about SIDE sets.
 LARGE, SIDE = 64, 256
 _RANK = tb.U64(56)
@@ -294,36 +294,54 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def mixed_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries of the lists that still hold several components, with their root."""
-    rooted = entries.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return rooted.join(mixed, "key", "left_semi").select("key", *(c for c in entries.columns if c != "key"), "root")
+def rooted_entries(entries: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries with their component's ``root``, ``edge`` (the last of the set's first shingles, in the order of sets) and ``most``.
 
+    A set's first shingles that no other set has among its own leave ``most`` of the set.
+    Of two sets, the one of the lesser edge has no first shingle behind the other's edge,
+    so its ``most`` bounds the overlap of the two.
+    """
+    own = entries.where("pos >= 0").groupBy("cls").agg(F.count(F.lit(1)).alias("kept"))
+    edges = classes.select("cls", F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("edge"))
+    info = edges.join(own, "cls", "left")
+    n = F.col("n").cast("long")
+    first = n - _up(n * num, den) + 1
+    most = F.when(F.col("pos") >= 0, n - first + F.coalesce("kept", F.lit(0))).otherwise(n).cast("long")
+    return entries.join(info, "cls").withColumn("most", most).drop("kept").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
-def able_entries(rooted: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries of sets that may still link here, with ``most``: a bound of their overlap with any other.
 
-    That is their shingles that at least one of the other sets has. A near copy whose own
-    edits are too many is out by it, whatever its number of partners.
-    """
-    alone = found.select("c", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.min("c").alias("cls")).where("sets = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
-    most = (F.col("n") - F.coalesce("alone", F.lit(0))).cast("long")
-    return settle(rooted.join(alone, "cls", "left").withColumn("most", most).where(F.col("most") * den >= F.col("n").cast("long") * num).drop("alone"))
+def mixed_lists(rooted: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the lists that still hold several components and a set that may be the one of the lesser edge in a link there (``alive``)."""
+    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
+    n = F.col("n").cast("long")
+    partner = F.greatest(F.col("least").cast("long"), _up(n * num, den))
+    alive = (F.col("pos") < 0) | (F.col("most") * (num + den) >= (n + partner) * num)
+    able = rooted.join(keys, "key").withColumn("alive", alive).drop("least")
+    some = able.groupBy("key").agg(F.max("alive").alias("some")).where("some").select("key")
+    return able.join(some, "key", "left_semi")
+
+
+def _enough(most: str, edge: str, n: str, other: str, far: str, m: str, pos: str, num: int, den: int) -> Column:
+    """The bound of the set of the lesser edge reaches the overlap that a link needs."""
+    bound = F.when(F.col(edge) <= F.col(far), F.col(most)).otherwise(F.col(other))
+    return (F.col(pos) < 0) | (bound * (num + den) >= (F.col(n).cast("long") + F.col(m)) * num)
+
 
+_OTHER = {"cls": "oc", "n": "on", "pos": "op", "most": "om", "edge": "oe", "root": "oroot", "alive": "oalive"}
 
-def _enough(n: str, most: str, m: str, other: str, num: int, den: int) -> Column:
-    return F.least(most, other) * (num + den) >= (F.col(n).cast("long") + F.col(m)) * num
+
+def _worth(num: int, den: int) -> Column:
+    """A pair of entries (own columns and those of _OTHER) of different components that may link."""
+    apart = (F.col("root") != F.col("oroot")) & (F.col("alive") | F.col("oalive"))
+    return apart & _may_link("n", "pos", "on", "op", num, den) & _enough("most", "edge", "n", "om", "oe", "on", "pos", num, den)
 
 
 def drawn_pairs(able: DataFrame, turn: int, num: int, den: int, partners: int = 3) -> DataFrame:
     """Pairs of different components: each set with the next few in each list, in an order of the list's and the turn's own."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key", F.lit(turn)), "cls")
-    near = able.withColumn("o", F.array(*(F.lag(F.struct("cls", "n", "pos", "most", "root"), k).over(order) for k in range(1, partners + 1))))
-    pairs = near.select("cls", "n", "pos", "most", "root", F.explode("o").alias("o")).where(F.col("o.root") != F.col("root"))
-    pairs = pairs.select("cls", "n", "pos", "most", F.col("o.cls").alias("oc"), F.col("o.n").alias("on"), F.col("o.pos").alias("op"), F.col("o.most").alias("om"))
-    pairs = pairs.where(_may_link("n", "pos", "on", "op", num, den) & _enough("n", "most", "on", "om", num, den))
-    return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
+    near = able.withColumn("o", F.array(*(F.lag(F.struct(*_OTHER), k).over(order) for k in range(1, partners + 1))))
+    pairs = near.select(*_OTHER, F.explode("o").alias("o")).where(F.col("o").isNotNull()).select(*_OTHER, *(F.col(f"o.{x}").alias(y) for x, y in _OTHER.items()))
+    return pairs.where(_worth(num, den)).select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
 
 
 def large_roots(able: DataFrame) -> DataFrame:
@@ -375,11 +393,10 @@ def against_large(able: DataFrame, large: DataFrame, found: DataFrame, num: int,
 def across(able: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of different components that share a list and may link, but for those with a large component."""
     able = able.join(large.select("root"), "root", "left_anti")
-    groups = able.select("key", "root").distinct()
-    meets = groups.join(groups.withColumnRenamed("root", "other"), "key").where("root < other")
-    left = meets.join(able, ["key", "root"])
-    right = able.select("key", F.col("root").alias("other"), F.col("cls").alias("oc"), F.col("n").alias("on"), F.col("pos").alias("op"), F.col("most").alias("om"))
-    pairs = left.join(right, ["key", "other"]).where(_may_link("n", "pos", "on", "op", num, den) & _enough("n", "most", "on", "om", num, den))
+    other = able.select("key", *(F.col(x).alias(y) for x, y in _OTHER.items()))
+    # one of a pair is alive; where both are, the pair comes once
+    once = ~F.col("oalive") | (F.col("cls") < F.col("oc"))
+    pairs = able.where("alive").join(other, (able["key"] == other["key"]) & _worth(num, den) & once)
     return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
 
 
@@ -389,36 +406,44 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
     ranks = word_ranks(narrow)
     every = settle(sets(narrow, ranks, k, num, den))
     # the members of a class have equal columns, so any one stands for it
-    classes = every.where("n > 0").dropDuplicates(["cls"])
+    classes = settle(every.where("n > 0").drop("doc_id").dropDuplicates(["cls"]))
     sizes = {r["n"]: (r["sets"], r["cost"]) for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("cost").alias("cost")).collect()}
     boundary = choose_boundary(sizes, num, den)
     entries = lists(classes, boundary, num, den).withColumn("band", F.floor(F.log("n") / float(np.log(den / num)) if num < den else F.col("n").cast("double")))
     of_key = Window.partitionBy("key")
     entries = settle(entries.withColumn("many", F.min("cls").over(of_key) != F.max("cls").over(of_key)).where("many").drop("many"))
-    pairs = settle(candidate_pairs(entries, num, den))
-    likely = settle(plausible(pairs, classes, num, den))
-    found = whole_sets(narrow, likely.select(F.explode(F.array("a", "b")).alias("c")).distinct(), ranks, k)
-    edges = settle(linked(likely, found, num, den))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        likely = settle(plausible(pairs, classes, num, den))
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        return settle(linked(likely, whole_sets(narrow, wanted, ranks, k), num, den))
+
+    tested = settle(candidate_pairs(entries, num, den))
+    edges = links(tested)
     roots = components(edges)
-    rooted = settle(mixed_lists(entries.drop("band"), roots))
-    if rooted.limit(1).count():
-        found = whole_sets(narrow, rooted.select(F.col("cls").alias("c")).distinct(), ranks, k)
-        able = able_entries(rooted, found, num, den)
-        tested = pairs
-        # components mostly meet within a few draws; what is left is compared in full
-        for turn in range(DRAWS + 2):
-            if turn == DRAWS:
-                large = settle(large_roots(able))
-                late = settle(against_large(able, large, found, num, den))
-            else:
-                some = drawn_pairs(able, turn, num, den) if turn < DRAWS else across(able, large, num, den)
-                some = settle(some.join(tested, ["a", "b"], "left_anti"))
-                late = settle(linked(plausible(some, classes, num, den), found, num, den))
-                tested = settle(tested.unionByName(some))
-            if late.limit(1).count():
-                edges = settle(edges.unionByName(late))
-                roots = components(edges)
-                able = settle(mixed_lists(able.drop("root"), roots)) if turn < DRAWS else able
+    rooted = settle(rooted_entries(entries.drop("band"), classes, roots, num, den))
+    # components mostly meet within a few draws; what is left is compared in full
+    for turn in range(DRAWS + 2):
+        if turn <= DRAWS:
+            able = settle(mixed_lists(rooted.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), num, den))
+            if not able.limit(1).count():
+                break
+        if turn == DRAWS:
+            large = settle(large_roots(able))
+            if not large.limit(1).count():
+                continue
+            shared = able.join(large, "root", "left_semi").select("key").distinct()
+            wanted = able.join(shared, "key", "left_semi").select(F.col("cls").alias("c")).distinct()
+            late = settle(against_large(able, large, whole_sets(narrow, wanted, ranks, k), num, den))
+        else:
+            some = settle((drawn_pairs(able, turn, num, den) if turn < DRAWS else across(able, large, num, den)).join(tested, ["a", "b"], "left_anti"))
+            if not some.limit(1).count():
+                continue
+            late = links(some)
+            tested = tested.unionByName(some)
+        if late.limit(1).count():
+            edges = edges.unionByName(late)
+            roots = components(edges)
     member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
