@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomspan.plans import splits
+from loomspan.plans import intervals, merging, metrics, sequences, splits
 
-QUERIES = {**splits.QUERIES}
-ORACLES = {**splits.ORACLES}
+_MODULES = (splits, intervals, sequences, merging, metrics)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
