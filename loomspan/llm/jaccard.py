@@ -17,8 +17,8 @@ table of word counts with a fixed number of buckets, over the whole corpus; the
 needs only to be the same for all sets.
 
 Links are wanted as components. In each list (of a subset or a shingle), every set is
-first compared with one other, in an order of the list's own, and with the list's first
-set of about its size: a group of thousands of near copies costs as many comparisons as
+first compared with one other, in an order that all lists share, and with the list's
+first set of about its size: a group of thousands of near copies costs as many comparisons as
 it has list entries, not their square. After these links' components, lists that still
 hold several components are compared across components, first by a few draws and then in
 full, so no link between different texts is lost; pairs of which the set that is first in
@@ -212,8 +212,9 @@ def _may_link(n: str, pos: str, m: str, at: str, num: int, den: int):
 
 
 def candidate_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b), a < b: each set with its neighbour in each list, in an order of the list's own, and with the first of its size class there."""
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key"), "cls")
+    """Distinct (a, b), a < b: each set with its neighbour in each list, in an order that all lists share (so that lists of the same sets give the same pairs), and with the first of its size class there."""
+    entries = entries.withColumn("band", F.floor(F.log("n") / float(np.log(den / num)) if num < den else F.col("n").cast("double")))
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("cls"), "cls")
     by_size = Window.partitionBy("key", "band").orderBy("n", "cls")
     near = entries.withColumn("before", F.lag(F.struct("cls", "n", "pos")).over(by_key)).withColumn("first", F.first(F.struct("cls", "n", "pos")).over(by_size))
     pairs = near.select("cls", "n", "pos", F.explode(F.array("before", "first")).alias("o")).where(F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls")))
@@ -337,8 +338,8 @@ def _worth(num: int, den: int) -> Column:
 
 
 def drawn_pairs(able: DataFrame, turn: int, num: int, den: int, partners: int = 3) -> DataFrame:
-    """Pairs of different components: each set with the next few in each list, in an order of the list's and the turn's own."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key", F.lit(turn)), "cls")
+    """Pairs of different components: each set with the next few in each list, in an order of the turn's own that all lists share."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
     near = able.withColumn("o", F.array(*(F.lag(F.struct(*_OTHER), k).over(order) for k in range(1, partners + 1))))
     pairs = near.select(*_OTHER, F.explode("o").alias("o")).where(F.col("o").isNotNull()).select(*_OTHER, *(F.col(f"o.{x}").alias(y) for x, y in _OTHER.items()))
     return pairs.where(_worth(num, den)).select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
@@ -409,7 +410,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
     classes = settle(every.where("n > 0").drop("doc_id").dropDuplicates(["cls"]))
     sizes = {r["n"]: (r["sets"], r["cost"]) for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("cost").alias("cost")).collect()}
     boundary = choose_boundary(sizes, num, den)
-    entries = lists(classes, boundary, num, den).withColumn("band", F.floor(F.log("n") / float(np.log(den / num)) if num < den else F.col("n").cast("double")))
+    entries = lists(classes, boundary, num, den)
     of_key = Window.partitionBy("key")
     entries = settle(entries.withColumn("many", F.min("cls").over(of_key) != F.max("cls").over(of_key)).where("many").drop("many"))
 
@@ -421,11 +422,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
     tested = settle(candidate_pairs(entries, num, den))
     edges = links(tested)
     roots = components(edges)
-    rooted = settle(rooted_entries(entries.drop("band"), classes, roots, num, den))
+    rooted = settle(rooted_entries(entries, classes, roots, num, den))
     # components mostly meet within a few draws; what is left is compared in full
     for turn in range(DRAWS + 2):
         if turn <= DRAWS:
-            able = settle(mixed_lists(rooted.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), num, den))
+            able = settle(mixed_lists(rooted, num, den))
             if not able.limit(1).count():
                 break
         if turn == DRAWS:
@@ -444,6 +445,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
         if late.limit(1).count():
             edges = edges.unionByName(late)
             roots = components(edges)
+            # components only merge, so later turns need no other lists than these
+            rooted = able.drop("root", "alive").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
