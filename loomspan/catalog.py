@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomspan.plans import intervals, merging, metrics, sequences, splits
+from loomspan.plans import intervals, merging, metrics, sequences, splits, stateful
 
-_MODULES = (splits, intervals, sequences, merging, metrics)
+_MODULES = (splits, intervals, sequences, merging, metrics, stateful)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
