@@ -1,17 +1,20 @@
 """Language-model scoring: a weighted backoff automaton of smoothed word n-grams.
 
-Words and one end token per text are counted over all training texts, each distinct
-word exactly, in a table that stays distributed. The automaton's states are the empty
-context and the one- and two-word contexts of retained n-grams; its arcs carry
-log-probabilities by absolute discounting, interpolated with the shorter context, and a
-failure arc carries the log of the mass left to the shorter context. A text is read
-once from left to right: the state is carried, failure arcs are followed until a word
-has an arc, the weights add up.
-
-Broadcast is only what a share of the corpus bounds: words of at least HEAD_SHARE of
-all tokens (at most 1 / HEAD_SHARE of them) and n-grams of at least GRAM_SHARE (at most
-1 / GRAM_SHARE for each order). A word below that share always falls through to the
-empty context, so its weight there comes from a join with the distributed table.
+Words and one end token per text are counted over all training texts, and so are all
+two and three words in a row; words of any count and n-grams from LEAST occurrences on
+are kept, in tables that stay distributed. The automaton's states are the empty context
+and the one- and two-word contexts of kept n-grams; its arcs carry log-probabilities by
+absolute discounting, interpolated with the shorter context, and a failure arc carries
+the log of the mass left to the shorter context. A text is read once from left to
+right: the state is carried, failure arcs are followed until a word has an arc, the
+weights add up.
+
+Broadcast is only the hot head, which a share of the corpus bounds: words of at least
+HEAD_SHARE of all tokens and n-grams of at least HEAD_GRAM_SHARE (at most one over the
+share of each order). All other arcs come to the texts that name them by a join. What
+such an arc adds to a path is its weight less that of the failure arc and the shorter
+arc that the head takes instead; a shorter n-gram is never rarer, so the parts of a
+position add up to its weight in the whole automaton.
 Words never seen share the mass that discounting took from all seen ones.
 
 Long texts are read in segments of fixed length that all start two words early: the
@@ -27,16 +30,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .common import fold_of, settle, table
 
 HEAD_SHARE = 1e-6
-GRAM_SHARE = 1e-5
-SKETCH_BITS = 18
+HEAD_GRAM_SHARE = 1e-5
+#: Words and pairs of at least this share of all tokens reach the n-grams that hold them by a broadcast join.
+HOT_SHARE = 1e-4
+#: An n-gram is kept from this count on, whatever the size of the corpus; GRAM_SHARE can ask for a share of all tokens besides.
+LEAST = 2
+GRAM_SHARE = 0.0
 SEGMENT = 256
 END = tb.U64(0x9D39247E33776D41)
 GRAM_DISCOUNT = 0.75
@@ -55,15 +63,21 @@ def sequences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, start
 
 
-def _grams(seq: np.ndarray, start: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams inside texts, and their places."""
-    count = max(0, len(seq) - order + 1)
+def _grams(seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all two neighbours in seq, and the places of the two and of the three words in a row that stand inside a text."""
+    pair = _pair(seq[:-1], seq[1:])
     text = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    at = np.flatnonzero(text[:count] == text[order - 1 :])
-    acc = np.full(len(at), order, tb.U64)
-    for j in range(order):
-        acc = tb.mix(acc ^ seq[at + j])
-    return acc, at
+    return pair, np.flatnonzero(text[:-1] == text[1:]), np.flatnonzero(text[:-2] == text[2:])
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of two words in a row."""
+    return tb.mix(tb.mix(first ^ tb.U64(2)) ^ second)
+
+
+def _triple(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of three words in a row, from those of their two pairs."""
+    return tb.mix(tb.mix(first ^ tb.U64(3)) ^ second)
 
 
 def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
@@ -98,101 +112,69 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def frequent_grams(train: DataFrame, least: float, text: str = "text") -> list[np.ndarray]:
-    """For orders 2 and 3: arrays of columns (words' hashes, count) of the n-grams that occur ``least`` times or more.
+def gram_counts(train: DataFrame, least: float, text: str = "text") -> DataFrame:
+    """(o, k, x, y, n): the n-grams of order o = 2 and 3 that occur ``least`` times or more, by hash k.
 
-    A first pass sums all n-grams into a fixed number of buckets; only n-grams of buckets
-    that reach ``least`` can do so themselves, and a second pass counts those exactly.
+    x and y are the two words of a pair, and the two pairs of three words.
     """
-    spark = train.sparkSession
-    train = train.select(F.col(text).cast("string").alias("text"))
-    size = 1 << SKETCH_BITS
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in tb.chunks(batch.column(0)):
                 seq, start = sequences(data, bounds)
-                for order in (2, 3):
-                    acc, _ = _grams(seq, start, order)
-                    total[(order - 2) * size : (order - 1) * size] += np.bincount((acc >> tb.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    high = train.mapInArrow(sketch, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket").toPandas()
-    reach = np.zeros(2 * size, bool)
-    reach[high["bucket"].to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(reach))
+                pair, at2, at3 = _grams(seq, start)
+                for order, k, x, y in ((2, pair[at2], seq[at2], seq[at2 + 1]), (3, _triple(pair[at3], pair[at3 + 1]), pair[at3], pair[at3 + 1])):
+                    _, at, n = np.unique(k, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), order, np.int32)), *(pa.array(c[at].view(np.int64)) for c in (x, y)), pa.array(n)], names=["o", "x", "y", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list[np.ndarray]] = [[], []]
-            for _, _, data, bounds in tb.chunks(batch.column(0)):
-                seq, start = sequences(data, bounds)
-                for order in (2, 3):
-                    acc, at = _grams(seq, start, order)
-                    own = at[wanted[(order - 2) * size + (acc >> tb.U64(64 - SKETCH_BITS)).astype(np.int64)]]
-                    held[order - 2].append(np.stack([seq[own + j] for j in range(order)], axis=1))
-            for order in (2, 3):
-                rows = np.concatenate(held[order - 2]) if held[order - 2] else np.zeros((0, order), tb.U64)
-                if len(rows):
-                    grams, n = np.unique(rows, axis=0, return_counts=True)
-                    # order 2 has 0 for the third word: a null would make the column of longs one of doubles in pandas
-                    third = grams[:, 2].copy().view(np.int64) if order == 3 else np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), order, np.int32)), pa.array(grams[:, 0].copy().view(np.int64)), pa.array(grams[:, 1].copy().view(np.int64)), pa.array(third), pa.array(n)],
-                        names=["o", "a", "b", "c", "n"],
-                    )
-
-    exact = train.mapInArrow(count, "o int, a long, b long, c long, n long").groupBy("o", "a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = exact.toPandas()
-    out = []
-    for order, columns in ((2, ["a", "b", "n"]), (3, ["a", "b", "c", "n"])):
-        own = found[found["o"] == order]
-        out.append(np.stack([own[x].to_numpy(np.int64) for x in columns]) if len(own) else np.zeros((order + 1, 0), np.int64))
-    return out
+            o, x, y = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
+            ends = np.stack([x.view(tb.U64), y.view(tb.U64)])
+            k = np.where(o == 3, _triple(*ends), _pair(*ends))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k.view(np.int64)), *batch.columns[1:]], names=["o", "k", "x", "y", "n"])
+
+    rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "o int, x long, y long, n long")
+    return rows.groupBy("o", "x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(named, "o int, k long, x long, y long, n long")
+
+
+def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array held."""
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys if len(held) else np.zeros(len(keys), bool)
+
+
+def _fetch(df: DataFrame, key: str, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """df with the row of facts for its key; hot has the rows of the keys that many rows of df may have, and is broadcast."""
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key)
+    return df.join(F.broadcast(hot), key).unionByName(rest)
 
 
 class Automaton:
     """States 0 (empty), then contexts; arcs sorted by (state, word); a failure state and weight for each state."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, discount: float, grams: list[np.ndarray]):
-        """words: sorted hashes of the head words, with counts."""
-        self.words, self.counts = words, counts
-        place = lambda h: np.searchsorted(words, h.view(tb.U64))
-        p1 = np.maximum(counts - discount, 1e-9) / max(1, tokens)
-        with np.errstate(divide="ignore"):
-            self.uni_log = np.log10(p1)
-        two, three = grams
-        a2, b2, n2 = place(two[0].copy()), place(two[1].copy()), two[2]
-        order = np.lexsort((b2, a2))
-        a2, b2, n2 = a2[order], b2[order], n2[order]
-        a3, b3, c3, n3 = (*(place(x.copy()) for x in three[:3]), three[3])
-        size = tb.U64(max(1, len(words)))
-        pair2 = a2.astype(tb.U64) * size + b2.astype(tb.U64)
-        of_pair = lambda x, y: np.searchsorted(pair2, x.astype(tb.U64) * size + y.astype(tb.U64))
-        context1, first = np.unique(a2, return_inverse=True)
-        left1 = 1 - np.bincount(first, weights=n2 - GRAM_DISCOUNT, minlength=len(context1)) / counts[context1]
-        p2 = (n2 - GRAM_DISCOUNT) / counts[a2] + left1[first] * p1[b2]
-        context2, second = np.unique(of_pair(a3, b3), return_inverse=True)
-        left2 = 1 - np.bincount(second, weights=n3 - GRAM_DISCOUNT, minlength=len(context2)) / n2[context2] if len(context2) else np.zeros(0)
-        p3 = (n3 - GRAM_DISCOUNT) / n2[of_pair(a3, b3)] + left2[second] * p2[of_pair(b3, c3)] if len(a3) else np.zeros(0)
+    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame, triples: pd.DataFrame):
+        """The head's rows of the tables of ``fit``: every word of a pair and both pairs of three words are among them."""
+        words, pairs = (t.iloc[np.argsort(t[k].to_numpy(np.int64).view(tb.U64))] for t, k in ((words, "h"), (pairs, "k")))
+        hashes = lambda t, c: np.ascontiguousarray(t[c].to_numpy(np.int64)).view(tb.U64)
+        self.words, self.counts, self.uni_log = hashes(words, "h"), words["c"].to_numpy(np.int64), words["uni"].to_numpy(np.float64)
+        self.pairs, self.triples = hashes(pairs, "k"), np.sort(hashes(triples, "k"))
+        a2, b2 = (np.searchsorted(self.words, hashes(pairs, c)) for c in "xy")
+        ab, bc = (np.searchsorted(self.pairs, hashes(triples, c)) for c in "xy")
+        left1, left2 = words["back"].to_numpy(np.float64), pairs["back"].to_numpy(np.float64)
+        context1, context2 = np.flatnonzero(~np.isnan(left1)), np.flatnonzero(~np.isnan(left2))
         single = np.zeros(len(words), np.int32)
         single[context1] = 1 + np.arange(len(context1))
-        double = np.zeros(len(pair2), np.int32)
+        double = np.zeros(len(pairs), np.int32)
         double[context2] = 1 + len(context1) + np.arange(len(context2))
         after2 = np.where(double > 0, double, single[b2])
-        state3 = 1 + len(context1) + second
-        at3 = of_pair(b3, c3)
-        after3 = np.where(double[at3] > 0, double[at3], single[c3]) if len(a3) else np.zeros(0, np.int32)
-        key = np.concatenate([single[a2].astype(np.int64) << 32 | b2, state3.astype(np.int64) << 32 | c3])
+        key = np.concatenate([single[a2].astype(np.int64) << 32 | b2, double[ab].astype(np.int64) << 32 | b2[bc], [np.iinfo(np.int64).max]])
         order = np.argsort(key)
-        self.key, self.log, self.next = key[order], np.log10(np.concatenate([p2, p3]))[order], np.concatenate([after2, after3]).astype(np.int32)[order]
+        self.key = key[order]
+        self.log = np.concatenate([pairs["p"].to_numpy(np.float64), triples["p"].to_numpy(np.float64), [0.0]])[order]
+        self.next = np.concatenate([after2, after2[bc], [0]]).astype(np.int32)[order]
         self.uni_next = single
-        with np.errstate(divide="ignore"):
-            self.fail_log = np.log10(np.maximum(1e-12, np.concatenate([[1.0], left1, left2])))
-        self.fail = np.concatenate([[0], np.zeros(len(context1), np.int32), single[b2[context2]] if len(context2) else np.zeros(0, np.int32)]).astype(np.int32)
+        self.fail_log = np.concatenate([[0.0], left1[context1], left2[context2]])
+        self.fail = np.concatenate([np.zeros(1 + len(context1), np.int32), single[b2[context2]]]).astype(np.int32)
 
     def ids(self, seq: np.ndarray) -> np.ndarray:
         """Places of the words among the head words, -1 for others."""
@@ -248,21 +230,47 @@ class Automaton:
 
 
 class Model:
-    """The automaton, the distributed table of counts, and the totals."""
+    """The automaton of the head, the distributed table of all arcs, and the totals."""
 
-    def __init__(self, automaton: Automaton, counts: DataFrame, tokens: int, distinct: int, discount: float):
-        self.automaton, self.counts, self.tokens, self.distinct, self.discount = automaton, counts, tokens, distinct, discount
+    def __init__(self, automaton: Automaton, arcs: DataFrame, tokens: int, distinct: int, discount: float):
+        self.automaton, self.arcs, self.tokens, self.distinct, self.discount = automaton, arcs, tokens, distinct, discount
 
 
 def fit(train: DataFrame, text: str = "text") -> Model:
     counts = settle(word_counts(train, text))
     one = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     discount = one["once"] / (one["once"] + 2 * one["twice"]) if one["once"] and one["twice"] else 0.5
-    head = counts.where(F.col("c") >= HEAD_SHARE * one["n"]).toPandas()  # at most 1 / HEAD_SHARE rows
-    h, c = head["h"].to_numpy(np.int64).view(tb.U64), head["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    grams = frequent_grams(train, max(2.0, GRAM_SHARE * one["n"]), text)
-    return Model(Automaton(h[order], c[order], one["n"], discount, grams), counts, one["n"], one["v"], discount)
+    n, bulk = one["n"], one["n"] + 0.1 * (one["v"] + 1)
+    least, hot = max(LEAST, GRAM_SHARE * n), HOT_SHARE * n
+    grams = settle(gram_counts(train, least, text))
+    twos, threes = (grams.where(F.col("o") == o).drop("o") for o in (2, 3))
+
+    def contexts(of: DataFrame, longer: DataFrame, key: str, count: str) -> DataFrame:
+        """of and ``back``: log of the mass left to shorter contexts; null where no longer n-gram is kept."""
+        taken = longer.groupBy(F.col("x").alias(key)).agg(F.sum(F.col("n") - GRAM_DISCOUNT).alias("taken"))
+        back = F.when(F.col("taken").isNotNull(), F.log10(F.greatest(F.lit(1e-12), 1 - F.col("taken") / F.col(count))))  # greatest alone passes over a null
+        return of.join(taken, key, "left").withColumn("back", back).drop("taken")
+
+    def arcs_of(longer: DataFrame, shorter: DataFrame, key: str, count: str, log: str) -> DataFrame:
+        """longer and ``p``: log of its probability; ``extra``: p less the weights of the failure arc and of the shorter arc."""
+        hottest = shorter.where(F.col(count) >= hot)  # at most 1 / HOT_SHARE rows
+        for side, columns in (("x", {count: "whole", "back": "back_x"}), ("y", {log: "lower"})):
+            longer = _fetch(longer, side, *(t.select(F.col(key).alias(side), *(F.col(a).alias(b) for a, b in columns.items())) for t in (shorter, hottest)))
+        p = F.log10((F.col("n") - GRAM_DISCOUNT) / F.col("whole") + F.pow(F.lit(10.0), F.col("back_x") + F.col("lower")))
+        return longer.withColumn("p", p).withColumn("extra", F.col("p") - F.col("back_x") - F.col("lower")).select("k", "x", "y", "n", "p", "extra")
+
+    uni = F.log10(F.greatest(F.col("c") - discount, F.lit(1e-9)) / float(max(1, n)))
+    words = settle(contexts(counts, twos, "h", "c").withColumn("uni", uni))
+    pairs = settle(contexts(arcs_of(twos, words, "h", "c", "uni"), threes, "k", "n"))
+    triples = settle(arcs_of(threes, pairs, "k", "n", "p"))
+    frequent = F.col("n") >= max(least, HEAD_GRAM_SHARE * n, HEAD_SHARE * n)
+    head = Automaton(words.where(F.col("c") >= HEAD_SHARE * n).toPandas(), pairs.where(frequent).toPandas(), triples.where(frequent).toPandas())
+    # a word or pair inside a text is always followed by another token: its failure arc counts each time it stands there
+    back, zero = F.coalesce("back", F.lit(0.0)), F.lit(0.0)
+    arcs = words.select("h", F.lit(1).alias("known"), F.log10((F.col("c") + 0.1) / float(bulk)).alias("base"), (F.col("uni") + back).alias("weight"))
+    for table_, weight in ((pairs, F.col("extra") + back), (triples, F.col("extra"))):
+        arcs = arcs.unionByName(table_.where(~frequent).select(F.col("k").alias("h"), F.lit(0).alias("known"), zero.alias("base"), weight.alias("weight")))
+    return Model(head, arcs, n, one["v"], discount)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,36 +292,41 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 head = counted & (ids >= 0)
                 known = np.bincount(text[head], minlength=end - first)
                 sums = np.bincount(text[head], weights=base[ids[head]], minlength=end - first).astype(np.float64)  # of nothing it counts in integers
-                tail = np.flatnonzero(counted & (ids < 0))
-                order = tail[np.lexsort((seq[tail], text[tail]))]
+                # what the head doesn't have: words, pairs and three words in a row
+                pair, at2, at3 = _grams(seq, start)
+                triple = _triple(pair[at3], pair[at3 + 1])
+                places = [np.flatnonzero(counted & (ids < 0))]
+                keys = [seq[places[0]]]
+                for k, at, own in ((pair[at2], at2, m.pairs), (triple, at3, m.triples)):
+                    out = ~_among(k, own)
+                    keys.append(k[out])
+                    places.append(at[out])
+                key, of = np.concatenate(keys), text[np.concatenate(places)]
+                order = np.lexsort((key, of))
+                key, of = key[order], of[order]
                 new = np.ones(len(order), bool)
-                new[1:] = (seq[order][1:] != seq[order][:-1]) | (text[order][1:] != text[order][:-1])
+                new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(order)))
-                cuts = pa.array(np.searchsorted(text[order][at], np.arange(end - first + 1)).astype(np.int32))
+                cuts = pa.array(np.searchsorted(of[at], np.arange(end - first + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first), pa.array(np.diff(start) - 1), pa.array(known), pa.array(sums), pa.array(weights),
-                        pa.ListArray.from_arrays(cuts, pa.array(seq[order][at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(cuts, pa.array(key[at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
                     ],
                     names=["doc_id", "n_tokens", "known", "base", "weight", "tail", "times"],
                 )
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     read = settle(ids.mapInArrow(rows, "doc_id long, n_tokens long, known long, base double, weight double, tail array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()))
-    # a word's rows are at most HEAD_SHARE of all tokens, so no key of this join is hot
+    # the rows of a word or n-gram are at most its share of all tokens, so no key of this join is hot
     tail = read.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    unseen = max(model.discount * model.distinct / n, 1e-12) if n else 1 / bulk
-    rare: Column = F.when(c > 0, F.log10(F.greatest(c - model.discount, F.lit(1e-9)) / float(max(1, n)))).otherwise(float(np.log10(unseen)) if n else float(np.log10(0.1 / bulk)))
-    late = (
-        tail.join(model.counts, "h", "left")
-        .groupBy("row")
-        .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10((c + 0.1) / bulk)).alias("base2"), F.sum(F.col("times") * rare).alias("weight2"))
-    )
+    late = tail.join(model.arcs, "h").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"{c}2") for c in ("known", "base", "weight")))
     both = read.drop("tail", "times").join(late, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return both.select("doc_id", "n_tokens", plus("known", "known2").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("weight", "weight2").alias("score"))
+    known = F.col("known") + F.coalesce("known2", F.lit(0))
+    unseen = max(model.discount * model.distinct / n, 1e-12) if n else 0.1 / bulk
+    plus = lambda a, log: F.col(a) + F.coalesce(f"{a}2", F.lit(0.0)) + (F.col("n_tokens") - known) * float(np.log10(log))
+    return both.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", 0.1 / bulk).alias("base_score"), plus("weight", unseen).alias("score"))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,33 @@ def test_empty_tables(spark):
     assert lm.score(none, model).collect() == []
     one = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in one) == [(1, 3, 0), (2, 1, 0)] and all(math.isfinite(r.score) for r in one)
+
+
+def hold_against_brute(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs.where("doc_id % 3 <> 0"))
+    _, _, p3 = brute([t for i, t in rows if i % 3], 2, model.discount)
+    want = []
+    for i, t in rows:
+        s = ["?", "</s>", *tokens(t)]
+        want.append((i, sum(math.log10(p3(*s[k - 2 : k + 1])) for k in range(2, len(s)))))
+    got = sorted((r.doc_id, r.score) for r in lm.score(docs, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], abs=1e-6)
+    return model
+
+
+def test_rare_ngrams_stay_in_a_large_corpus(spark):
+    """Three occurrences among 400,000 tokens, with the module's own values."""
+    rows = [(1, "a " * 400_000), *((i, "p q r s") for i in (2, 4, 5)), (3, "p q r s"), (6, "q r"), (9, "s r q p")]
+    hold_against_brute(spark, rows)
+
+
+@pytest.mark.parametrize("share", [0.002, 0.02, 2.0])
+def test_ngrams_outside_the_head_count(spark, monkeypatch, share):
+    """From some arcs to all arcs fetched by join, and with hot and other words."""
+    monkeypatch.setattr(lm, "HEAD_SHARE", share)
+    monkeypatch.setattr(lm, "HEAD_GRAM_SHARE", share)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.01)
+    model = hold_against_brute(spark, corpus())
+    assert (len(model.automaton.words) == 0) == (share > 1)
