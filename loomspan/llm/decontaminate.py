@@ -1,18 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages of at most PASSAGE words; a distributed randomised
+Benchmark items are cut into passages of about PASSAGE words; a distributed randomised
 SVD of their TF-IDF vectors gives a latent basis (document frequencies come from all
-documents). Every window of every document (two lengths, half overlapping) is a TF-IDF
-vector, projected onto the basis and compared with all passages by cosine. A candidate
-is checked on the words themselves: the longest common subsequence of passage and
+documents, without the stretches that share LEAST words in a row with an item, so that
+leaks don't make their own words common; no word weighs nothing). Every window of every
+document (two lengths, half overlapping) is a TF-IDF vector, projected onto the basis
+and compared with all passages by cosine. A candidate is checked on the words themselves: the longest common subsequence of passage and
 surroundings of the window, and how many of the passage's rarest words - its answer -
 stand there. It is a match with half of the passage in order and most of the answer:
 the passage itself or a paraphrase.
 
 Windows with hardly any weight on benchmark words cannot reach the cosine and are not
-projected. The benchmark is the stated query set: it is read in blocks of at most BLOCK
-passages, so the basis that is broadcast has a bounded size, and every block is searched
-in all documents.
+projected. Copies don't depend on the cosine: every LEAST words in a row of a passage
+are looked up in the documents, and a place that has them is a candidate too.
+
+The benchmark is the stated query set: it is read in blocks of about BLOCK passages, so
+what is broadcast has a bounded size, and every block is searched in all documents. A
+block's basis has a dimension for each of its passages, so a passage's vector keeps its
+length however many blocks there are.
 
 Defined results: null and empty texts match nothing; items of fewer than LEAST words
 match nothing, as they can't be told from chance. A document that holds an item more
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import table
+from .common import settle, table
 
 DF_BITS = 16
 BITS = 18
@@ -39,12 +44,11 @@ STEP = 16
 SCALES = (2, 4)
 PASSAGE = 64
 LEAST = 5
-RANK = 192
-BLOCK = 2048
+BLOCK = 256
 COSINE = 0.3
 HALF, ANSWER = 0.5, 0.6
-#: Words in more than this share of the documents, and this many, weigh nothing.
-STOP_SHARE, STOP_LEAST = 0.2, 50
+#: Bits of the map of the items' stretches of LEAST words.
+MARK_BITS = 23
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +58,45 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (tb.Prefix(tb.fold(data)).of(starts, ends) if len(starts) else np.zeros(0, tb.U64)), row
 
 
-def inverse_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log(1 + documents / documents with the bucket), float32, 0 for stop words, by bucket of word hashes; over all texts."""
+def stretches(h: np.ndarray) -> np.ndarray:
+    """Hash of each LEAST words in a row."""
+    n = max(0, len(h) - LEAST + 1)
+    acc = np.zeros(n, tb.U64)
+    for j in range(LEAST):
+        acc = (acc + h[j : j + n]) * tb.U64(0x9E3779B97F4A7C15)
+    return tb.mix(acc)
+
+
+def marks(units: DataFrame) -> np.ndarray:
+    """Map of the stretches of all passages, as packed bits."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [stretches(words.values.to_numpy().view(tb.U64)) >> tb.U64(64 - MARK_BITS) for words in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, tb.U64), *own])).astype(np.int32))], names=["slot"])
+
+    bits = np.zeros(1 << MARK_BITS, bool)
+    bits[units.select("words").mapInArrow(slots, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most 2 ** MARK_BITS
+    return np.packbits(bits)
+
+
+def inverse_frequency(docs: DataFrame, text: str = "text", marked: np.ndarray | None = None) -> np.ndarray:
+    """log(1 + documents / documents with the bucket), float32, by bucket of word hashes; over all texts, without the stretches that are marked."""
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + (1 << DF_BITS), np.int64)
+        bits = None if shared.value is None else np.unpackbits(shared.value).view(bool)
         for batch in batches:
             total[-1] += batch.num_rows
             for _, _, data, bounds in tb.chunks(batch.column(0)):
                 h, row = tokens(data, bounds)
+                if bits is not None and len(h) >= LEAST:
+                    hit = np.flatnonzero(bits[(stretches(h) >> tb.U64(64 - MARK_BITS)).astype(np.int64)] & (row[: 1 - LEAST] == row[LEAST - 1 :]))
+                    clear = np.ones(len(h), bool)
+                    for j in range(LEAST):
+                        clear[hit + j] = False
+                    h, row = h[clear], row[clear]
                 own = np.unique(row << DF_BITS | (h >> tb.U64(64 - DF_BITS)).astype(np.int64)) & ((1 << DF_BITS) - 1)
                 total[:-1] += np.bincount(own, minlength=1 << DF_BITS)
         at = np.flatnonzero(total)
@@ -71,9 +105,7 @@ def inverse_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
     sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(1 + (1 << DF_BITS))
     total[sums["bucket"].to_numpy(np.int64)] = sums["n"]
-    idf = np.log1p(max(1, total[-1]) / np.maximum(1, total[:-1])).astype(np.float32)
-    idf[(total[:-1] > STOP_SHARE * total[-1]) & (total[:-1] > STOP_LEAST)] = 0
-    return idf
+    return np.log1p(max(1, total[-1]) / np.maximum(1, total[:-1])).astype(np.float32)
 
 
 def passages(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -105,7 +137,7 @@ def _vector(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bucket, weight / max(1e-9, float(np.linalg.norm(weight)))
 
 
-def randomised_svd(units: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int = 8, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def randomised_svd(units: DataFrame, idf: np.ndarray, rank: int, oversample: int = 8, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the passages' words (sorted), and the leading right singular vectors of their TF-IDF matrix A, a row for each bucket.
 
     Tasks make A's rows and add up A'(A Omega), then the small (A Q)'(A Q); neither A
@@ -186,6 +218,14 @@ class Index:
             latent.append(weight @ self.basis[self.place[bucket]])
             rare = np.argsort(-idf[(w.view(tb.U64) >> tb.U64(64 - DF_BITS)).astype(np.int64)], kind="stable")
             self.answers.append(set(w[rare[: max(3, len(w) // 4)]].tolist()))
+        # every stretch of LEAST words, with its passage and its place there
+        grams = [stretches(w.view(tb.U64)) for w in words]
+        unit, place = np.repeat(np.arange(len(words)), [len(g) for g in grams]), np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
+        grams = np.concatenate([np.zeros(0, tb.U64), *grams])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.gram_unit, self.gram_place = grams[order], unit[order], place[order]
+        self.marked = np.zeros(1 << BITS, bool)
+        self.marked[(grams >> tb.U64(64 - BITS)).astype(np.int64)] = True
         latent = np.stack(latent) if latent else np.zeros((0, basis.shape[1]))
         self.latent = (latent / np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))).astype(np.float32).T
 
@@ -196,6 +236,39 @@ class Index:
         if not len(h) or not self.items:
             return found
         at = tb.row_starts(row, len(bounds) - 1)
+        self._by_cosine(h, at, found)
+        self._by_stretches(h, row, at, found)
+        return found
+
+    def _by_stretches(self, h, row, at, found) -> None:
+        """Checks where LEAST words in a row of a passage stand; each place once for a passage."""
+        grams = stretches(h)
+        some = np.flatnonzero(self.marked[(grams >> tb.U64(64 - BITS)).astype(np.int64)])
+        some = some[row[some] == row[some + LEAST - 1]]
+        low, high = np.searchsorted(self.grams, grams[some], "left"), np.searchsorted(self.grams, grams[some], "right")
+        done: dict[tuple[int, int], int] = {}
+        for i in np.flatnonzero(high > low):
+            start, t = int(some[i]), int(row[some[i]])
+            for k in range(low[i], high[i]):
+                unit = int(self.gram_unit[k])
+                begin = start - int(self.gram_place[k])
+                if done.get((t, unit)) == begin:
+                    continue
+                done[t, unit] = begin
+                passage = self.words[unit]
+                a, b = max(at[t], begin), min(at[t + 1], begin + len(passage))
+                key = t, self.items[unit]
+                before = found.get(key)
+                self._check(h, a, b, at[t], at[t + 1], key, unit, 0.0, found)
+                if found.get(key) != before:
+                    found[key] = self._cosine(passage, h[a:b].view(np.int64)), *found[key][1:]
+
+    def _cosine(self, a: np.ndarray, b: np.ndarray) -> float:
+        (x, v), (y, w) = _vector(a, self.idf), _vector(b, self.idf)
+        _, i, j = np.intersect1d(x, y, True, True)
+        return float(v[i] @ w[j])
+
+    def _by_cosine(self, h, at, found) -> None:
         # blocks of STEP words that start anew in each text; windows are two or four blocks
         blocks = -(-np.diff(at) // STEP)
         text = np.repeat(np.arange(len(blocks)), blocks)
@@ -217,7 +290,7 @@ class Index:
             windows.append(np.stack([first[worth], last[worth]], axis=1))
         windows = np.unique(np.concatenate(windows), axis=0)
         if not len(windows):
-            return found
+            return
         # latent sums of the blocks that some window needs
         cover = np.zeros(len(text) + 1, np.int64)
         np.add.at(cover, windows[:, 0], 1)
@@ -243,7 +316,6 @@ class Index:
             for w, unit in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 t = int(text[a[w]])
                 self._check(h, start[a[w]], min(at[t + 1], start[b[w]] if b[w] < len(start) else len(h)), at[t], at[t + 1], (t, self.items[unit]), unit, float(cosine[w, unit]), found)
-        return found
 
     def _check(self, h, start, end, low, high, key, unit, cosine, found) -> None:
         passage = self.words[unit]
@@ -258,47 +330,59 @@ class Index:
             found[key] = cosine, share, answer
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", item_text: str = "text") -> Iterator[Index]:
-    """An index for each block of passages."""
-    idf = inverse_frequency(docs, text)
+def indexes(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", item_text: str = "text") -> tuple[int, Iterator[Index]]:
+    """The number of blocks of passages, and an index for each."""
     units = passages(benchmark, item_id, item_text)
     blocks = max(1, -(-units.count() // BLOCK))
-    for k in range(blocks):
-        part = units.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k) if blocks > 1 else units
-        vocabulary, basis = randomised_svd(part, idf)
-        rows = part.toArrow()  # about BLOCK passages
-        order = np.argsort(rows.column("item_id").to_numpy(zero_copy_only=False), kind="stable")
-        words = rows.column("words").to_pylist()
-        items = rows.column("item_id").to_pylist()
-        yield Index(idf, vocabulary, basis, [items[i] for i in order], [np.array(words[i], np.int64) for i in order])
+
+    def each() -> Iterator[Index]:
+        idf = inverse_frequency(docs, text, marks(units))
+        for k in range(blocks):
+            part = units.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k) if blocks > 1 else units
+            rows = part.toArrow()  # about BLOCK passages
+            vocabulary, basis = randomised_svd(part, idf, max(1, rows.num_rows))
+            order = np.argsort(rows.column("item_id").to_numpy(zero_copy_only=False), kind="stable")
+            words = rows.column("words").to_pylist()
+            items = rows.column("item_id").to_pylist()
+            yield Index(idf, vocabulary, basis, [items[i] for i in order], [np.array(words[i], np.int64) for i in order])
+
+    return blocks, each()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, in_order, answer) of every match."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    blocks, every = indexes(narrow, benchmark.where(F.col(item_id).isNotNull()), item_id, "text", item_text)
+    rows = narrow.withColumn("row", F.monotonically_increasing_id())
+    if blocks > 1:
+        rows = settle(rows)  # a row has one number in all passes
     out = None
-    for index in indexes(narrow, benchmark.where(F.col(item_id).isNotNull()), item_id, "text", item_text):
+    for index in every:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows: list[tuple] = []
+                found: list[tuple] = []
                 for first, _, data, bounds in tb.chunks(batch.column(1)):
                     for (row, item), scores in sorted(shared.value.search(data, bounds).items()):
-                        rows.append((batch.column(0)[first + row].as_py(), item, *scores))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "answer"])
+                        found.append((batch.column(2)[first + row].as_py(), batch.column(0)[first + row].as_py(), item, *scores))
+                columns = list(zip(*found, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "doc_id", "item_id", "cosine", "in_order", "answer"])
 
-        part = narrow.mapInArrow(find, "doc_id long, item_id long, cosine double, in_order double, answer double")
+        part = rows.mapInArrow(find, "row long, doc_id long, item_id long, cosine double, in_order double, answer double")
         out = part if out is None else out.unionByName(part)
-    return out
+    if blocks > 1:  # the passages of an item may be in several blocks
+        best = F.max_by(F.struct("cosine", "in_order", "answer"), F.struct("in_order", "cosine"))
+        out = out.groupBy("row", "doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    return out.select("doc_id", "item_id", "cosine", "in_order", "answer")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark item."""
     at, source = docs.columns.index(text), docs
-    for index in indexes(docs, benchmark.where(F.col(item_id).isNotNull()), item_id, text, item_text):
+    _, every = indexes(docs, benchmark.where(F.col(item_id).isNotNull()), item_id, text, item_text)
+    for index in every:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,45 @@ def test_empty_tables(spark, tables):
     assert dc.matches(docs.limit(0), benchmark).collect() == []
     assert dc.matches(docs, benchmark.limit(0)).collect() == []
     assert dc.remove(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def invented(r, n, pool=4000):
+    return " ".join(f"w{int(pool * r.random() ** 2)}" for _ in range(n))
+
+
+def test_every_exact_copy_of_many_items_is_found(spark):
+    r = random.Random(5)
+    items = [(i, invented(r, 38)) for i in range(2000)]
+    docs = [(i, f"{invented(r, 40)} {items[i][1]} {invented(r, 70)}") for i in range(0, 2000, 4)]
+    docs += [(10_000, f"{items[3][1]} {items[7][1]}"), (10_001, invented(r, 300))]
+    want = {(i, i) for i, _ in docs if i < 2000} | {(10_000, 3), (10_000, 7)}
+    got = [(m.doc_id, m.item_id) for m in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_passages_keep_their_length_in_every_block(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, invented(r, 200)) for i in range(50)], "doc_id long, text string")
+    blocks, every = dc.indexes(docs, spark.createDataFrame([(i, invented(r, 38)) for i in range(600)], "item_id long, text string"))
+    assert blocks > 1
+    for index in every:
+        for words in index.words:
+            bucket, weight = dc._vector(words, index.idf)
+            assert np.linalg.norm(weight @ index.basis[index.place[bucket]]) > 0.999
+
+
+def test_an_item_in_two_fifths_of_the_documents_is_found(spark):
+    r = random.Random(7)
+    items = [(1, invented(r, 24)), (2, invented(r, 40))]
+    docs = [(i, f"{invented(r, 60)} {items[0][1] if i % 5 < 2 else ''} {invented(r, 60)}") for i in range(400)]
+    got = sorted((m.doc_id, m.item_id) for m in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(i, 1) for i in range(400) if i % 5 < 2]
+
+
+def test_an_item_of_several_blocks_has_one_row(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK", 1)
+    r = random.Random(8)
+    body = invented(r, 300)
+    docs = spark.createDataFrame([(1, body), (1, body), (2, "x")], "doc_id long, text string")
+    got = [(m.doc_id, m.item_id) for m in dc.matches(docs, spark.createDataFrame([(9, body)], "item_id long, text string")).collect()]
+    assert got == [(1, 9), (1, 9)]
