@@ -6,8 +6,8 @@ patterns; other strings of an identifier's shape are unproved instances. Spark s
 the graph of patterns and instances in rounds:
 
 - a pattern's confidence for a kind is the trusted share of all places in the corpus
-  where its words stand (so common words are never confident), from distinct
-  instances only, and it needs a minimum of them;
+  where its words stand (so common words are never confident), copies counted on both
+  sides, and it needs a minimum of distinct instances;
 - an instance's trust is 1 - prod(1 - confidence) over its patterns.
 
 Instances behind patterns that end up confident become spans of that kind, where they
@@ -194,18 +194,18 @@ def confident_patterns(docs: DataFrame, scanned: DataFrame, text: str = "text",
     totals = settle(occurrences(docs, likely, text))
     # an unproved number can be of any kind but an address, a spelt-out address only that
     fits = F.when(F.col("kind") == "email", F.array(F.lit("email"))).otherwise(F.array(*(F.lit(k) for k in KINDS[1:])))
-    seeds = edges.where("seed").select("context", "value", "kind").withColumn("trust", F.lit(1.0))
-    open_edges = edges.where("not seed").select("context", "value", F.explode(fits).alias("kind"))
+    seeds = edges.where("seed").select("context", "value", "kind", "n").withColumn("trust", F.lit(1.0))
+    open_edges = edges.where("not seed").select("context", "value", "n", F.explode(fits).alias("kind"))
     trusted = seeds
     patterns = None
     for turn in range(rounds):
-        scored = trusted.groupBy("context", "kind").agg(F.sum("trust").alias("hits")).join(totals, "context")
-        patterns = scored.select("context", "kind", (F.col("hits") / F.greatest("total", "hits")).alias("confidence"), "hits").where((F.col("hits") >= MIN_INSTANCES) & (F.col("confidence") >= MIN_CONFIDENCE))
+        scored = trusted.groupBy("context", "kind").agg(F.sum("trust").alias("hits"), F.sum(F.col("trust") * F.col("n")).alias("places")).join(totals, "context")
+        patterns = scored.select("context", "kind", (F.col("places") / F.greatest("total", "places")).alias("confidence"), "hits").where((F.col("hits") >= MIN_INSTANCES) & (F.col("confidence") >= MIN_CONFIDENCE))
         patterns = settle(patterns)
         if turn < rounds - 1:
             miss = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
             trust = open_edges.join(patterns.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(miss)).alias("trust"))
-            trusted = seeds.unionByName(open_edges.join(trust, ["value", "kind"]).select("context", "value", "kind", "trust"))
+            trusted = seeds.unionByName(open_edges.join(trust, ["value", "kind"]).select("context", "value", "kind", "n", "trust"))
     return patterns.select("context", "kind", "confidence")
 
 

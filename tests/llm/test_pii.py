@@ -55,3 +55,17 @@ def test_redaction(corpus):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(none).collect() == [] and pii.redact(none).collect() == []
+
+
+def test_copies_leave_the_spans_as_they_are(spark, corpus):
+    once = {(r.doc_id, r.spans) for r in pii.detect(corpus).collect()}
+    copies = corpus.crossJoin(spark.range(100).select())
+    assert copies.count() == 100 * corpus.count()
+    assert {(r.doc_id, r.spans) for r in pii.detect(copies).collect()} == once
+    assert (101, "email:13:44") in once
+
+
+def test_identifiers_of_many_documents_make_a_pattern(spark):
+    rows = [(100 * k + i, f"word{i} mail me under person{k}@mail.example.com") for k in range(5) for i in range(100)]
+    docs = spark.createDataFrame([*rows, (900, "mail me under joe [at] mail [dot] example.com")], "doc_id long, text string")
+    assert [r.spans for r in pii.detect(docs).where("doc_id = 900").collect()] == ["email:14:45"]
