@@ -5,19 +5,24 @@ path the text length, punctuation, link text and number of nodes are summed; the
 of text and of punctuation to nodes is smoothed over the neighbouring nodes in page
 order, both are fused, and paths above a share of the page's mean select their nodes.
 A path that a page's structure names as something else (navigation, header, footer,
-aside, form, advert, notice, comments) is never content; where the page names its
-article, only nodes under it compete.
+aside, form, advert, notice, comments) is never content, unless a container that has
+only a class, id or role of such a name holds most of the page's text: then the ratios
+decide there. Names are whole words of the attribute (hyphens and underscores left
+out), and never those of html, body, main or article. Where the page names its article,
+only nodes under it compete.
 
 Defined results: a null or empty page, or one without content nodes, has the empty
 text. Repeated rows stay. Further columns are ignored. Nothing is cut or dropped
 inside a selected block; broken markup is read as browsers do (a new paragraph or
-list item ends the open one, unknown end tags are skipped, open tags end with the page).
+list item ends the open one, unknown end tags are skipped, open tags end with the page,
+quotes count only where an attribute's value begins).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,9 +47,12 @@ NAMED_APART = frozenset(
     "comment comments commentlist disqus reply replies discussion responses copyright pagination pager tags toc skip".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NEVER_NAMED = frozenset("html body main article".split())
+
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*+))?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。،؟]")
 
@@ -56,33 +64,43 @@ class Block:
     path: str
     apart: bool
     article: int
+    named: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _named_apart(attributes: str) -> bool:
-    for m in _NAME.finditer(attributes):
-        words = re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
-        if not NAMED_APART.isdisjoint(words):
-            return True
-    return bool(_HIDDEN.search(attributes))
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _named_apart(attributes: dict[str, str]) -> bool:
+    words = " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower()
+    return not NAMED_APART.isdisjoint(re.sub("[-_]", "", words).split())
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, apart, article depth
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, apart, article depth, containers named apart
     now: Block | None = None
     at, links = 0, 0
-    articles = 0
+    articles = containers = 0
 
     def add(text: str, cooked: bool = True) -> None:
         nonlocal now
         if not text:
             return
         if now is None:
-            path = "/".join(t for t, _, _ in stack if t not in INLINE)
-            now = Block(path, bool(stack and stack[-1][1]), stack[-1][2] if stack else 0)
+            path = "/".join(t for t, *_ in stack if t not in INLINE)
+            now = Block(path, *(stack[-1][1:] if stack else (False, 0, ())))
             out.append(now)
         plain = entities.unescape(text) if cooked and "&" in text else text
         now.parts.append(plain)
@@ -91,7 +109,7 @@ def blocks(page: str) -> list[Block]:
 
     def close(down_to: int) -> None:
         nonlocal links
-        for tag, _, _ in stack[down_to:]:
+        for tag, *_ in stack[down_to:]:
             links -= tag == "a"
         del stack[down_to:]
 
@@ -133,13 +151,17 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path"):
             continue
-        top = stack[-1] if stack else ("", False, 0)
+        top = stack[-1] if stack else ("", False, 0, ())
         article = top[2]
         if tag in ("article", "main") and not top[1]:
             articles += 1
             article = top[2] or articles
-        apart = top[1] or tag in APART or _named_apart(m[3])
-        stack.append((tag, apart, article))
+        attributes = _attributes(m[3])
+        apart, named = top[1] or tag in APART or _hidden(attributes), top[3]
+        if tag not in NEVER_NAMED and _named_apart(attributes):
+            containers += 1
+            named = (*named, containers)
+        stack.append((tag, apart, article, named))
         links += tag == "a"
     add(page[at:])
     return out
@@ -151,6 +173,11 @@ def extract(page: str | None, share: float = 0.25, reach: int = 1) -> str:
         return ""
     nodes = [(b, s) for b in blocks(page) if (s := _SPACE.sub(" ", "".join(b.parts)).strip())]
     nodes = [(b, s) for b, s in nodes if not b.apart]
+    held: Counter[int] = Counter()
+    for b, s in nodes:
+        held.update(dict.fromkeys(b.named, len(s)))
+    total = sum(len(s) for _, s in nodes)
+    nodes = [(b, s) for b, s in nodes if all(2 * held[one] > total for one in b.named)]
     inside = [(b, s) for b, s in nodes if b.article]
     named = bool(inside)
     nodes = inside or nodes

@@ -121,3 +121,25 @@ def test_extraction(spark):
     assert got[0] == got[1] == (1, "u", want, len(want))
     assert got[2:5] == [(2, "v", "", 0), (3, None, "", 0), (4, "w", "", 0)]
     assert got[5] == (5, "x", "Deep text, here.", 16)
+
+
+BODY = "<p>The river rose in the night, and by noon the bridge was gone. Nobody was hurt, said the mayor.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        '<body class="single-post has-sidebar"><div>', '<body><main class="content no-sidebar">', '<body class="menu-open"><div>', '<body><div class="elementor-widget-text-editor">',
+        '<body class=menu><div>', '<body><div class="widget"><div>', '<body><div title="a hidden cause" data-id="menu">', "<body><div alt=x'y>",
+    ],
+)
+def test_wrappers_keep_their_article(start):
+    text = html.extract(f'<html>{start}{BODY}<div class="ad">Buy now, buy here.</div><div class="nav-bar">Home, news, more.</div></body></html>')
+    assert text.count("The river rose") == 3 and "Buy now" not in text and "Home" not in text
+
+
+def test_quotes_count_only_where_a_value_begins():
+    assert html.extract("<p><a title=Bob's>Hello</a> don't go, it's late.</p>") == "Hello don't go, it's late."
+    assert html.extract("<p title='a>b' lang=\"c>d\" x = 'e>f'>One, two.</p>") == "One, two."
+    assert html.extract('<p x=a="b>One, two.</p><p>"Three", four.</p>') == 'One, two.\n"Three", four.'
+    assert html.extract("<p" + " a='" * 2000 + ">Deep, text.</p>").endswith("Deep, text.")
