@@ -48,6 +48,27 @@ def fence(df: DataFrame, held: DataFrame, modes: dict[str, tuple[Column, Column]
     return out.withColumn("match", first).drop(*(f"__{x}{i}" for i in range(len(modes)) for x in "km"))
 
 
+def holdings(df: DataFrame, key: str, body: Column, held: DataFrame, item: str, passage: Column, least: int = 8) -> DataFrame:
+    """(key, item): every row key of df whose body has an item's passage anywhere in it, word for word; both are words with single spaces.
+
+    The first words of a passage, at most ``least`` of them, meet the same number of words
+    from every place of a body by equality of hashes; what meets is checked in full.
+    """
+    items = held.select(item, passage.alias("__p")).where(F.col(item).isNotNull() & (F.col("__p") != "")).distinct()
+    items = items.withColumn("__n", F.least(F.size(F.split("__p", " ")), F.lit(least)))
+    first = lambda words, at, n: F.xxhash64(F.array_join(F.slice(words, at, n), " "))
+    items = items.withColumn("__k", first(F.split("__p", " "), F.lit(1), F.col("__n")))
+    lengths = [r[0] for r in items.select("__n").distinct().collect()]  # at most ``least``
+    bodies = df.select(key, body.alias("__b")).where(F.col(key).isNotNull() & (F.col("__b") != ""))
+    words = F.split("__b", " ")
+    places = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda at: first(words, at, n)))
+    empty = F.array().cast("array<bigint>")
+    every = F.array_distinct(F.concat(empty, *(F.coalesce(places(n), empty) for n in lengths)))
+    found = bodies.select(key, F.explode(every).alias("__k")).join(items.select(item, "__k"), "__k").select(key, item).distinct()
+    full = found.join(bodies, key).join(items.select(item, "__p"), item)
+    return full.where(F.contains(F.concat(F.lit(" "), "__b", F.lit(" ")), F.concat(F.lit(" "), "__p", F.lit(" ")))).select(key, item).distinct()
+
+
 def gapless(df: DataFrame, key: str, index: str) -> DataFrame:
     """(key, n_index, complete): whether a key's distinct indices are 0, 1, ... without a gap."""
     once = df.where(F.col(index).isNotNull()).groupBy(key, index).agg(F.count(F.lit(1)).alias("n"))

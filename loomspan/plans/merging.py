@@ -41,6 +41,16 @@ def holdout_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.fence(docs, held, modes).select("doc_id", "match")
 
 
+def passage_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many benchmark items each document holds anywhere in its text, word for word; those with none are inside the fence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    found = merging.holdings(docs, "doc_id", words, held, "item_id", words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+
+
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest order of each customer."""
     orders = table(spark, sf_dir, "orders")
@@ -78,7 +88,7 @@ def path_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.url_host(F.col("url")).alias("host"), F.regexp_replace(path, r"^/([a-z]{2})/", "/mirror/$1/").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_precedence, strict_union, holdout_fence, upsert_latest, group_gapless, pair_audit, mixture_counts, caption_clean, path_rewrite)}
+QUERIES = {f.__name__: f for f in (dedup_precedence, strict_union, holdout_fence, passage_fence, upsert_latest, group_gapless, pair_audit, mixture_counts, caption_clean, path_rewrite)}
 
 _ID = "sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g'))))"
 
@@ -104,6 +114,10 @@ ORACLES = {
         WITH b AS (SELECT DISTINCT {_normalised("text")} AS t FROM benchmark WHERE text IS NOT NULL),
         d AS (SELECT doc_id, {_normalised("text")} AS w, {_normalised("string_split(text, chr(10))[1]")} AS f, {_normalised("string_split(text, chr(10))[-1]")} AS l FROM documents)
         SELECT doc_id, CASE WHEN w IN (SELECT t FROM b) THEN 'whole' WHEN f IN (SELECT t FROM b) THEN 'first' WHEN l IN (SELECT t FROM b) THEN 'last' END AS match FROM d""",
+    "passage_fence": r"""
+        WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE doc_id IS NOT NULL),
+        b AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM benchmark WHERE item_id IS NOT NULL)
+        SELECT doc_id, count(DISTINCT item_id) AS n_items FROM d LEFT JOIN b ON b.t <> '  ' AND contains(d.t, b.t) GROUP BY 1""",
     "upsert_latest": """
         SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,
                arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice, count(*) AS copies FROM orders GROUP BY 1""",

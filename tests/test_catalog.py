@@ -42,3 +42,11 @@ def test_equals_sql(spark, small, duck, name):
     want = sorted(tuple(cell(x) for x in r) for r in sql.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
     assert got == want
     assert got
+
+
+def test_passage_fence_finds_items_inside_texts(spark):
+    """The SQL on more rows, some of which hold an item in their middle."""
+    found = catalog.QUERIES["passage_fence"](spark, "/root/testdata/sf0.01").where("n_items > 0").count()
+    con = duckdb.connect()
+    verbatim = con.execute("SELECT count(*) FROM '/root/testdata/sf0.01/documents.parquet' d WHERE EXISTS (FROM '/root/testdata/sf0.01/benchmark.parquet' b WHERE contains(d.text, b.text))").fetchone()[0]
+    assert found >= verbatim > 0
