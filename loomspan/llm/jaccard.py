@@ -453,10 +453,17 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest id; of repeated rows of that id one stays."""
-    kept = join(docs, k, num, den, doc_id, text).where("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    same = F.col(doc_id).cast("long") == F.col("__kept")
-    return docs.where(F.col(doc_id).isNotNull()).join(kept, same, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    """docs with one row of each component, that of the smallest id; rows are told apart by number, as an id may have several texts.
+
+    Of texts without shingles, equal ones of an id count as one. Rows without id all stay.
+    """
+    held = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = join(held, k, num, den, "__row", text).select(F.col("doc_id").alias("__row"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__component"))
+    alone = held.select("__row", F.col(doc_id).cast("long").alias("__id"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("__print")).where(F.col("__id").isNotNull())
+    own = F.col("__n") == 0
+    group = [F.when(~own, F.col("__component")).alias("__c"), F.when(own, F.col("__id")).alias("__i"), F.when(own, F.col("__print")).alias("__p")]
+    kept = groups.join(alone, "__row").groupBy(*group).agg(F.min_by("__row", F.struct("__id", "__row")).alias("__row")).select("__row")
+    return held.where(F.col(doc_id).isNotNull()).join(kept, "__row", "left_semi").unionByName(held.where(F.col(doc_id).isNull())).select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

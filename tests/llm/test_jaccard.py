@@ -69,3 +69,10 @@ def test_empty_table_and_one_kept(spark):
     rows = [(5, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 2), (7, None, 3), (None, "a b c d e f", 4)]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, cls int")).collect()
     assert sorted((r.doc_id or 0, r.cls) for r in kept) == [(0, 4), (2, 2), (7, 3)]
+
+
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, b, c = ("red " + " ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, "few"), (4, "words"), (4, "words"), (5, ""), (None, a), (None, None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (4, "few"), (4, "words"), (5, ""), (None, a), (None, None)]))
