@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: SQL can't express these stages; tests hold each against a brute-force version.
+#: SQL can't express these stages; test_pipeline.py holds them against the functions of the package, whose own tests have the brute-force versions.
 ORACLE_SQL = None
 
 
