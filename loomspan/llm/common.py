@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["StorageLevel", "table", "fold_of", "shared_folder", "settle", "scaled_partitions"]
+__all__ = ["Scratch", "drop_tables", "fold_of", "settle", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +20,56 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one under /tmp is set only where none is (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local session may do without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomspan-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or "/tmp/loomspan-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows to the shared folder once and read them from there."""
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows to the shared folder once and read them from there."""
+    return _written(df)[1]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that an operator or a stage wrote."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """An operator's intermediate tables and broadcasts: given back on leaving, but for the tables that its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.shared = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """A table that is deleted on leaving."""
+        path, out = _written(df)
+        self.paths.append(path)
+        return out
 
+    def broadcast(self, value):
+        """A broadcast that executors forget on leaving."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
 
-def scaled_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __exit__(self, *_) -> None:
+        drop_tables(self.spark, self.paths)
+        for one in self.shared:
+            one.unpersist()

@@ -1,11 +1,13 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import lm
+from loomspan.llm.common import fold_of, table
 
 
 def tokens(text):
@@ -23,89 +25,99 @@ def corpus():
     return [*out, (5, out[5][1])]
 
 
-def brute(train, least, discount):
-    """P(word | two words before) by the interpolated n-grams as written."""
-    seqs = [["</s>", *tokens(t)] for t in train]
-    uni = Counter(w for s in seqs for w in s[1:])
-    n = sum(uni.values())
-    two = {g: k for g, k in Counter(g for s in seqs for g in zip(s, s[1:], strict=False)).items() if k >= least}
-    three = {g: k for g, k in Counter(g for s in seqs for g in zip(s, s[1:], s[2:], strict=False)).items() if k >= least}
-    d2 = lm.GRAM_DISCOUNT
-
-    def p1(w):
-        return (uni[w] - discount) / n if uni[w] else discount * len(uni) / n
-
-    def p2(v, w):
-        own = {g: k for g, k in two.items() if g[0] == v}
-        if not own:
-            return p1(w)
-        left = 1 - sum(k - d2 for k in own.values()) / uni[v]
-        return (two.get((v, w), d2) - d2) / uni[v] + left * p1(w)
-
-    def p3(u, v, w):
-        own = {g: k for g, k in three.items() if g[:2] == (u, v)}
-        if not own:
-            return p2(v, w)
-        left = 1 - sum(k - d2 for k in own.values()) / two[u, v]
-        return (three.get((u, v, w), d2) - d2) / two[u, v] + left * p2(v, w)
-
-    return uni, n, p3
-
-
-def test_scores_equal_the_ngrams_as_written(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD_SHARE", 0.001)
-    monkeypatch.setattr(lm, "GRAM_SHARE", 0.001)
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    train = docs.where("doc_id % 3 <> 0")
-    model = lm.fit(train)
-    uni, n, p3 = brute([t for i, t in rows if i % 3], max(2, 0.001 * model.tokens), model.discount)
-    assert (model.tokens, model.distinct) == (n, len(uni))
-    assert len(model.automaton.fail) > 20
-    got = sorted(tuple(r) for r in lm.score(docs, model).collect())
-    want = []
-    for i, t in rows:
-        s = ["?", "</s>", *tokens(t)]
-        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (len(uni) + 1))) for w in s[2:])
-        want.append((i, len(s) - 2, sum(uni[w] > 0 for w in s[2:]), n, base, sum(math.log10(p3(*s[k - 2 : k + 1])) for k in range(2, len(s)))))
-    for a, b in zip(got, sorted(want), strict=True):
+def brute(rows, trained):
+    """(id, tokens, known, N, base, score) by the definitions, one place after the other."""
+    seqs = [(i, ["</s>", *tokens(t)]) for i, t in rows]
+    train = [s for i, s in seqs if trained(i)]
+    uni = Counter(w for s in train for w in s[1:])
+    grams = Counter(g for s in train for k in (2, 3) for g in zip(*(s[j:] for j in range(k)), strict=False))
+    grams = {g: n for g, n in grams.items() if n >= 2}
+    n, v = sum(uni.values()), len(uni)
+    count = lambda c: grams.get(c, 0) if len(c) == 2 else uni[c[0]] if uni[c[0]] >= 2 else 0
+    group = lambda c: (len(c), int(math.log2(count(c))))
+
+    def walk(s, k):
+        """The contexts tried for place k, from long to short, and the n-gram found (or None)."""
+        for c in (tuple(s[max(0, k - 2) : k]), tuple(s[k - 1 : k])) if k > 1 else (tuple(s[:1]),):
+            if count(c):
+                yield c, (*c, s[k]) if (*c, s[k]) in grams else None
+                if (*c, s[k]) in grams:
+                    return
+
+    visits, mass = Counter(), defaultdict(float)
+    for s in train:
+        for k in range(1, len(s)):
+            for c, g in walk(s, k):
+                visits[group(c)] += 1
+                mass[group(c)] += 1 - lm.DISCOUNT / grams[g] if g else 0.0
+    out = []
+    for i, s in seqs:
+        base = {w: math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s}
+        total = 0.0
+        for k in range(1, len(s)):
+            steps = list(walk(s, k))
+            for c, g in steps:
+                total += math.log10((grams[g] - lm.DISCOUNT) / count(c)) if g else math.log10(min(1, max(1e-3, 1 - mass[group(c)] / visits[group(c)])) if visits[group(c)] else 1)
+            if not steps or not steps[-1][1]:
+                total += base[s[k]]
+        out.append((i, len(s) - 1, sum(uni[w] > 0 for w in s[1:]), n, sum(base[w] for w in s[1:]), total))
+    return sorted(out)
+
+
+def hold_against_brute(spark, rows, **sizes):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    got = sorted(tuple(r) for r in lm.score(docs, F.col("doc_id") % 3 != 0, **sizes).drop("learned").collect())
+    for a, b in zip(got, brute(rows, lambda i: i % 3), strict=True):
         assert a[:4] == b[:4]
         assert a[4:] == pytest.approx(b[4:], abs=1e-6)
 
 
-def test_empty_tables(spark):
-    none = spark.createDataFrame([], "doc_id long, text string")
-    model = lm.fit(none)
-    assert lm.score(none, model).collect() == []
-    one = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in one) == [(1, 3, 0), (2, 1, 0)] and all(math.isfinite(r.score) for r in one)
-
-
-def hold_against_brute(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm.fit(docs.where("doc_id % 3 <> 0"))
-    _, _, p3 = brute([t for i, t in rows if i % 3], 2, model.discount)
-    want = []
-    for i, t in rows:
-        s = ["?", "</s>", *tokens(t)]
-        want.append((i, sum(math.log10(p3(*s[k - 2 : k + 1])) for k in range(2, len(s)))))
-    got = sorted((r.doc_id, r.score) for r in lm.score(docs, model).collect())
-    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
-    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], abs=1e-6)
-    return model
+@pytest.mark.parametrize("sizes", [{}, {"block": 50, "range_bytes": 300}])
+def test_scores_equal_the_ngrams_as_written(spark, sizes):
+    hold_against_brute(spark, corpus(), **sizes)
+
+
+def test_segments_and_blocks_leave_the_score(monkeypatch):
+    """A block read in short segments gives what one left-to-right pass gives."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    words = r.integers(0, 6, 4000)
+    start = np.array([0, 1500, 1502, 4000])
+    pair = words[:-1] * 6 + words[1:]
+    ids, first, of = np.unique(pair, return_index=True, return_inverse=True)
+    triple, at, n3 = np.unique(pair[:-1] * 6 + words[2:], return_index=True, return_counts=True)
+    m = lm.Automaton(np.bincount(words), words[first], words[first + 1], np.bincount(of), of[at], of[at + 1], words[at + 2], np.where(n3 > 1, n3, 0))
+    whole = [np.sort(x) for x in m.read(words, start)]
+    monkeypatch.setattr(lm, "SEGMENT", 5)
+    for a, b in zip(whole, m.read(words, start), strict=True):
+        assert np.allclose(a, np.sort(b))
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for values, kind in ((np.zeros(0, np.uint64), "<u8"), (np.array([1, 2**63, 5], np.uint64), "<u8"), (np.arange(1000), "<u4"), (np.array([True, False]), "u1")):
+        assert np.array_equal(lm.unpacked(lm.packed(values, kind), kind), values)
 
 
 def test_rare_ngrams_stay_in_a_large_corpus(spark):
-    """Three occurrences among 400,000 tokens, with the module's own values."""
-    rows = [(1, "a " * 400_000), *((i, "p q r s") for i in (2, 4, 5)), (3, "p q r s"), (6, "q r"), (9, "s r q p")]
-    hold_against_brute(spark, rows)
-
-
-@pytest.mark.parametrize("share", [0.002, 0.02, 2.0])
-def test_ngrams_outside_the_head_count(spark, monkeypatch, share):
-    """From some arcs to all arcs fetched by join, and with hot and other words."""
-    monkeypatch.setattr(lm, "HEAD_SHARE", share)
-    monkeypatch.setattr(lm, "HEAD_GRAM_SHARE", share)
-    monkeypatch.setattr(lm, "HOT_SHARE", 0.01)
-    model = hold_against_brute(spark, corpus())
-    assert (len(model.automaton.words) == 0) == (share > 1)
+    """Three occurrences among 400,000 tokens, and one very long text."""
+    hold_against_brute(spark, [(1, "a " * 400_000), *((i, "p q r s") for i in (2, 4, 5)), (3, "p q r s"), (6, "q r"), (9, "s r q p")])
+
+
+def test_empty_tables_and_further_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score(none, F.lit(True)).collect() == []
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, None, "y"), (None, "a", 1, None)], "doc_id long, text string, score int, block string")
+    one = lm.score(docs, F.lit(False)).collect()
+    assert sorted(((r.doc_id or 0), r.n_tokens, r.n_known, r.train_tokens) for r in one) == [(0, 2, 0, 0), (1, 3, 0, 0), (2, 1, 0, 0)] and all(math.isfinite(r.score) for r in one)
+
+
+def test_held_out_texts_score_higher_with_more_to_learn_from(spark):
+    """A text of the larger table's held-out fold, scored by what is learned from a tenth of its rows and from all."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    held = fold_of("doc_id", 10) == 0
+    less = lm.score(docs, ~held & (fold_of("doc_id", 7) == 0)).where(held).agg(F.sum("score")).first()[0]
+    more = lm.score(docs, ~held).where(held).agg(F.sum("score"), F.sum("base_score")).first()
+    assert more[0] > less and more[0] > more[1]
