@@ -16,14 +16,16 @@ Rarity is that of a shingle's rarest word, then that of all its words together,
 table of word counts with a fixed number of buckets, over the whole corpus; the order
 needs only to be the same for all sets.
 
-Links are wanted as components. In each list (of a subset or a shingle), every set is
-first compared with one other, in an order that all lists share, and with the list's
-first set of about its size: a group of thousands of near copies costs as many comparisons as
-it has list entries, not their square. After these links' components, lists that still
-hold several components are compared across components, first by a few draws and then in
-full, so no link between different texts is lost; pairs of which the set that is first in
-the order of shingles has too many that no list shares can't link and are never made.
-Candidates must share enough first shingles, and are then compared by their whole sets.
+Lists of the same sets count once. Links are wanted as components, so two rounds do. In
+the first, each set is compared within the longest of its lists. After the components of
+these links, the lists that still hold sets of several components, and a set that can
+link there, are compared in full, so no link between different texts is lost. Sets meet in
+groups of at most about SIDE sets or GROUP_SHINGLES shingles: a longer list is dealt into blocks, and
+each pair of blocks is a group. A group's overlaps are one product of 0/1 matrices; it
+gives back a forest of its links, so no row is ever made for a pair.
+
+The whole sets of all that share a list are made from the texts once, found by a bitmap
+of fixed size and joined exactly.
 
 Defined results: null texts, and those without words, have the empty set and are their
 own component; fewer than k words are one shingle, the whole sequence. Rows of one id
@@ -39,22 +41,20 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import settle, table
+from .common import Scratch, settle, table
 
 WORD_BITS = 20
 #: Sizes that may count as light; their sets are kept whole for enumeration.
 MOST_LIGHT = 32
 BITMAP_BITS = 24
-#: Rounds in which sets of different components are drawn from each list, before all are compared.
-DRAWS = 1
-#: Components of so many sets are compared in blocks of about SIDE sets.
-LARGE, SIDE = 64, 256
+#: Sets, and shingles in all, of a group that is compared in one task (one set may be larger).
+SIDE, GROUP_SHINGLES = 1024, 1 << 20
 _RANK = tb.U64(56)
 
 
@@ -145,9 +145,8 @@ def subset_keys(ids: np.ndarray, boundary: int, num: int, den: int) -> np.ndarra
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, tb.U64)
 
 
-def sets(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sets(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, cls, cost, prefix, small): size, class (a hash of the whole set), estimated cost of its lists, first shingles, and the whole set where it is small."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,141 +177,182 @@ def set_class(ids: np.ndarray) -> int:
     return int(tb.mix(np.array([a ^ tb.mix(np.array([b + tb.U64(len(ids))]))[0]]))[0].view(np.int64))
 
 
-def lists(classes: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
-    """(key, cls, n, pos): entries of the inverted lists (pos: place in the set's order) and of the subsets (pos -1)."""
+def bitmap(column: Column, rows: DataFrame) -> np.ndarray:
+    """Map of the highest bits of a column of hashes, packed; its size is fixed."""
+    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS).cast("int")
+    words = rows.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 12).alias("block")).agg(F.collect_list("slot").alias("slots")).toArrow()
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    if words.num_rows:
+        bits[words.column("slots").combine_chunks().flatten().to_numpy()] = True
+    return np.packbits(bits)
+
+
+def lists(classes: DataFrame, boundary: int, num: int, den: int, only: Broadcast | None = None) -> DataFrame:
+    """(key, cls, n, pos): entries of the inverted lists (pos: place in the set's order) and of the subsets (pos -1); ``only``: those whose key may be in a map."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = None if only is None else np.unpackbits(only.value).view(bool)
         for batch in batches:
             key, cls, size, pos = [], [], [], []
+
+            def add(c: int, n: int, own: np.ndarray, at: np.ndarray) -> None:
+                if has is not None:
+                    keep = has[(own.view(tb.U64) >> tb.U64(64 - BITMAP_BITS)).astype(np.int64)]
+                    own, at = own[keep], at[keep]
+                key.append(own)
+                pos.append(at)
+                cls.append(np.full(len(own), c))
+                size.append(np.full(len(own), n, np.int32))
+
             for c, n, prefix, small in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if n <= boundary:
                     own = subset_keys(small.values.to_numpy().view(tb.U64), boundary, num, den).view(np.int64)
-                    key.append(own)
-                    pos.append(np.full(len(own), -1, np.int32))
-                    cls.append(np.full(len(own), c))
-                    size.append(np.full(len(own), n, np.int32))
+                    add(c, n, own, np.full(len(own), -1, np.int32))
                 if n > boundary or den * n >= num * (boundary + 1):
                     own = prefix.values.to_numpy()
-                    key.append(own)
-                    pos.append(np.arange(len(own), dtype=np.int32))
-                    cls.append(np.full(len(own), c))
-                    size.append(np.full(len(own), n, np.int32))
+                    add(c, n, own, np.arange(len(own), dtype=np.int32))
             kinds = (np.int64, np.int64, np.int32, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t)) for x, t in zip((key, cls, size, pos), kinds, strict=True)], names=["key", "cls", "n", "pos"])
 
     return classes.select("cls", "n", "prefix", "small").mapInArrow(rows, "key long, cls long, n int, pos int")
 
 
-def _may_link(n: str, pos: str, m: str, at: str, num: int, den: int):
-    """Sizes and places allow a link: what is left behind the shared place must reach the overlap."""
-    n, pos, m, at = (F.col(x).cast("long") for x in (n, pos, m, at))
-    sized = (F.least(n, m) * den >= F.greatest(n, m) * num) & True
-    room = F.least(n - pos, m - at)  # shared shingles from this place on, at most, where it is the first shared one
-    return sized & ((pos < 0) | (at < 0) | (room * (num + den) >= (n + m) * num))
-
-
-def candidate_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b), a < b: each set with its neighbour in each list, in an order that all lists share (so that lists of the same sets give the same pairs), and with the first of its size class there."""
-    entries = entries.withColumn("band", F.floor(F.log("n") / float(np.log(den / num)) if num < den else F.col("n").cast("double")))
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("cls"), "cls")
-    by_size = Window.partitionBy("key", "band").orderBy("n", "cls")
-    near = entries.withColumn("before", F.lag(F.struct("cls", "n", "pos")).over(by_key)).withColumn("first", F.first(F.struct("cls", "n", "pos")).over(by_size))
-    pairs = near.select("cls", "n", "pos", F.explode(F.array("before", "first")).alias("o")).where(F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls")))
-    pairs = pairs.select("cls", "n", "pos", F.col("o.cls").alias("oc"), F.col("o.n").alias("on"), F.col("o.pos").alias("op"))
-    return pairs.where(_may_link("n", "pos", "on", "op", num, den)).select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
-
-
 def _up(x: Column, y: int) -> Column:
     """x / y of whole numbers, rounded up."""
     return F.floor((x + (y - 1)) / F.lit(float(y)) + 1e-9)
 
 
-def _least_shared(n: Column, m: Column, num: int, den: int) -> Column:
-    """First shingles that two sets of sizes n and m share at least if they link: what lies behind either's first shingles is too little otherwise."""
-    n, m = n.cast("long"), m.cast("long")
-    return _up((n + m) * num, num + den) - F.greatest(_up(n * num, den), _up(m * num, den)) + 1
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs whose first shingles are enough for a link; light pairs are all."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    own = settle(classes.join(wanted, "cls", "left_semi").select("cls", "n", "prefix").dropDuplicates(["cls"]))
-    left, right = (own.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= _least_shared(F.col("na"), F.col("nb"), num, den)).select("a", "b")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, k: int, text: str = "text") -> DataFrame:
-    """(c, ids) of each wanted class, made again from the texts; a bitmap of fixed size tells which texts to look at, and a task sends a class once."""
-    slot = F.shiftrightunsigned("c", 64 - BITMAP_BITS).cast("int")
-    width = 1 << 12
-    words = wanted.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / width).cast("int").alias("block")).agg(F.collect_list("slot").alias("slots")).toArrow()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    if words.num_rows:
-        bits[words.column("slots").combine_chunks().flatten().to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, np.packbits(bits)))
+def whole_sets(docs: DataFrame, wanted: DataFrame, shared: Broadcast, k: int, text: str = "text") -> DataFrame:
+    """(cls, ids) of each wanted class, made again from the texts, packed; ``shared``: the ranks and a map of the wanted classes. A task sends a class once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ranks, packed = shared.value
-        has = np.unpackbits(packed).astype(bool)
+        ranks, packed = shared.value
+        has = np.unpackbits(packed).view(bool)
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, bounds in tb.chunks(batch.column(0)):
                 cls, whole = [], []
-                for ids in shingle_sets(data, bounds, k, own_ranks):
+                for ids in shingle_sets(data, bounds, k, ranks):
                     if len(ids) and has[((c := set_class(ids)) & (2**64 - 1)) >> (64 - BITMAP_BITS)] and c not in seen:
-                        if len(seen) < 1 << 20:
+                        if len(seen) < 1 << 18:
                             seen.add(c)
                         cls.append(c)
-                        whole.append(ids.view(np.int64))
+                        whole.append(tb.packed(np.diff(ids, prepend=tb.U64(0)), "<u8"))
                 if cls:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(whole, pa.list_(pa.int64()))], names=["c", "ids"])
-
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "c long, ids array<long>")
-    return settle(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
-
-
-def linked(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets link."""
-    both = pairs.join(found.select(F.col("c").alias("a"), F.col("ids").alias("left")), "a").join(found.select(F.col("c").alias("b"), F.col("ids").alias("right")), "b")
-    shared_size = F.size(F.array_intersect("left", "right")).cast("long")
-    union = F.size("left") + F.size("right") - shared_size
-    return both.where(shared_size * den >= union * num).select("a", "b")
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(whole, pa.binary())], names=["cls", "ids"])
+
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "cls long, ids binary")
+    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("ids").alias("ids"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, by products of 0/1 matrices over the shingles that two sets or more hold."""
+    every = np.concatenate(left) if left is right else np.concatenate([*left, *right])
+    ids, place, held = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(held > 1) - 1
+    sides, at = [], 0
+    for group in (left,) if left is right else (left, right):
+        size = np.array([len(x) for x in group])
+        own = place[at : at + size.sum()]
+        at += int(size.sum())
+        keep = held[own] > 1
+        row, col = np.repeat(np.arange(len(group)), size)[keep], column[own[keep]]
+        by = np.argsort(col, kind="stable")
+        sides.append((len(group), row[by], col[by]))
+    out = np.zeros((len(left), len(right)), np.float32)  # exact: counts stay far below 2 ** 24
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        dense = []
+        for n, row, col in sides:
+            a, b = np.searchsorted(col, [low, low + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[a:b], col[a:b] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[-1].T
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of the left and right nodes of a bipartite graph, left node i being i and right node j being n + j."""
+    n, m = link.shape
+    left, right, far = np.arange(n), n + np.arange(m), n + m
+    while True:
+        new_left = np.minimum(left, np.where(link, right[None, :], far).min(axis=1, initial=far))
+        new_right = np.minimum(right, np.where(link, new_left[:, None], far).min(axis=0, initial=far))
+        if np.array_equal(left, new_left) and np.array_equal(right, new_right):
+            return left, right
+        left, right = new_left, new_right
+
+
+def compared(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), pairs of one component each. groups: (key, i, j, cls, side), to be compared within side 0, or of side 0 with side 1 where there is one."""
+
+    def links(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        cls = rows.column("cls").to_numpy()
+        ids = [np.cumsum(tb.unpacked(x, "<u8"), dtype=tb.U64) for x in rows.column("ids").to_pylist()]
+        parts = [[np.flatnonzero(side == k)] for k in (0, 1)]
+        if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
+            parts[1] = parts[0]
+        (a,), (b,) = parts
+        if len(a) == 0 or len(b) == 0 or len(cls) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        left = [ids[x] for x in a]
+        right = left if b is a else [ids[x] for x in b]
+        shared = overlaps(left, right).astype(np.int64)
+        size = np.array([len(x) for x in ids])
+        la, lb = forest(shared * den >= (size[a][:, None] + size[b][None, :] - shared) * num)
+        every = np.concatenate([cls[a], cls[b]])
+        one, other = every, every[np.concatenate([la, lb])]
+        apart = one != other
+        return pa.table({"a": one[apart], "b": other[apart]})
+
+    dealt = groups.join(whole, "cls").select("key", "i", "j", "side", "cls", "ids")
+    return dealt.groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct()
+
+
+def dealt_in_blocks(entries: DataFrame, crosswise: bool) -> DataFrame:
+    """(key, i, j, cls, side): the sets of each list in groups of bounded size; crosswise: each pair of blocks, not only each block with itself."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.col("n").cast("long")).alias("shingles")).where("sets > 1")
+    blocks = F.greatest(_up(F.col("sets"), SIDE), _up(F.col("shingles"), GROUP_SHINGLES)).cast("int")
+    own = entries.select("key", "cls").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    if not crosswise:
+        return own.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "cls", F.lit(0).alias("side"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(cls, root): the smallest class of each class's component, by the least label of neighbours and jumps to labels' labels."""
-    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settle(both.groupBy(F.col("a").alias("cls")).agg(F.min(F.least("a", "b")).alias("root")))
+    both = scratch.settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = scratch.settle(both.groupBy(F.col("a").alias("cls")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         near = both.join(label.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("root").alias("near"))
         lower = label.join(near, "cls").select("cls", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = label.select(F.col("cls").alias("root"), F.col("root").alias("further"))
-        new = settle(lower.join(jump, "root", "left").select("cls", F.least("root", F.coalesce("further", "root")).alias("root"), "old"))
+        new = scratch.settle(lower.join(jump, "root", "left").select("cls", F.least("root", F.coalesce("further", "root")).alias("root"), "old"))
         changed = new.where("root <> old").limit(1).count()
         label = new.select("cls", "root")
         if not changed:
             return label
 
 
-def rooted_entries(entries: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries with their component's ``root``, ``edge`` (the last of the set's first shingles, in the order of sets) and ``most``.
+def rooted_entries(entries: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries with their component's ``root`` and ``most``.
 
     A set's first shingles that no other set has among its own leave ``most`` of the set.
-    Of two sets, the one of the lesser edge has no first shingle behind the other's edge,
-    so its ``most`` bounds the overlap of the two.
+    Of two sets, the one whose first shingles end earlier in the order has none of them
+    behind those of the other, so its ``most`` bounds the overlap of the two.
     """
     own = entries.where("pos >= 0").groupBy("cls").agg(F.count(F.lit(1)).alias("kept"))
-    edges = classes.select("cls", F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63))).alias("edge"))
-    info = edges.join(own, "cls", "left")
     n = F.col("n").cast("long")
     first = n - _up(n * num, den) + 1
     most = F.when(F.col("pos") >= 0, n - first + F.coalesce("kept", F.lit(0))).otherwise(n).cast("long")
-    return entries.join(info, "cls").withColumn("most", most).drop("kept").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return entries.join(own, "cls", "left").withColumn("most", most).drop("kept").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
 def mixed_lists(rooted: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries of the lists that still hold several components and a set that may be the one of the lesser edge in a link there (``alive``)."""
+    """Entries of the lists that still hold several components and a set that may be the one of the lesser edge in a link there; of lists of the same sets, one."""
+    rooted = rooted.where("once")
     keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
     n = F.col("n").cast("long")
     partner = F.greatest(F.col("least").cast("long"), _up(n * num, den))
@@ -322,134 +362,36 @@ def mixed_lists(rooted: DataFrame, num: int, den: int) -> DataFrame:
     return able.join(some, "key", "left_semi")
 
 
-def _enough(most: str, edge: str, n: str, other: str, far: str, m: str, pos: str, num: int, den: int) -> Column:
-    """The bound of the set of the lesser edge reaches the overlap that a link needs."""
-    bound = F.when(F.col(edge) <= F.col(far), F.col(most)).otherwise(F.col(other))
-    return (F.col(pos) < 0) | (bound * (num + den) >= (F.col(n).cast("long") + F.col(m)) * num)
-
-
-_OTHER = {"cls": "oc", "n": "on", "pos": "op", "most": "om", "edge": "oe", "root": "oroot", "alive": "oalive"}
-
-
-def _worth(num: int, den: int) -> Column:
-    """A pair of entries (own columns and those of _OTHER) of different components that may link."""
-    apart = (F.col("root") != F.col("oroot")) & (F.col("alive") | F.col("oalive"))
-    return apart & _may_link("n", "pos", "on", "op", num, den) & _enough("most", "edge", "n", "om", "oe", "on", "pos", num, den)
-
-
-def drawn_pairs(able: DataFrame, turn: int, num: int, den: int, partners: int = 3) -> DataFrame:
-    """Pairs of different components: each set with the next few in each list, in an order of the turn's own that all lists share."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
-    near = able.withColumn("o", F.array(*(F.lag(F.struct(*_OTHER), k).over(order) for k in range(1, partners + 1))))
-    pairs = near.select(*_OTHER, F.explode("o").alias("o")).where(F.col("o").isNotNull()).select(*_OTHER, *(F.col(f"o.{x}").alias(y) for x, y in _OTHER.items()))
-    return pairs.where(_worth(num, den)).select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
-
-
-def large_roots(able: DataFrame) -> DataFrame:
-    """(root, size) of the components with LARGE sets or more here."""
-    return able.select("root", "cls").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
-
-
-def against_large(able: DataFrame, large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of sets with large components that they share a list with, one for a set and block of members.
-
-    Members and outer sets are dealt into blocks, and each pair of blocks is compared in
-    one task, so no row is made for a pair; members are linked already, so one link is
-    as good as all.
-    """
-    sized = able.join(large.select("root", F.col("size").alias("own")), "root", "left")
-    groups = able.join(large, "root").select("key", F.col("root").alias("other"), "size").distinct()
-    smaller = F.struct(F.coalesce("own", F.lit(0)).alias("s"), F.col("root").alias("r")) < F.struct(F.col("size").alias("s"), F.col("other").alias("r"))
-    outer = settle(sized.select("key", "cls", "root", "own").join(groups, "key").where((F.col("root") != F.col("other")) & smaller).select("cls", "other", "size").distinct())
-    many = outer.groupBy("other", "size").agg(F.count(F.lit(1)).alias("outer"))
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(SIDE))).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    deal = lambda n: F.pmod(F.xxhash64("cls"), blocks(n)).cast("int")
-    members = able.select(F.col("root").alias("other"), "cls").distinct().join(many, "other")
-    left = members.select("other", "cls", deal("size").alias("i"), spread("outer").alias("j"), F.lit(True).alias("member"))
-    right = outer.drop("size").join(many, "other").select("other", "cls", spread("size").alias("i"), deal("outer").alias("j"), F.lit(False).alias("member"))
-    dealt = left.unionByName(right).join(found.select(F.col("c").alias("cls"), "ids"), "cls")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        inner, others = frame[frame["member"]], frame[~frame["member"]]
-        out: list[tuple[int, int]] = []
-        if len(inner) and len(others):
-            size = inner["ids"].str.len().to_numpy()
-            ids, place = np.unique(np.concatenate(inner["ids"].to_list()), return_inverse=True)
-            at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            for cls, own in zip(others["cls"], others["ids"], strict=True):
-                k = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                mark = np.zeros(len(ids), np.int64)
-                mark[k[ids[k] == own]] = 1
-                shared = np.add.reduceat(mark[place], at)
-                hit = np.flatnonzero(shared * den >= (size + len(own) - shared) * num)
-                if len(hit):
-                    other = int(inner["cls"].iloc[hit[0]])
-                    out.append((min(cls, other), max(cls, other)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return dealt.groupBy("other", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def across(able: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components that share a list and may link, but for those with a large component."""
-    able = able.join(large.select("root"), "root", "left_anti")
-    other = able.select("key", *(F.col(x).alias(y) for x, y in _OTHER.items()))
-    # one of a pair is alive; where both are, the pair comes once
-    once = ~F.col("oalive") | (F.col("cls") < F.col("oc"))
-    pairs = able.where("alive").join(other, (able["key"] == other["key"]) & _worth(num, den) & once)
-    return pairs.select(F.least("cls", "oc").alias("a"), F.greatest("cls", "oc").alias("b")).distinct()
-
-
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranks = word_ranks(narrow)
-    every = settle(sets(narrow, ranks, k, num, den))
-    # the members of a class have equal columns, so any one stands for it
-    classes = settle(every.where("n > 0").drop("doc_id").dropDuplicates(["cls"]))
-    sizes = {r["n"]: (r["sets"], r["cost"]) for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("cost").alias("cost")).collect()}
-    boundary = choose_boundary(sizes, num, den)
-    entries = lists(classes, boundary, num, den)
-    of_key = Window.partitionBy("key")
-    entries = settle(entries.withColumn("many", F.min("cls").over(of_key) != F.max("cls").over(of_key)).where("many").drop("many"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = settle(plausible(pairs, classes, num, den))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        return settle(linked(likely, whole_sets(narrow, wanted, ranks, k), num, den))
-
-    tested = settle(candidate_pairs(entries, num, den))
-    edges = links(tested)
-    roots = components(edges)
-    rooted = settle(rooted_entries(entries, classes, roots, num, den))
-    # components mostly meet within a few draws; what is left is compared in full
-    for turn in range(DRAWS + 2):
-        if turn <= DRAWS:
-            able = settle(mixed_lists(rooted, num, den))
-            if not able.limit(1).count():
-                break
-        if turn == DRAWS:
-            large = settle(large_roots(able))
-            if not large.limit(1).count():
-                continue
-            shared = able.join(large, "root", "left_semi").select("key").distinct()
-            wanted = able.join(shared, "key", "left_semi").select(F.col("cls").alias("c")).distinct()
-            late = settle(against_large(able, large, whole_sets(narrow, wanted, ranks, k), num, den))
-        else:
-            some = settle((drawn_pairs(able, turn, num, den) if turn < DRAWS else across(able, large, num, den)).join(tested, ["a", "b"], "left_anti"))
-            if not some.limit(1).count():
-                continue
-            late = links(some)
-            tested = tested.unionByName(some)
+    with Scratch(docs.sparkSession) as scratch:
+        ranks = word_ranks(narrow)
+        every = scratch.settle(sets(narrow, scratch.broadcast(ranks), k, num, den))
+        # the members of a class have equal columns, so any one stands for it
+        classes = scratch.settle(every.where("n > 0").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "cost", "prefix", "small"))))
+        sizes = {r["n"]: (r["sets"], r["cost"]) for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.avg("cost").alias("cost")).collect()}
+        boundary = choose_boundary(sizes, num, den)
+        # lists of two sets or more; those of the same sets have the same count and the same two sums of hashes
+        prints = [F.bit_xor(F.xxhash64("cls", F.lit(x))).alias(f"print{x}") for x in (0, 1)]
+        counts = scratch.settle(lists(classes, boundary, num, den).groupBy("key").agg(F.count(F.lit(1)).alias("sets"), *prints).where("sets > 1"))
+        some = scratch.broadcast(bitmap(F.col("key"), counts))
+        once = counts.groupBy("sets", "print0", "print1").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("once"))
+        told = counts.select("key", "sets").join(once, "key", "left")
+        entries = scratch.settle(lists(classes, boundary, num, den, some).join(told, "key"))
+        wanted = entries.select("cls").distinct()
+        shared = scratch.broadcast((ranks, bitmap(F.col("cls"), wanted)))
+        whole = scratch.settle(whole_sets(narrow, wanted, shared, k))
+        longest = entries.where("once").groupBy("cls").agg(F.max_by("key", F.struct("sets", "key")).alias("key"), F.first("n").alias("n"))
+        edges = scratch.settle(compared(dealt_in_blocks(longest, False), whole, num, den))
+        roots = components(edges, scratch)
+        able = mixed_lists(rooted_entries(entries, roots, num, den), num, den)
+        late = scratch.settle(compared(dealt_in_blocks(able, True), whole, num, den))
         if late.limit(1).count():
-            edges = edges.unionByName(late)
-            roots = components(edges)
-            # components only merge, so later turns need no other lists than these
-            rooted = able.drop("root", "alive").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+            roots = components(edges.unionByName(late), scratch)
+        member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+        return settle(member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

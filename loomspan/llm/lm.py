@@ -76,18 +76,6 @@ def grams(seq: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return [(one, tb.mix(seq[one]) >> _SMALL), (two + 1, pair[two] >> _SMALL), (three + 2, triple[three] >> _SMALL)]
 
 
-def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
-    """Whole numbers as compressed bytes, all lowest bytes first."""
-    planes = values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
-    return np.array([len(values)], "<u8").tobytes() + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if planes else b"")
-
-
-def unpacked(blob: bytes, kind: str = "<u4") -> np.ndarray:
-    n, width = int(np.frombuffer(blob, "<u8", 1)[0]), np.dtype(kind).itemsize
-    planes = pa.decompress(blob[8:], n * width, "zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n)
-
-
 def _in_blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
     """(block, sequences, starts, ids, whether each is learned from), of whole texts with so many tokens or more; blocks are numbered by partition."""
     first = TaskContext.get().partitionId() << 32
@@ -132,8 +120,8 @@ def asked(texts: DataFrame, parts: int, tokens: int) -> DataFrame:
                 key = both[at] >> tb.U64(1)
                 n = np.add.reduceat((both & tb.U64(1)).astype(np.int64), at) if len(at) else at
                 cuts = [*np.searchsorted(key, edges), len(key)]
-                columns.append([packed(np.diff(key[a:b], prepend=tb.U64(0)), "<u8") for a, b in zip(cuts, cuts[1:])])
-                columns.append([packed(n[a:b]) for a, b in zip(cuts, cuts[1:])])
+                columns.append([tb.packed(np.diff(key[a:b], prepend=tb.U64(0)), "<u8") for a, b in zip(cuts, cuts[1:])])
+                columns.append([tb.packed(n[a:b]) for a, b in zip(cuts, cuts[1:])])
             yield pa.RecordBatch.from_arrays([pa.array([block] * parts), pa.array(np.arange(parts, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "part", "k1", "n1", "k2", "n2", "k3", "n3"])
 
     return texts.mapInArrow(ship, "block long, part int, k1 binary, n1 binary, k2 binary, n2 binary, k3 binary, n3 binary")
@@ -145,9 +133,9 @@ def answered(asked: DataFrame) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         out, distinct, total = [], 0, 0
         for order in (1, 2, 3):
-            keys = [np.cumsum(unpacked(x, "<u8"), dtype=tb.U64) for x in rows.column(f"k{order}").to_pylist()]
+            keys = [np.cumsum(tb.unpacked(x, "<u8"), dtype=tb.U64) for x in rows.column(f"k{order}").to_pylist()]
             every = np.concatenate(keys)
-            n = np.concatenate([unpacked(x) for x in rows.column(f"n{order}").to_pylist()]).astype(np.int64)
+            n = np.concatenate([tb.unpacked(x) for x in rows.column(f"n{order}").to_pylist()]).astype(np.int64)
             by = np.argsort(every, kind="stable")
             every = every[by]
             at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
@@ -157,7 +145,7 @@ def answered(asked: DataFrame) -> DataFrame:
             sums = np.where(sums >= (LEAST if order > 1 else 1), sums, 0)
             n[by] = np.repeat(sums, np.diff(np.append(at, len(every))))
             cuts = np.cumsum([0, *map(len, keys)])
-            out.append([packed(n[a:b], "<u8") for a, b in zip(cuts, cuts[1:])] + [b""])
+            out.append([tb.packed(n[a:b], "<u8") for a, b in zip(cuts, cuts[1:])] + [b""])
         part = rows.column("part")[0].as_py()
         size = rows.num_rows
         return pa.table({"block": pa.array(rows.column("block").to_pylist() + [-1], pa.int64()), "part": pa.array([part] * (size + 1), pa.int32()), "tokens": pa.array([0] * size + [total], pa.int64()), "distinct": pa.array([0] * size + [distinct], pa.int64()), **{f"c{k + 1}": pa.array(c, pa.binary()) for k, c in enumerate(out)}})
@@ -173,7 +161,7 @@ def payloads(texts: DataFrame, tokens: int) -> DataFrame:
             words, place = np.unique(seq, return_inverse=True)
             one = lambda x, kind: pa.array([x], kind)
             yield pa.RecordBatch.from_arrays(
-                [one(block, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one(packed(learned, "u1"), pa.binary()), one(packed(np.diff(start)), pa.binary()), one(packed(np.diff(words, prepend=tb.U64(0)), "<u8"), pa.binary()), one(packed(place), pa.binary())],
+                [one(block, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one(tb.packed(learned, "u1"), pa.binary()), one(tb.packed(np.diff(start)), pa.binary()), one(tb.packed(np.diff(words, prepend=tb.U64(0)), "<u8"), pa.binary()), one(tb.packed(place), pa.binary())],
                 names=["block", "ids", "learned", "size", "words", "seq"],
             )
 
@@ -265,15 +253,15 @@ _READ_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("learned
 def read_block(payload: pa.Table, answers: pa.Table, bulk: float) -> pa.Table:
     """bulk: what the base divides by. A row of kind 0 for each text (``grp``, ``times``: the failure arcs taken), and one of kind 1: visits of the training texts by group, and the mass of the arcs found."""
     (row,) = payload.to_pylist()
-    words, place = np.cumsum(unpacked(row["words"], "<u8"), dtype=tb.U64), unpacked(row["seq"]).astype(np.int64)
-    size, learned = unpacked(row["size"]).astype(np.int64), unpacked(row["learned"], "u1").astype(bool)
+    words, place = np.cumsum(tb.unpacked(row["words"], "<u8"), dtype=tb.U64), tb.unpacked(row["seq"]).astype(np.int64)
+    size, learned = tb.unpacked(row["size"]).astype(np.int64), tb.unpacked(row["learned"], "u1").astype(bool)
     start = np.concatenate([[0], np.cumsum(size)])
     seq = words[place]
     by = np.argsort(answers.column("part").to_numpy())
     n, where, which = [], [], []
     for order, (last, key) in enumerate(grams(seq, start), 1):
         blobs = answers.column(f"c{order}").to_pylist()
-        counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(blobs[i], "<u8").astype(np.int64) for i in by)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(tb.unpacked(blobs[i], "<u8").astype(np.int64) for i in by)])
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         if len(unique) != len(counts):
             raise RuntimeError("the table gave other rows when it was read again; write it first")

@@ -76,3 +76,42 @@ def test_keep_one_tells_rows_of_an_id_apart(spark):
     rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, "few"), (4, "words"), (4, "words"), (5, ""), (None, a), (None, None)]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (4, "few"), (4, "words"), (5, ""), (None, a), (None, None)]))
+
+
+def test_thousands_of_near_copies_that_rarely_link(spark):
+    """One text with its own few words changed each time: most pairs are below the bound, and all share their lists."""
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for k in r.sample(range(0, 120, 6), 2 if i % 40 else 1):
+            w[k] = f"own{i}x{k}" if r.random() < 0.9 else "same"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    want = {a: c for a, _, c in brute(rows, 3, 90, 100)}
+    assert got == want and 1 < len(set(want.values())) < 1500
+
+
+def test_overlaps_and_forest_against_plain_sets():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    left = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in r.integers(1, 60, 23)]
+    right = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in r.integers(1, 60, 17)]
+    for a, b in ((left, right), (left, left)):
+        assert np.array_equal(jaccard.overlaps(a, b, 32), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+    link = r.random((30, 20)) < 0.04
+    la, lb = jaccard.forest(link)
+    label = list(range(50))
+    for _ in range(50):
+        for i, j in np.argwhere(link):
+            label[i] = label[30 + j] = min(label[i], label[30 + j])
+    assert [*la, *lb] == label
+
+
+def test_further_columns_and_a_long_text(spark):
+    rows = [(1, "a b c " * 60_000 + "x y z", 1, "k"), (2, "a b c " * 60_000 + "x y z", 2, "k"), (3, "a b", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, key string")
+    assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == [(1, 10, 1), (2, 10, 1), (3, 1, 3)]
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 3]

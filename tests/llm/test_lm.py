@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import lm
+from loomspan.llm import textbatch as tb
 from loomspan.llm.common import fold_of, table
 
 
@@ -98,7 +99,7 @@ def test_packed_numbers_come_back():
     import numpy as np
 
     for values, kind in ((np.zeros(0, np.uint64), "<u8"), (np.array([1, 2**63, 5], np.uint64), "<u8"), (np.arange(1000), "<u4"), (np.array([True, False]), "u1")):
-        assert np.array_equal(lm.unpacked(lm.packed(values, kind), kind), values)
+        assert np.array_equal(tb.unpacked(tb.packed(values, kind), kind), values)
 
 
 def test_rare_ngrams_stay_in_a_large_corpus(spark):
