@@ -16,15 +16,17 @@ Rarity is that of a shingle's rarest word, then that of all its words together,
 table of word counts with a fixed number of buckets, over the whole corpus; the order
 needs only to be the same for all sets.
 
-Lists of the same sets count once. Links are wanted as components, so two rounds do. In
-the first, each set is compared within the longest of its lists. After the components of
-these links, the lists that still hold sets of several components, and a set that can
-link there, are compared in full, so no link between different texts is lost. Sets meet in
-groups of at most about SIDE sets or GROUP_SHINGLES shingles: a longer list is dealt into blocks, and
-each pair of blocks is a group. A group's overlaps are one product of 0/1 matrices; it
-gives back a forest of its links, so no row is ever made for a pair.
-
-The whole sets of all that share a list are made from the texts once, found by a bitmap
+Lists of the same sets count once. Sets meet in groups of at most about SIDE sets or
+GROUP_SHINGLES shingles: a longer list is dealt into blocks, and each pair of blocks is a
+group. A group is first thinned out by its sets' first shingles alone (two that link share
+a number of them that their sizes tell): what is left are its components of plausible
+pairs, of which those of the same sets count once again. These are compared by whole
+sets in two rounds: each set in the largest that it is in, and, after the components of
+these links, those in full that still hold several components, so no link between
+different texts is lost. Overlaps are products of 0/1 matrices, and a group gives back a
+forest of its links, so no row is ever made for a pair.
+
+The whole sets of all that have a plausible partner are made from the texts once, found by a bitmap
 of fixed size and joined exactly.
 
 Defined results: null texts, and those without words, have the empty set and are their
@@ -271,54 +273,98 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048)
     return out
 
 
-def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Component labels of the left and right nodes of a bipartite graph, left node i being i and right node j being n + j."""
+def forest(link: np.ndarray, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of the left and right nodes of a bipartite graph, left node i being i and right node j being n + j; ``one``: both sides are the same nodes, and i stands for both."""
     n, m = link.shape
-    left, right, far = np.arange(n), n + np.arange(m), n + m
+    left, right, far = np.arange(n), np.arange(m) + (0 if one else n), n + m
     while True:
         new_left = np.minimum(left, np.where(link, right[None, :], far).min(axis=1, initial=far))
-        new_right = np.minimum(right, np.where(link, new_left[:, None], far).min(axis=0, initial=far))
+        new_right = new_left if one else np.minimum(right, np.where(link, new_left[:, None], far).min(axis=0, initial=far))
         if np.array_equal(left, new_left) and np.array_equal(right, new_right):
             return left, right
         left, right = new_left, new_right
 
 
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a group's left and right sets; both are all where a block meets itself."""
+    side = rows.column("side").to_numpy()
+    if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
+        return np.arange(len(side)), np.arange(len(side))
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _halves(values: list, a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
+    left = [values[x] for x in a]
+    return left, left if np.array_equal(a, b) else [values[x] for x in b]
+
+
+def heads(classes: DataFrame) -> DataFrame:
+    """(cls, head): 32 bits of each first shingle's hash, packed."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = [tb.packed(np.diff(np.sort(x.values.to_numpy().astype(np.uint32)), prepend=np.uint32(0))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(head, pa.binary())], names=["cls", "head"])
+
+    return classes.select("cls", "prefix").mapInArrow(rows, "cls long, head binary")
+
+
+def plausible(groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, i, j, label, side, cls, n): the groups' components of pairs whose sizes and first shingles allow a link."""
+
+    def parts(rows: pa.Table) -> pa.Table:
+        a, b = _sides(rows)
+        ids = [np.cumsum(tb.unpacked(x), dtype=np.uint32) for x in rows.column("head").to_pylist()]
+        n, cls = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "cls"))
+        # equal bits of different shingles can only add to an overlap, but for those of one set
+        twice = np.array([len(x) for x in ids])
+        ids = [np.unique(x) for x in ids]
+        twice -= np.array([len(x) for x in ids])
+        shared = overlaps(*_halves(ids, a, b)).astype(np.int64)
+        na, nb = n[a][:, None], n[b][None, :]
+        behind = np.maximum(-(-n * num // den)[a][:, None], -(-n * num // den)[b][None, :])
+        least = -(-(na + nb) * num // (num + den)) - behind + 1 - twice[a][:, None] - twice[b][None, :]
+        sized = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+        same = len(a) == len(rows)
+        la, lb = forest(sized & (shared >= least) & (cls[a][:, None] != cls[b][None, :]), same)
+        label, place = (la, a) if same else (np.concatenate([la, lb]), np.concatenate([a, b]))
+        _, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
+        keep = size[inverse] > 1
+        kept = rows.take(pa.array(place[keep]))
+        return pa.table({**{c: kept.column(c) for c in ("key", "i", "j")}, "label": pa.array(label[keep].astype(np.int32)), **{c: kept.column(c) for c in ("side", "cls", "n")}})
+
+    dealt = groups.join(heads(classes), "cls").select("key", "i", "j", "side", "cls", "n", "head")
+    return dealt.groupBy("key", "i", "j").applyInArrow(parts, "key long, i int, j int, label int, side int, cls long, n int")
+
+
 def compared(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), pairs of one component each. groups: (key, i, j, cls, side), to be compared within side 0, or of side 0 with side 1 where there is one."""
+    """(a, b), pairs of one component each, of the groups (key, i, j, label, side, cls) compared by whole sets."""
 
     def links(rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
+        a, b = _sides(rows)
+        if len(a) == 0 or len(b) == 0 or len(rows) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         cls = rows.column("cls").to_numpy()
         ids = [np.cumsum(tb.unpacked(x, "<u8"), dtype=tb.U64) for x in rows.column("ids").to_pylist()]
-        parts = [[np.flatnonzero(side == k)] for k in (0, 1)]
-        if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
-            parts[1] = parts[0]
-        (a,), (b,) = parts
-        if len(a) == 0 or len(b) == 0 or len(cls) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        left = [ids[x] for x in a]
-        right = left if b is a else [ids[x] for x in b]
-        shared = overlaps(left, right).astype(np.int64)
+        shared = overlaps(*_halves(ids, a, b)).astype(np.int64)
         size = np.array([len(x) for x in ids])
-        la, lb = forest(shared * den >= (size[a][:, None] + size[b][None, :] - shared) * num)
+        la, lb = forest(shared * den >= (size[a][:, None] + size[b][None, :] - shared) * num, len(a) == len(rows))
         every = np.concatenate([cls[a], cls[b]])
         one, other = every, every[np.concatenate([la, lb])]
         apart = one != other
         return pa.table({"a": one[apart], "b": other[apart]})
 
-    dealt = groups.join(whole, "cls").select("key", "i", "j", "side", "cls", "ids")
-    return dealt.groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct()
+    dealt = groups.join(whole, "cls").select("key", "i", "j", "label", "side", "cls", "ids")
+    return dealt.groupBy("key", "i", "j", "label").applyInArrow(links, "a long, b long").distinct()
 
 
-def dealt_in_blocks(entries: DataFrame, crosswise: bool) -> DataFrame:
-    """(key, i, j, cls, side): the sets of each list in groups of bounded size; crosswise: each pair of blocks, not only each block with itself."""
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.col("n").cast("long")).alias("shingles")).where("sets > 1")
+def dealt_in_blocks(entries: DataFrame) -> DataFrame:
+    """(key, i, j, side, cls, n): the sets of each list in groups of bounded size, one for each pair of blocks."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.col("n").cast("long")).alias("shingles"))
     blocks = F.greatest(_up(F.col("sets"), SIDE), _up(F.col("shingles"), GROUP_SHINGLES)).cast("int")
-    own = entries.select("key", "cls").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    if not crosswise:
-        return own.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "cls", F.lit(0).alias("side"))
+    own = entries.select("key", "cls", "n").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "n")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -336,32 +382,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return label
 
 
-def rooted_entries(entries: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries with their component's ``root`` and ``most``.
-
-    A set's first shingles that no other set has among its own leave ``most`` of the set.
-    Of two sets, the one whose first shingles end earlier in the order has none of them
-    behind those of the other, so its ``most`` bounds the overlap of the two.
-    """
-    own = entries.where("pos >= 0").groupBy("cls").agg(F.count(F.lit(1)).alias("kept"))
-    n = F.col("n").cast("long")
-    first = n - _up(n * num, den) + 1
-    most = F.when(F.col("pos") >= 0, n - first + F.coalesce("kept", F.lit(0))).otherwise(n).cast("long")
-    return entries.join(own, "cls", "left").withColumn("most", most).drop("kept").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-
-def mixed_lists(rooted: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries of the lists that still hold several components and a set that may be the one of the lesser edge in a link there; of lists of the same sets, one."""
-    rooted = rooted.where("once")
-    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
-    n = F.col("n").cast("long")
-    partner = F.greatest(F.col("least").cast("long"), _up(n * num, den))
-    alive = (F.col("pos") < 0) | (F.col("most") * (num + den) >= (n + partner) * num)
-    able = rooted.join(keys, "key").withColumn("alive", alive).drop("least")
-    some = able.groupBy("key").agg(F.max("alive").alias("some")).where("some").select("key")
-    return able.join(some, "key", "left_semi")
-
-
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -376,17 +396,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
         prints = [F.bit_xor(F.xxhash64("cls", F.lit(x))).alias(f"print{x}") for x in (0, 1)]
         counts = scratch.settle(lists(classes, boundary, num, den).groupBy("key").agg(F.count(F.lit(1)).alias("sets"), *prints).where("sets > 1"))
         some = scratch.broadcast(bitmap(F.col("key"), counts))
-        once = counts.groupBy("sets", "print0", "print1").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("once"))
-        told = counts.select("key", "sets").join(once, "key", "left")
-        entries = scratch.settle(lists(classes, boundary, num, den, some).join(told, "key"))
-        wanted = entries.select("cls").distinct()
+        once = counts.groupBy("sets", "print0", "print1").agg(F.min("key").alias("key")).select("key")
+        entries = scratch.settle(lists(classes, boundary, num, den, some).join(once, "key").select("key", "cls", "n"))
+        groups = scratch.settle(plausible(dealt_in_blocks(entries), classes, num, den))
+        shape = groups.groupBy("key", "i", "j", "label").agg(F.count(F.lit(1)).alias("sets"), *(F.bit_xor(F.xxhash64("cls", "side", F.lit(x))).alias(f"print{x}") for x in (0, 1))).withColumn("square", F.col("i") == F.col("j"))
+        first = shape.groupBy("sets", "print0", "print1", "square").agg(F.min(F.struct("key", "i", "j", "label")).alias("x")).select("x.*", "sets")
+        groups = scratch.settle(groups.join(first, ["key", "i", "j", "label"]))
+        wanted = groups.select("cls").distinct()
         shared = scratch.broadcast((ranks, bitmap(F.col("cls"), wanted)))
         whole = scratch.settle(whole_sets(narrow, wanted, shared, k))
-        longest = entries.where("once").groupBy("cls").agg(F.max_by("key", F.struct("sets", "key")).alias("key"), F.first("n").alias("n"))
-        edges = scratch.settle(compared(dealt_in_blocks(longest, False), whole, num, den))
+        largest = groups.where("i = j").groupBy("cls").agg(F.max_by(F.struct("key", "i", "j", "label", "side"), F.struct("sets", "key", "i", "label")).alias("x")).select("x.*", "cls")
+        edges = scratch.settle(compared(largest, whole, num, den))
         roots = components(edges, scratch)
-        able = mixed_lists(rooted_entries(entries, roots, num, den), num, den)
-        late = scratch.settle(compared(dealt_in_blocks(able, True), whole, num, den))
+        rooted = groups.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = rooted.groupBy("key", "i", "j", "label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
+        late = scratch.settle(compared(groups.join(mixed, ["key", "i", "j", "label"]), whole, num, den))
         if late.limit(1).count():
             roots = components(edges.unionByName(late), scratch)
         member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
