@@ -1,28 +1,34 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction.
 
-The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. What
-they find are seed entities. The one and two words before an entity are lexical
-patterns; other strings of an identifier's shape are unproved instances. Spark scores
-the graph of patterns and instances in rounds:
-
-- a pattern's confidence for a kind is the trusted share of all places in the corpus
-  where its words stand (so common words are never confident), copies counted on both
-  sides, and it needs a minimum of distinct instances;
+The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. What
+they find are seed entities. The one and two whole words before an entity, and those
+after it, are lexical patterns; other strings of an identifier's shape are unproved
+instances. Spark scores the graph of patterns and instances in rounds:
+
+- every instance trusted so far brings in its contexts as patterns, seeds and found ones
+  alike; the places where a new pattern's words stand are counted over all texts;
+- a pattern's confidence for a kind is the trusted share of those places (so common
+  words are never confident), copies counted on both sides, and it needs a minimum of
+  distinct instances;
 - an instance's trust is 1 - prod(1 - confidence) over its patterns.
 
-Instances behind patterns that end up confident become spans of that kind, where they
-overlap no fixed one. Occurrences are counted over all texts; a bitmap of fixed size
-that is broadcast tells which word pairs are worth counting.
+It ends when a round brings no new pattern, after ROUNDS at the latest. Instances beside
+patterns that end up confident become spans of that kind, where they overlap no fixed
+one: a last scan of the texts looks the contexts up in the confident patterns, broadcast
+in blocks of at most about MOST_PATTERNS. No text is shuffled. Bitmaps of fixed size tell which
+words are worth counting.
 
 Defined results: null and empty texts have no spans and empty span strings; their
-digest is that of the empty string. Repeated rows get equal results, each a row.
-Further columns are ignored by ``detect`` and kept by ``redact``.
+digest is that of the empty string. Repeated rows get equal results, each a row, and
+change no other row's. Of two patterns of equal confidence the kind listed first counts. Further
+columns are ignored by ``detect`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import settle, table
+from .common import Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+#: Patterns of a broadcast: 13 bytes each.
+MOST_PATTERNS = 1 << 19
 MIN_INSTANCES = 4.0
 MIN_CONFIDENCE = 0.5
 BITMAP_BITS = 22
@@ -48,6 +56,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _AT = re.compile(r"\x20?[\[(]at[\])]\x20?", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+", re.I)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_REACH = 400
+_SPACES = frozenset(" \t\n\v\f\r")
+_WORTH = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
 _EDGE = "\"'`.,;:!?()[]{}<>|#$%&*=~"
 _FOLD = tb.LOWER.copy()
 _FOLD[48:58] = 48
@@ -101,34 +112,48 @@ def unproved(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, in
         if len(bare) >= 6 and sum(c in "0123456789" for c in bare) >= 5:
             start = m.start() + len(word) - len(word.lstrip(_EDGE))
             out.append(("number", start, start + len(bare)))
-    busy = [(a, b) for _, a, b in taken]
-    clear = []
-    for shape, a, b in out:
-        if all(b <= x or a >= y for x, y in busy):
+    clear, busy = [], sorted([(a, b, "") for _, a, b in taken] + [(a, b, shape) for shape, a, b in out], key=lambda x: (x[0], x[2] != "", -x[1]))
+    # in order of start, an instance is clear if nothing before reaches into it and no fixed span begins in it
+    fixed = [a for a, _, shape in busy if not shape]
+    reach = k = 0
+    for a, b, shape in busy:
+        while k < len(fixed) and fixed[k] < a:
+            k += 1
+        if not shape:
+            reach = max(reach, b)
+        elif a >= reach and (k == len(fixed) or fixed[k] >= b):
             clear.append((shape, a, b))
-            busy.append((a, b))
+            reach = b
     return clear
 
 
-def contexts(text: str, start: int) -> list[int]:
-    """Hashes of the word before start, and of the two words before it (within 400 characters)."""
-    words = _WORD.findall(text, max(0, start - 400), start)[-2:]
-    if not words:
-        return []
-    raw = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8)
-    h, row = tb.words(_FOLD[raw], np.array([0, len(raw)]))
-    one, two = _context_hashes(h, row)
-    return [int(x) for x in (*one[-1:].view(np.int64), *two[-1:].view(np.int64))]
+_SALTS = tuple(tb.U64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95, 0x9FB21C651E98DF25))
+
+
+def contexts(text: str, start: int, stop: int) -> list[int]:
+    """Hashes of the whole word before a span, of the two before it, of the one after it and of the two after it (within _REACH characters)."""
+    out: list[int] = []
+    low, high = max(0, start - _REACH), min(len(text), stop + _REACH)
+    while start > low and text[start - 1] not in _SPACES:  # a word that holds the span is no context
+        start -= 1
+    while stop < high and text[stop] not in _SPACES:
+        stop += 1
+    before, after = list(_WORD.finditer(text, low, start))[-2:], list(islice(_WORD.finditer(text, stop, high), 2))
+    # words that the reach cuts off are none
+    before = [m[0] for m in before if m.start() > low or low == 0]
+    after = [m[0] for m in after if m.end() < high or high == len(text)]
+    for words, one, near in ((before, 0, -1), (after, 2, 0)):
+        if words:
+            raw = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+            single, double = _context_hashes(*tb.words(_FOLD[raw], np.array([0, len(raw)])))
+            out += [int((single[[near]] ^ _SALTS[one]).view(np.int64)[0]), *((double ^ _SALTS[one + 1]).view(np.int64).tolist())]
+    return out
 
 
 def _context_hashes(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and of each two neighbours in a row."""
     near = row[1:] == row[:-1]
-    return tb.mix(h ^ tb.U64(0x5851F42D4C957F2D)), tb.mix(h[:-1][near] * tb.U64(0x2545F4914F6CDD1D) + h[1:][near])
-
-
-_SPAN = "struct<kind:string,start:int,stop:int,value:long,contexts:array<long>,seed:boolean>"
-_SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.int64()), ("contexts", pa.list_(pa.int64())), ("seed", pa.bool_())]))
+    return tb.mix(h), tb.mix(h[:-1][near] * tb.U64(0x2545F4914F6CDD1D) + h[1:][near])
 
 
 def _value(text: str) -> int:
@@ -136,44 +161,50 @@ def _value(text: str) -> int:
     return int(tb.Prefix(raw).of(np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and ``__spans``: seeds and unproved instances with value and contexts; texts without digit and @ need no search."""
-    from pyspark.sql.types import ArrayType, StructField, StructType
+def spans(text: str) -> list[tuple[str, int, int, bool]]:
+    """(kind or shape, start, end, whether a fixed pattern found it); texts without digit and @ need no search."""
+    if not _WORTH.search(text):
+        return []
+    seeds = fixed_spans(text)
+    return [(*x, True) for x in seeds] + [(*x, False) for x in unproved(text, seeds)]
 
-    at = docs.columns.index(text)
-    kind = docs.sparkSession.createDataFrame([], f"s array<{_SPAN}>").schema["s"].dataType
-    assert isinstance(kind, ArrayType)
-    worth = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
+
+def edges(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(context, value, kind, seed, n): how often each instance stands beside each context; kind is the shape where it is no seed."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for one in batch.column(at):
-                body, spans = one.as_py() or "", []
-                if worth.search(body):
-                    seeds = fixed_spans(body)
-                    for own, group in ((True, seeds), (False, unproved(body, seeds))):
-                        spans += [{"kind": k, "start": a, "stop": b, "value": _value(body[a:b]), "contexts": contexts(body, a), "seed": own} for k, a, b in group]
-                found.append(spans)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPAN_ARROW)], names=[*batch.schema.names, "__spans"])
-
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__spans", kind)]))
-
-
-def occurrences(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+            held: dict[tuple, int] = {}
+            for one in batch.column(0):
+                body = one.as_py() or ""
+                for kind, start, stop, seed in spans(body):
+                    value = _value(body[start:stop])
+                    for context in contexts(body, start, stop):
+                        key = context, value, kind, seed
+                        held[key] = held.get(key, 0) + 1
+            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["context", "value", "kind", "seed", "n"])
+
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "context long, value long, kind string, seed boolean, n long")
+    return found.groupBy("context", "value", "kind", "seed").agg(F.sum("n").alias("n"))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """(context, total): how often each pattern's words stand in all texts."""
     slot = F.shiftrightunsigned("context", 64 - BITMAP_BITS).cast("int")
     slots = patterns.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy()  # at most 2 ** BITMAP_BITS
     bits = np.zeros(1 << BITMAP_BITS, bool)
     bits[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = scratch.broadcast(np.packbits(bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+        wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             hits = [np.zeros(0, tb.U64)]
             for _, _, data, bounds in tb.chunks(batch.column(0)):
-                for h in _context_hashes(*tb.words(_FOLD[data], bounds)):
+                single, double = _context_hashes(*tb.words(_FOLD[data], bounds))
+                for h in (single ^ _SALTS[0], double ^ _SALTS[1], single ^ _SALTS[2], double ^ _SALTS[3]):
                     hits.append(h[wanted[(h >> tb.U64(64 - BITMAP_BITS)).astype(np.int64)]])
             context, n = np.unique(np.concatenate(hits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(n)], names=["context", "total"])
@@ -182,50 +213,89 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text: str = "text") -> Dat
     return counts.groupBy("context").agg(F.sum("total").alias("total")).join(patterns.select("context").distinct(), "context", "left_semi")
 
 
-def confident_patterns(docs: DataFrame, scanned: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(context, kind) of the patterns that the last round trusts."""
-    edges = settle(
-        scanned.select(F.explode("__spans").alias("s"))
-        .select("s.kind", "s.value", "s.seed", F.explode("s.contexts").alias("context"))
-        .groupBy("context", "value", "kind", "seed")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    likely = edges.where("seed").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= MIN_INSTANCES).select("context", "kind")
-    totals = settle(occurrences(docs, likely, text))
+def confident_patterns(docs: DataFrame, scratch: Scratch, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """(context, kind, confidence) of the patterns that the last round trusts."""
+    found = scratch.settle(edges(docs, text))
     # an unproved number can be of any kind but an address, a spelt-out address only that
     fits = F.when(F.col("kind") == "email", F.array(F.lit("email"))).otherwise(F.array(*(F.lit(k) for k in KINDS[1:])))
-    seeds = edges.where("seed").select("context", "value", "kind", "n").withColumn("trust", F.lit(1.0))
-    open_edges = edges.where("not seed").select("context", "value", "n", F.explode(fits).alias("kind"))
-    trusted = seeds
-    patterns = None
+    seeds = found.where("seed").select("context", "value", "kind", "n").withColumn("trust", F.lit(1.0))
+    open_edges = found.where("not seed").select("context", "value", "n", F.explode(fits).alias("kind"))
+    trusted, totals, patterns = seeds, None, None
     for turn in range(rounds):
-        scored = trusted.groupBy("context", "kind").agg(F.sum("trust").alias("hits"), F.sum(F.col("trust") * F.col("n")).alias("places")).join(totals, "context")
-        patterns = scored.select("context", "kind", (F.col("places") / F.greatest("total", "places")).alias("confidence"), "hits").where((F.col("hits") >= MIN_INSTANCES) & (F.col("confidence") >= MIN_CONFIDENCE))
-        patterns = settle(patterns)
-        if turn < rounds - 1:
-            miss = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
-            trust = open_edges.join(patterns.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(miss)).alias("trust"))
-            trusted = seeds.unionByName(open_edges.join(trust, ["value", "kind"]).select("context", "value", "kind", "n", "trust"))
-    return patterns.select("context", "kind", "confidence")
-
-
-def _marked(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows of scanned (with ``__row``), and ``__found``: all spans by kind as listed, then start; the best pattern gives an instance's kind."""
-    order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
-    instances = scanned.select("__row", F.posexplode("__spans").alias("at", "s")).where(~F.col("s.seed")).select("__row", "at", F.col("s.kind").alias("shape"), "s.start", "s.stop", F.explode("s.contexts").alias("context"))
-    added = (
-        instances.join(patterns, "context")
-        .where((F.col("shape") == "email") == (F.col("kind") == "email"))
-        .groupBy("__row", "at", "start", "stop")
-        .agg(F.max_by("kind", F.struct("confidence", -order)).alias("kind"))
-        .groupBy("__row")
-        .agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__added"))
-    )
-    both = scanned.join(added, "__row", "left")
-    fixed = F.transform(F.filter("__spans", lambda s: s["seed"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    every = F.concat(fixed, F.coalesce("__added", F.slice(fixed, 1, 0)))
-    ranked = F.array_sort(F.transform(every, lambda s: F.struct(F.array_position(F.array(*(F.lit(k) for k in KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    return both.withColumn("__found", ranked).withColumn("__fixed", fixed)
+        scored = trusted.groupBy("context", "kind").agg(F.sum("trust").alias("hits"), F.sum(F.col("trust") * F.col("n")).alias("places")).where(F.col("hits") >= MIN_INSTANCES - 1e-9)
+        scored = scratch.settle(scored)
+        new = scored.select("context").distinct() if totals is None else scored.select("context").distinct().join(totals, "context", "left_anti")
+        if totals is None or new.limit(1).count():
+            more = scratch.settle(occurrences(docs, new, scratch, text))
+            totals = more if totals is None else totals.unionByName(more)
+        elif turn:  # the same patterns as before, of hardly other confidence
+            turn = rounds - 1
+        confidence = (F.col("places") / F.greatest("total", "places")).alias("confidence")
+        patterns = scratch.settle(scored.join(totals, "context").select("context", "kind", confidence).where(F.col("confidence") >= MIN_CONFIDENCE))
+        if turn == rounds - 1:
+            break
+        miss = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
+        trust = open_edges.join(patterns, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(miss)).alias("trust"))
+        trusted = seeds.unionByName(open_edges.join(trust, ["value", "kind"]).select("context", "value", "kind", "n", "trust"))
+    return patterns
+
+
+_FOUND = "array<struct<kind:string,start:int,stop:int,confidence:double,contexts:array<long>>>"
+_FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("confidence", pa.float64()), ("contexts", pa.list_(pa.int64()))]))
+
+
+class Patterns:
+    """Confident patterns, sorted by context, for lookup."""
+
+    def __init__(self, context: np.ndarray, kind: np.ndarray, confidence: np.ndarray):
+        by = np.lexsort((kind, context))
+        self.context, self.kind, self.confidence = context[by], kind[by].astype(np.int8), confidence[by].astype(np.float32)
+
+    def best(self, own: list[int], email: bool) -> tuple[float, int]:
+        """Confidence and kind of the best pattern among the contexts; 0 if none fits the shape."""
+        out = 0.0, -1
+        for context in own:
+            a, b = np.searchsorted(self.context, [context, context + 1 if context < 2**63 - 1 else context], "left")
+            for k in range(a, b):
+                if (self.kind[k] == 0) == email:
+                    out = max(out, (float(self.confidence[k]), -int(self.kind[k])), key=lambda x: (x[0], x[1] if x[0] else -9))
+        return (out[0], -out[1]) if out[0] else (0.0, -1)
+
+
+def judged(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """docs and ``__found``: fixed spans (confidence 2) and unproved ones with the kind and confidence of their best pattern (0: none)."""
+    from pyspark.sql.types import StructField, StructType
+
+    blocks = max(1, -(-patterns.count() // MOST_PATTERNS))
+    at = docs.columns.index(text)
+    kind = docs.sparkSession.createDataFrame([], f"s {_FOUND}").schema["s"].dataType
+    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
+    out = docs
+    for number in range(blocks):
+        part = patterns.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == number).select("context", rank.alias("kind"), "confidence").toArrow()  # about MOST_PATTERNS rows
+        shared = docs.sparkSession.sparkContext.broadcast(Patterns(*(part.column(c).to_numpy() for c in ("context", "kind", "confidence"))))
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for i, one in enumerate(batch.column(at)):
+                    if first:
+                        body = one.as_py() or ""
+                        own = [{"kind": k, "start": a, "stop": b, "confidence": 2.0 * seed, "contexts": None if seed else contexts(body, a, b)} for k, a, b, seed in spans(body)]
+                    else:
+                        own = batch.column(batch.num_columns - 1)[i].as_py()
+                    for x in own:
+                        if x["confidence"] < 2:
+                            confidence, k = shared.value.best(x["contexts"], x["kind"] == "email")
+                            if confidence > x["confidence"] or confidence and confidence == x["confidence"] and k < KINDS.index(x["kind"]):
+                                x["confidence"], x["kind"] = confidence, KINDS[k]
+                    found.append(own)
+                kept = batch.columns if first else batch.columns[:-1]
+                names = batch.schema.names if first else batch.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _FOUND_ARROW)], names=[*names, "__found"])
+
+        out = out.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__found", kind)]))
+    return out
 
 
 def _joined(spans) -> object:
@@ -235,30 +305,34 @@ def _joined(spans) -> object:
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts and the digest are of the fixed patterns."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = settle(scan(narrow).select("doc_id", "__spans").withColumn("__row", F.monotonically_increasing_id()))
-    found = _marked(scanned, confident_patterns(narrow, scanned))
-    counts = [F.size(F.filter(F.col("__fixed.kind"), F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("__fixed")), 256).alias("base_sha256"), _joined(F.col("__found")).alias("spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = judged(narrow, confident_patterns(narrow, scratch))
+    fixed = F.filter("__found", lambda s: s["confidence"] == 2)
+    order = F.array(*(F.lit(k) for k in KINDS))
+    every = F.array_sort(F.transform(F.filter("__found", lambda s: s["confidence"] > 0), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    counts = [F.size(F.filter(F.transform(fixed, lambda s: s["kind"]), F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(fixed), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of ``text`` replaced by its kind in angle brackets, and ``n_chars`` set anew where there is one; null texts stay null."""
-    held = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    scanned = settle(scan(held.select("__row", F.col(text).cast("string").alias("text"))).where(F.size("__spans") > 0).select("__row", "__spans"))
-    patterns = confident_patterns(held.select(F.col(text).cast("string").alias("text")), scanned)
-    found = _marked(scanned, patterns).select("__row", "__found").where(F.size("__found") > 0)
+    """docs with every span of ``text`` replaced by its kind in angle brackets, and ``n_chars`` set anew where there is one; null texts stay null. No text leaves its task."""
+    plain = docs.withColumn(text, F.col(text).cast("string"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = judged(plain, confident_patterns(plain.select(F.col(text).alias("text")), scratch), text)
     # spans of different kinds may overlap: in order of start, each begins where the one before has ended
-    ordered = F.array_sort(F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    kept = F.filter("__found", lambda s: s["confidence"] > 0)
+    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     body = F.col(text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["stop"]).alias("at"))).otherwise(
         F.struct(F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["stop"].alias("at"))
     )
     cut = F.aggregate("__ordered", start, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    out = held.join(found.select("__row", ordered.alias("__ordered")), "__row", "left").withColumn(text, F.when(F.col("__ordered").isNotNull(), cut).otherwise(body))
+    some = F.size("__ordered") > 0
+    out = found.select(*docs.columns, ordered.alias("__ordered")).withColumn("__cut", F.when(some, cut).otherwise(body))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__ordered").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(some, F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col("__cut").alias(text) if c == text else c for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
