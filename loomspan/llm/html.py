@@ -1,21 +1,29 @@
 """HTML extraction by tag-path ratios.
 
-A page becomes a list of text nodes, each under a root-to-leaf path of tags. For each
-path the text length, punctuation, link text and number of nodes are summed; the ratio
-of text and of punctuation to nodes is smoothed over the neighbouring nodes in page
-order, both are fused, and paths above a share of the page's mean select their nodes.
-A path that a page's structure names as something else (navigation, header, footer,
-aside, form, advert, notice, comments) is never content, unless a container that has
-only a class, id or role of such a name holds most of the page's text: then the ratios
-decide there. Names are whole words of the attribute (hyphens and underscores left
-out), and never those of html, body, main or article. Where the page names its article,
-only nodes under it compete.
-
-Defined results: a null or empty page, or one without content nodes, has the empty
+A page becomes a list of text blocks, each under a root-to-leaf path of block tags. For
+each path the text length outside links, the punctuation and the number of blocks are
+summed. A block has its path's mean length and punctuation, smoothed over the blocks next
+to it in page order and fused to sqrt(length * (1 + punctuation)); a path's score is the
+mean of that over its blocks, times the share of its text that is no link, times the
+weight of where it stands. List items and cells that
+are links for the most part count as a path of their own. Paths whose score reaches a
+share of the page's mean select their blocks.
+
+Structure only weighs: text inside an article or main element counts ARTICLE times, text
+outside of one counts OUTSIDE times where a page has one, a container that its class, id
+or role calls something beside the text counts BESIDE times, and APART_BY_NAME times
+where it is called an advert, menu, notice, comments and so on. A container that holds
+most of the text (nine tenths of it, for the latter names; of the articles' text, where
+there is one) is not weighed by its name, and neither are html, body, main and article. Names are whole words of the attribute (hyphens and underscores left out). Only what
+HTML itself marks as no text of the page (nav, header, footer, aside, form, hidden
+elements, scripts) never competes.
+
+Defined results: a null or empty page, or one without content blocks, has the empty
 text. Repeated rows stay. Further columns are ignored. Nothing is cut or dropped
 inside a selected block; broken markup is read as browsers do (a new paragraph or
 list item ends the open one, unknown end tags are skipped, open tags end with the page,
-quotes count only where an attribute's value begins).
+quotes count only where an attribute's value begins, a tag that never ends takes the
+rest of the page). Time and memory grow in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -40,18 +48,22 @@ APART = frozenset("nav header footer aside form script style noscript template t
 CLOSES = {
     "p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option",
 }
+ITEMS = frozenset("li dt dd td th".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+# Words of class, id and role that tell what a container is.
 NAMED_APART = frozenset(
-    "ad ads advert advertisement adverts adbox banner banners sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs header masthead footer foot "
-    "sidebar side aside widget related recommended share sharing social cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus reply replies discussion responses copyright pagination pager tags toc skip".split()
+    "ad ads advert advertisement adverts adbox banner banners sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs footer sidebar cookie cookies consent notice notices "
+    "popup modal newsletter subscribe subscription signup login comment comments commentlist disqus replies responses copyright pagination pager".split()
 )
-
+NAMED_BESIDE = frozenset("header masthead foot side aside widget related recommended share sharing social alert overlay reply discussion tags toc skip".split())
 NEVER_NAMED = frozenset("html body main article".split())
+ARTICLE, OUTSIDE, BESIDE, APART_BY_NAME = 4.0, 0.1, 0.1, 0.02
 
 _VALUE = r"\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*+))?+"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>", re.S)
+_TAG = re.compile(rf"([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>")
+_END = re.compile(r"([a-zA-Z][^\s/>]*+)[^>]*+>")
 _ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。،؟]")
@@ -59,16 +71,29 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。،؟]")
 
 @dataclass(slots=True)
 class Block:
-    """Text between two block boundaries, with the tag path that it stands under."""
+    """Text between two block boundaries; path: number of the tag path that it stands under; item: in a list item or cell."""
 
-    path: str
+    path: int
     apart: bool
-    article: int
+    article: bool
     named: tuple[int, ...] = ()
+    item: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element; block: place on the stack of the innermost block element, itself included."""
+
+    tag: str
+    path: int
+    apart: bool
+    article: bool
+    named: tuple[int, ...]
+    block: int
+
+
 def _attributes(text: str) -> dict[str, str]:
     """Values by lower-case name; of repeated names the first counts."""
     out: dict[str, str] = {}
@@ -77,134 +102,144 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _named_apart(attributes: dict[str, str]) -> bool:
-    words = " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower()
-    return not NAMED_APART.isdisjoint(re.sub("[-_]", "", words).split())
+def _weight(attributes: dict[str, str]) -> float:
+    words = re.sub("[-_]", "", " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower()).split()
+    return 1.0 if not words else APART_BY_NAME if not NAMED_APART.isdisjoint(words) else BESIDE if not NAMED_BESIDE.isdisjoint(words) else 1.0
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+def blocks(page: str) -> tuple[list[Block], list[float]]:
+    """The page's text blocks in order, and the weight of each container with a name that tells something (Block.named has their places)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, apart, article depth, containers named apart
+    weights: list[float] = []
+    stack: list[_Open] = []
+    open_tags: Counter[str] = Counter()
+    paths: dict[tuple[int, str], int] = {}
     now: Block | None = None
-    at, links = 0, 0
-    articles = containers = 0
+    root = _Open("", 0, False, False, (), -1)
 
     def add(text: str, cooked: bool = True) -> None:
         nonlocal now
         if not text:
             return
         if now is None:
-            path = "/".join(t for t, *_ in stack if t not in INLINE)
-            now = Block(path, *(stack[-1][1:] if stack else (False, 0, ())))
+            top = stack[-1] if stack else root
+            now = Block(top.path, top.apart, top.article, top.named, top.block >= 0 and stack[top.block].tag in ITEMS)
             out.append(now)
         plain = entities.unescape(text) if cooked and "&" in text else text
         now.parts.append(plain)
-        if links:
+        if open_tags["a"]:
             now.linked += len(plain)
 
     def close(down_to: int) -> None:
-        nonlocal links
-        for tag, *_ in stack[down_to:]:
-            links -= tag == "a"
+        for one in stack[down_to:]:
+            open_tags[one.tag] -= 1
         del stack[down_to:]
 
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"), False)
+    at, text_from, size = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        head = page[at + 1 : at + 2]
+        if head in ("!", "?"):
+            mark = next((m for m in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(m[0], at)), ("<!", ">"))
+            end = page.find(mark[1], at + len(mark[0]))
+            add(page[text_from:at])
+            if mark[0] == "<![CDATA[":
+                add(page[at + 9 : end if end >= 0 else size], False)
+            at = text_from = end + len(mark[1]) if end >= 0 else size
+            continue
+        closing = head == "/"
+        if not (page[at + 2 : at + 3] if closing else head).isascii() or not (page[at + 2 : at + 3] if closing else head).isalpha():
+            at += 1  # a mere sign
             continue
-        if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        add(page[text_from:at])
+        m = _END.match(page, at + 2) if closing else _TAG.match(page, at + 1)
+        if not m:  # the tag never ends
+            text_from = size
+            break
+        at = text_from = m.end()
+        tag = m[1].lower()
+        if closing:
             if tag not in INLINE:
                 now = None
-            if found is not None:
-                close(found)
+            if open_tags[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close(place)
             continue
         if tag == "br":  # white space inside its block
             if now is not None:
                 now.parts.append(" ")
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             now = None
         if tag in VOID:
             continue
         ends = CLOSES.get(tag, "").split() + (["p"] if tag in ENDS_P else [])
-        while stack and ends:
-            # a block that begins ends the open paragraph or item, with the inline tags in it
-            i = len(stack) - 1
-            while i >= 0 and stack[i][0] in INLINE:
-                i -= 1
-            if i < 0 or stack[i][0] not in ends:
-                break
-            close(i)
+        # a block that begins ends the open paragraph or item, with the inline tags in it
+        while ends and stack and stack[-1].block >= 0 and stack[stack[-1].block].tag in ends:
+            close(stack[-1].block)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _RAW_END[tag].search(page, at)
+            at = text_from = end.end() if end else size
             continue
-        if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path"):
+        if m[2].endswith("/") and tag in ("svg", "path"):
             continue
-        top = stack[-1] if stack else ("", False, 0, ())
-        article = top[2]
-        if tag in ("article", "main") and not top[1]:
-            articles += 1
-            article = top[2] or articles
-        attributes = _attributes(m[3])
-        apart, named = top[1] or tag in APART or _hidden(attributes), top[3]
-        if tag not in NEVER_NAMED and _named_apart(attributes):
-            containers += 1
-            named = (*named, containers)
-        stack.append((tag, apart, article, named))
-        links += tag == "a"
-    add(page[at:])
-    return out
+        top = stack[-1] if stack else root
+        attributes = _attributes(m[2]) if m[2] else {}
+        apart, named = top.apart or tag in APART or _hidden(attributes), top.named
+        if tag not in NEVER_NAMED and (weight := _weight(attributes)) != 1 and len(named) < 16:
+            weights.append(weight)
+            named = (*named, len(weights) - 1)
+        path = top.path if inline else paths.setdefault((top.path, tag), len(paths) + 1)
+        stack.append(_Open(tag, path, apart, top.article or tag in ("article", "main"), named, top.block if inline else len(stack)))
+        open_tags[tag] += 1
+    add(page[text_from:])
+    return out, weights
 
 
 def extract(page: str | None, share: float = 0.25, reach: int = 1) -> str:
-    """The main text. share: of the mean fused ratio that a path needs; reach: nodes on either side that smooth a ratio."""
+    """The main text. share: of the mean fused ratio that a path needs; reach: blocks on either side that smooth a ratio."""
     if not page:
         return ""
-    nodes = [(b, s) for b in blocks(page) if (s := _SPACE.sub(" ", "".join(b.parts)).strip())]
-    nodes = [(b, s) for b, s in nodes if not b.apart]
-    held: Counter[int] = Counter()
-    for b, s in nodes:
-        held.update(dict.fromkeys(b.named, len(s)))
-    total = sum(len(s) for _, s in nodes)
-    nodes = [(b, s) for b, s in nodes if all(2 * held[one] > total for one in b.named)]
-    inside = [(b, s) for b, s in nodes if b.article]
-    named = bool(inside)
-    nodes = inside or nodes
+    every, weights = blocks(page)
+    nodes = [(b, s) for b in every if not b.apart and (s := _SPACE.sub(" ", "".join(b.parts)).strip())]
     if not nodes:
         return ""
-    text = [max(0, len(s) - b.linked) for b, s in nodes]
-    dots = [len(_PUNCTUATION.findall(s)) for _, s in nodes]
-    sums: dict[str, list[int]] = {}
-    for (b, _), n, d in zip(nodes, text, dots, strict=True):
-        one = sums.setdefault(b.path, [0, 0, 0])
-        one[0] += n
-        one[1] += d
+    size = [len(s) for _, s in nodes]
+    article = any(b.article for b, _ in nodes)
+    held: Counter[int] = Counter()
+    total = 0
+    for (b, _), n in zip(nodes, size, strict=True):
+        if b.article or not article:
+            held.update(dict.fromkeys(b.named, n))
+            total += n
+    sums: dict[tuple[int, float, bool], list[float]] = {}
+    keys = []
+    for (b, s), n in zip(nodes, size, strict=True):
+        weight = min([weights[k] for k in b.named if held[k] <= total * (0.5 if weights[k] == BESIDE else 0.9)], default=1.0)
+        weight *= ARTICLE if b.article else OUTSIDE if article else 1.0
+        keys.append((b.path, weight, b.item and 2 * b.linked > n))
+        one = sums.setdefault(keys[-1], [0, 0, 0, 0, 0.0])
+        one[0] += max(0, n - b.linked)
+        one[1] += len(_PUNCTUATION.findall(s))
         one[2] += 1
-    ratio = [(sums[b.path][0] / sums[b.path][2], sums[b.path][1] / sums[b.path][2]) for b, _ in nodes]
+        one[3] += n
+    text, dots = ([sums[k][x] / sums[k][2] for k in keys] for x in (0, 1))
 
     def smooth(values: list[float]) -> list[float]:
         return [sum(w := values[max(0, i - reach) : i + reach + 1]) / len(w) for i in range(len(values))]
 
-    lengths, marks = smooth([r[0] for r in ratio]), smooth([r[1] for r in ratio])
-    fused = [(n * (1 + d)) ** 0.5 for n, d in zip(lengths, marks, strict=True)]
-    path: dict[str, list[float]] = {}
-    for (b, _), f in zip(nodes, fused, strict=True):
-        path.setdefault(b.path, []).append(f)
+    fused = [(n * (1 + d)) ** 0.5 for n, d in zip(smooth(text), smooth(dots), strict=True)]
+    for k, f in zip(keys, fused, strict=True):
+        sums[k][4] += f
     level = share * sum(fused) / len(fused)
-    # in a named article a path only drops out as links; elsewhere it needs its share of the mean
-    keep = {p for p, f in path.items() if (sums[p][0] > 0 if named else sum(f) / len(f) >= level and sums[p][0] > 0)}
-    return "\n".join(s for b, s in nodes if b.path in keep)
+    keep = {k for k, (own, _, n, whole, f) in sums.items() if own > 0 and k[1] * f / n * own / whole >= level}
+    return "\n".join(s for (_, s), k in zip(nodes, keys, strict=True) if k in keep)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -143,3 +143,90 @@ def test_quotes_count_only_where_a_value_begins():
     assert html.extract("<p title='a>b' lang=\"c>d\" x = 'e>f'>One, two.</p>") == "One, two."
     assert html.extract('<p x=a="b>One, two.</p><p>"Three", four.</p>') == 'One, two.\n"Three", four.'
     assert html.extract("<p" + " a='" * 2000 + ">Deep, text.</p>").endswith("Deep, text.")
+
+
+LINE = "It rained, and the road to the mill was closed for a day."
+
+
+def test_ratios_decide_inside_an_article():
+    page = f"""<body><article><h1>The flood</h1>{BODY}<blockquote><p>We saw it come.</p></blockquote><p>{LINE}</p>
+    <ul><li>One boat<li>Two carts<li>Ten sheep</ul><ul class=x><li><a href=/1>Another story, here.</a><li><a href=/2>One more story.</a></ul>
+    <div class="related"><div class=card><span>Old mill</span></div><div class=card><span>New road</span></div></div>
+    <div class="content side-note"><p>{LINE} {LINE}</p></div><div class="comments"><p>{LINE} {LINE}</p></div></article><p>Short.</p></body>"""
+    text = html.extract(page)
+    assert text.split("\n")[0] == "The flood" and text.count("The river rose") == 3
+    assert all(x in text for x in ("We saw it come.", "One boat\nTwo carts\nTen sheep", f"{LINE} {LINE}"))
+    assert not any(x in text for x in ("Another story", "Old mill", "New road", "Short."))
+    assert text.count(LINE) == 3  # the side note is text, the comment is none
+
+
+def test_names_only_weigh():
+    long = " ".join([LINE] * 6)
+    assert html.extract(f'<div class="content side-note"><p>{long}</p></div><div class="tags">red, blue</div>') == long
+    assert html.extract(f'<article><p>Two words, no more.</p></article><div class="ad"><p>{long}</p></div>') == "Two words, no more."
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<" + "a" * 1_000_000, "<div>" * 60_000 + "Deep, text.", "<b>" * 60_000 + "<li></li>" * 60_000, "<p a='" * 100_000, "<!--" * 200_000, "</x>" * 200_000 + "<script>" * 50_000])
+def test_markup_of_a_megabyte_takes_seconds(page):
+    import time
+
+    began = time.time()
+    html.extract(page)
+    assert time.time() - began < 12
+
+
+def _random_page(r, depth=0):
+    """(tag, class, children or text) as nested tuples, without tags that close each other."""
+    if depth > 3 or r.random() < 0.45:
+        return r.choice(["div", "section", "h2", "pre"]), r.choice(["", "", "ad", "related", "note-x"]), " ".join(r.choice(["word", "a,", "longer.", "x!", "&amp;"]) for _ in range(r.choice([1, 2, 8, 40])))
+    return r.choice(["div", "section", "article", "nav", "main"]), r.choice(["", "", "", "side", "comments"]), [_random_page(r, depth + 1) for _ in range(r.randrange(1, 5))]
+
+
+def _plain_extract(tree):
+    """The score of each path by the definition, with paths as strings, over the tree itself."""
+    found, containers = [], []
+
+    def walk(node, path, apart, article, named):
+        tag, name, inside = node
+        word = name.replace("-", "")
+        if word in html.NAMED_APART | html.NAMED_BESIDE and tag not in html.NEVER_NAMED:
+            containers.append(html.APART_BY_NAME if word in html.NAMED_APART else html.BESIDE)
+            named = [*named, len(containers) - 1]
+        path, apart, article = f"{path}/{tag}", apart or tag == "nav", article or tag in ("article", "main")
+        if isinstance(inside, str):
+            if not apart:
+                found.append((path, article, named, inside.replace("&amp;", "&")))
+        else:
+            for child in inside:
+                walk(child, path, apart, article, named)
+
+    walk(tree, "", False, False, [])
+    if not found:
+        return ""
+    some = any(a for _, a, _, _ in found)
+    inside = [x for x in found if x[1] or not some]
+    share = {k: sum(len(t) for _, _, n, t in inside if k in n) / sum(len(t) for *_, t in inside) for k in range(len(containers))}
+    keys = []
+    for path, article, named, _ in found:
+        own = [containers[k] for k in named if share[k] <= (0.5 if containers[k] == html.BESIDE else 0.9)]
+        keys.append((path, min([1.0, *own]) * (html.ARTICLE if article else html.OUTSIDE if some else 1.0)))
+    mean = lambda k, f: sum(f(t) for (*_, t), x in zip(found, keys, strict=True) if x == k) / keys.count(k)
+    n = [mean(k, len) for k in keys]
+    d = [mean(k, lambda t: sum(c in ".,;:!?" for c in t)) for k in keys]
+    near = lambda v, i: sum(v[max(0, i - 1) : i + 2]) / len(v[max(0, i - 1) : i + 2])
+    fused = [(near(n, i) * (1 + near(d, i))) ** 0.5 for i in range(len(found))]
+    level = 0.25 * sum(fused) / len(fused)
+    score = {k: k[1] * sum(f for f, x in zip(fused, keys, strict=True) if x == k) / keys.count(k) for k in keys}
+    return "\n".join(t for (*_, t), k in zip(found, keys, strict=True) if score[k] >= level)
+
+
+def test_scores_equal_the_definition_on_random_pages():
+    r = random.Random(11)
+    write = lambda node: f'<{node[0]} class="{node[1]}">{node[2] if isinstance(node[2], str) else "".join(map(write, node[2]))}</{node[0]}>'
+    dropped = 0
+    for _ in range(400):
+        tree = _random_page(r)
+        page = write(tree)
+        assert html.extract(page) == _plain_extract(tree)
+        dropped += len(html.blocks(page)[0]) - html.extract(page).count("\n") - 1
+    assert dropped > 300
