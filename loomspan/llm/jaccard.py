@@ -18,13 +18,14 @@ needs only to be the same for all sets.
 
 Lists of the same sets count once. Sets meet in groups of at most about SIDE sets or
 GROUP_SHINGLES shingles: a longer list is dealt into blocks, and each pair of blocks is a
-group. A group is first thinned out by its sets' first shingles alone (two that link share
-a number of them that their sizes tell): what is left are its components of plausible
-pairs, of which those of the same sets count once again. These are compared by whole
-sets in two rounds: each set in the largest that it is in, and, after the components of
-these links, those in full that still hold several components, so no link between
-different texts is lost. Overlaps are products of 0/1 matrices, and a group gives back a
-forest of its links, so no row is ever made for a pair.
+group. A group is first thinned out by its sets' first shingles alone: two that link share
+a number of them that their sizes tell. Sets connected by such plausible pairs are a
+family, and only sets of a family are compared by whole sets: a family of up to FAMILY sets
+in groups of its own, so each set is sent once for every SIDE sets of its family; a
+larger one in the groups of its lists, of which those of the same sets count once. All
+plausible pairs meet either way, so no link between different texts is lost. Overlaps
+are products of 0/1 matrices, and a group gives back a forest of its links, so no row is
+ever made for a pair.
 
 The whole sets of all that have a plausible partner are made from the texts once, found by a bitmap
 of fixed size and joined exactly.
@@ -57,6 +58,8 @@ MOST_LIGHT = 32
 BITMAP_BITS = 24
 #: Sets, and shingles in all, of a group that is compared in one task (one set may be larger).
 SIDE, GROUP_SHINGLES = 1024, 1 << 20
+#: A family of more sets is compared list by list.
+FAMILY = 4096
 _RANK = tb.U64(56)
 
 
@@ -248,7 +251,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shared: Broadcast, k: int, te
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of two lists of sets, by products of 0/1 matrices over the shingles that two sets or more hold."""
+    """Sizes of the intersections of two lists of sets, by products of 0/1 matrices over the shingles that two sets or more hold; a set's own place in one list with itself means nothing."""
     every = np.concatenate(left) if left is right else np.concatenate([*left, *right])
     ids, place, held = np.unique(every, return_inverse=True, return_counts=True)
     column = np.cumsum(held > 1) - 1
@@ -310,7 +313,7 @@ def heads(classes: DataFrame) -> DataFrame:
 
 
 def plausible(groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, i, j, label, side, cls, n): the groups' components of pairs whose sizes and first shingles allow a link."""
+    """(key, i, j, label, side, cls, n, anchor): the groups' components of pairs whose sizes and first shingles allow a link; anchor is the least class of each."""
 
     def parts(rows: pa.Table) -> pa.Table:
         a, b = _sides(rows)
@@ -329,12 +332,14 @@ def plausible(groups: DataFrame, classes: DataFrame, num: int, den: int) -> Data
         la, lb = forest(sized & (shared >= least) & (cls[a][:, None] != cls[b][None, :]), same)
         label, place = (la, a) if same else (np.concatenate([la, lb]), np.concatenate([a, b]))
         _, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
+        anchor = np.full(len(size), np.iinfo(np.int64).max)
+        np.minimum.at(anchor, inverse, cls[place])
         keep = size[inverse] > 1
         kept = rows.take(pa.array(place[keep]))
-        return pa.table({**{c: kept.column(c) for c in ("key", "i", "j")}, "label": pa.array(label[keep].astype(np.int32)), **{c: kept.column(c) for c in ("side", "cls", "n")}})
+        return pa.table({**{c: kept.column(c) for c in ("key", "i", "j")}, "label": pa.array(label[keep].astype(np.int32)), **{c: kept.column(c) for c in ("side", "cls", "n")}, "anchor": pa.array(anchor[inverse[keep]])})
 
     dealt = groups.join(heads(classes), "cls").select("key", "i", "j", "side", "cls", "n", "head")
-    return dealt.groupBy("key", "i", "j").applyInArrow(parts, "key long, i int, j int, label int, side int, cls long, n int")
+    return dealt.groupBy("key", "i", "j").applyInArrow(parts, "key long, i int, j int, label int, side int, cls long, n int, anchor long")
 
 
 def compared(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -399,20 +404,20 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str
         once = counts.groupBy("sets", "print0", "print1").agg(F.min("key").alias("key")).select("key")
         entries = scratch.settle(lists(classes, boundary, num, den, some).join(once, "key").select("key", "cls", "n"))
         groups = scratch.settle(plausible(dealt_in_blocks(entries), classes, num, den))
-        shape = groups.groupBy("key", "i", "j", "label").agg(F.count(F.lit(1)).alias("sets"), *(F.bit_xor(F.xxhash64("cls", "side", F.lit(x))).alias(f"print{x}") for x in (0, 1))).withColumn("square", F.col("i") == F.col("j"))
-        first = shape.groupBy("sets", "print0", "print1", "square").agg(F.min(F.struct("key", "i", "j", "label")).alias("x")).select("x.*", "sets")
-        groups = scratch.settle(groups.join(first, ["key", "i", "j", "label"]))
+        tied = groups.where("cls <> anchor").select(F.col("cls").alias("a"), F.col("anchor").alias("b")).distinct()
+        family = components(tied, scratch).withColumnRenamed("root", "family")
+        large = scratch.settle(family.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FAMILY).select("family"))
+        member = groups.select("cls", "n").distinct().join(family, "cls")
+        small = dealt_in_blocks(member.join(large, "family", "left_anti").select(F.col("family").alias("key"), "cls", "n")).withColumn("label", F.lit(-1))
+        listed = groups.join(member.join(large, "family", "left_semi").select("cls"), "cls", "left_semi")
+        shape = listed.groupBy("key", "i", "j", "label").agg(F.count(F.lit(1)).alias("sets"), *(F.bit_xor(F.xxhash64("cls", "side", F.lit(x))).alias(f"print{x}") for x in (0, 1))).withColumn("square", F.col("i") == F.col("j"))
+        first = shape.groupBy("sets", "print0", "print1", "square").agg(F.min(F.struct("key", "i", "j", "label")).alias("x")).select("x.*")
+        columns = ("key", "i", "j", "label", "side", "cls")
+        met = small.select(*columns).unionByName(listed.join(first, ["key", "i", "j", "label"], "left_semi").select(*columns))
         wanted = groups.select("cls").distinct()
         shared = scratch.broadcast((ranks, bitmap(F.col("cls"), wanted)))
-        whole = scratch.settle(whole_sets(narrow, wanted, shared, k))
-        largest = groups.where("i = j").groupBy("cls").agg(F.max_by(F.struct("key", "i", "j", "label", "side"), F.struct("sets", "key", "i", "label")).alias("x")).select("x.*", "cls")
-        edges = scratch.settle(compared(largest, whole, num, den))
+        edges = scratch.settle(compared(met, whole_sets(narrow, wanted, shared, k), num, den))
         roots = components(edges, scratch)
-        rooted = groups.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = rooted.groupBy("key", "i", "j", "label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
-        late = scratch.settle(compared(groups.join(mixed, ["key", "i", "j", "label"]), whole, num, den))
-        if late.limit(1).count():
-            roots = components(edges.unionByName(late), scratch)
         member = every.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
         return settle(member.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -15,6 +15,7 @@ gives no rows. Further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -34,10 +35,14 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a shard on average: what one task holds and searches.
 SHARD = 8192
 SWEEPS = 24
+#: Words of up to 64 letters that a worker remembers: some 20 MB.
+MOST_WORDS = 1 << 17
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # Fixed value: the vocabulary's own pre-token pattern, for the letters of _PLAIN.
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Fixed value: the rest of that pattern, as the file writes it.
+_OWN = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_vocabulary() -> str:
@@ -54,19 +59,27 @@ class WordIds(dict):
     model directly; all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.most = most
+        self.plain = self._alike()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
         self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
+    def _alike(self) -> bool:
+        """Whether the file's own settings are those that the short way through the model stands for."""
+        settings = json.loads(self.tokenizer.to_str())
+        steps = [str(x.get("pattern", {}).get("Regex", "")) for x in (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lower = any(x.get("type") == "Lowercase" for x in (settings.get("normalizer") or {}).get("normalizers", []))
+        return lower and any(_OWN in x for x in steps)
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) > self.most:
+        if len(self) >= self.most:
             self.clear()
         parts = [word] if word.isascii() and word.isalpha() and word.islower() else None
         if parts is None and _PLAIN.fullmatch(word) and "<|" not in word:
@@ -77,10 +90,14 @@ class WordIds(dict):
             found = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
         else:  # a part on its own is a word of the same ids
             found = b"".join([self[p] for p in parts])
-        self[word] = found
+        if len(word) <= 64:
+            self[word] = found
         return found
 
     def of(self, text: str) -> bytes:
+        """Ids of a text; of a vocabulary with other rules, by the tokenizer as a whole."""
+        if not self.plain:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 

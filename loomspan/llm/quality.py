@@ -12,7 +12,7 @@ number of buckets, so the vectors (buckets x dimensions) are broadcast at any sc
 Defined results: null and empty texts have the all-zero features and get the
 network's score for them; without labels of both classes every score is the share
 of label 1 (0.5 without labels). A document with several labels has their mean,
-rounded up at one half. Repeated rows get equal scores; further columns are ignored.
+rounded up at one half; one with several texts is learned from once. Repeated rows get equal scores; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,6 +189,11 @@ def labelled_sample(labels: DataFrame, column: str, doc_id: str = "doc_id", per_
     return parts[0].unionByName(parts[1])
 
 
+def once(found: DataFrame) -> DataFrame:
+    """(text, doc_id, y, of): of a repeated document, the text of the least hash."""
+    return found.groupBy("doc_id", "y", "of").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "doc_id", "y", "of")
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Vectors from all docs; the network from a bounded sample of the labelled ones."""
     vectors = word_vectors(docs, text)
@@ -200,11 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 rows = pooled(shared.value, data, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, end - first) for k in (1, 2, 3)] + [pa.array(list(rows), pa.list_(pa.float32()))], names=["doc_id", "y", "of", "x"])
 
-    sample = labelled_sample(labels, label, doc_id)
+    sample = labelled_sample(labels, label, doc_id)  # 2 x SAMPLE_PER_CLASS ids at most are broadcast
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # a bounded number of ids (2 x SAMPLE_PER_CLASS) is broadcast; a repeated document counts once
-    found = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "y", "of").mapInArrow(features, "doc_id long, y int, of long, x array<float>").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
+    found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(features, "doc_id long, y int, of long, x array<float>").toPandas().sort_values("doc_id")
     y = found["y"].to_numpy(np.float64)
     network = Network(float(y.mean()) if len(y) else 0.5)
     if len(set(y)) == 2:
@@ -213,24 +216,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(vectors, network)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs and ``score``; a column of that name is replaced."""
+def predict(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """All columns of docs and one named by ``score``; a column of that name is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(score)
     at = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for first, end, data, bounds in tb.chunks(batch.column(at)):
                 out[first:end] = m.network.scores(pooled(m.vectors, data, bounds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(rows, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

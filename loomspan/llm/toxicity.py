@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .common import table
-from .quality import labelled_sample
+from .quality import labelled_sample, once
 
 BITS = 20
 GRADES = 3
@@ -139,10 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     sample = labelled_sample(labels, label, doc_id, per_class)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # at most 2 x per_class ids are broadcast; a repeated document counts once
-    found = texts.join(F.broadcast(sample), "doc_id").select("text", "doc_id", "y", "of").mapInArrow(emit, "doc_id long, y int, of long, feature array<int>, n array<int>").toArrow()
+    # at most 2 x per_class ids are broadcast
+    found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(emit, "doc_id long, y int, of long, feature array<int>, n array<int>").toArrow()
     ids, first = np.unique(found.column("doc_id").to_numpy(), return_index=True)
-    found = found.take(pa.array(first))
+    found = found.take(pa.array(first))  # in order of id
     toxic = found.column("y").to_numpy() == 1
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES, 40.0))

@@ -55,6 +55,14 @@ def test_components_equal_brute_force(spark, seed, k, num):
     assert got == brute(rows, k, num, 100)
 
 
+def test_large_families_and_many_blocks(spark, monkeypatch):
+    """Families of more than three sets go list by list, in blocks of four sets."""
+    monkeypatch.setattr(jaccard, "FAMILY", 3)
+    monkeypatch.setattr(jaccard, "SIDE", 4)
+    rows = corpus(4)
+    assert sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()) == brute(rows, 3, 90, 100)
+
+
 def test_boundary_and_enumeration():
     assert jaccard.subset_sizes(9, 32, 90, 100) == [9]
     assert jaccard.subset_sizes(10, 32, 90, 100) == [9, 10]
@@ -100,7 +108,8 @@ def test_overlaps_and_forest_against_plain_sets():
     left = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in r.integers(1, 60, 23)]
     right = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in r.integers(1, 60, 17)]
     for a, b in ((left, right), (left, left)):
-        assert np.array_equal(jaccard.overlaps(a, b, 32), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+        apart = ~np.eye(len(a), len(b), dtype=bool) | (a is not b)  # a set and itself are no pair
+        assert np.array_equal(jaccard.overlaps(a, b, 32)[apart], np.array([[len(np.intersect1d(x, y)) for y in b] for x in a])[apart])
     link = r.random((30, 20)) < 0.04
     la, lb = jaccard.forest(link)
     label = list(range(50))
