@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents; the last returns the places of the tokenized pieces in packed sequences.
+documents, whatever their names; the last returns the places of the tokenized pieces in
+packed sequences.
+
+Defined results: an empty table gives none through all stages. Null and empty texts are
+judged by quality as the empty text, are no copies of other documents' (equal ones of
+one id count once), hold no benchmark item and no personal data, and are one piece.
+Rows without id stay in every stage. Repeated rows count once from the second stage on.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier, trained on the labels of docs, doesn't reject."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs, labels)
-    return quality.predict(docs, model).where(F.col("score") >= 0.5).select(*docs.columns)
+    return quality.predict(docs, model, score="__score").where(F.col("__score") >= 0.5).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: SQL can't express these stages; test_pipeline.py holds them against the functions of the package, whose own tests have the brute-force versions.
+#: SQL can't express these stages; test_pipeline.py holds them against the operators and plain Python.
 ORACLE_SQL = None
 
 
