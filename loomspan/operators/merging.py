@@ -73,3 +73,48 @@ def gapless(df: DataFrame, key: str, index: str) -> DataFrame:
     """(key, n_index, complete): whether a key's distinct indices are 0, 1, ... without a gap."""
     once = df.where(F.col(index).isNotNull()).groupBy(key, index).agg(F.count(F.lit(1)).alias("n"))
     return once.groupBy(key).agg(F.count(F.lit(1)).alias("n_index"), ((F.min(index) == 0) & (F.max(index) + 1 == F.count(F.lit(1)))).alias("complete"))
+
+
+def remap_longest(df: DataFrame, key: str, path: str, maps: DataFrame) -> DataFrame:
+    """(key, path): the longest prefix of maps (prefix, target) that ends at a slash or the path's end, replaced by its target.
+
+    A path meets the map by equality with each of its own prefixes, so the map can be of any size.
+    """
+    cuts = F.transform(F.sequence(F.lit(0), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/"))
+    tried = df.select(key, path, F.explode(F.array_distinct(cuts)).alias("prefix"))
+    longest = tried.join(maps, "prefix", "left").groupBy(key, path).agg(F.max_by(F.struct("prefix", "target"), F.when(F.col("target").isNotNull(), F.length("prefix"))).alias("m"))
+    return longest.select(key, F.coalesce(F.concat("m.target", F.expr(f"substring({path}, length(m.prefix) + 1)")), F.col(path)).alias(path))
+
+
+def unique_partition(df: DataFrame, key: str, part: str) -> DataFrame:
+    """(key, n_parts): keys that stand in more than one part."""
+    once = df.groupBy(key, part).agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy(key).agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+
+
+def unmatched(df: DataFrame, key: str, parents: DataFrame, parent: str) -> DataFrame:
+    """Rows of df whose key is no parent: a foreign key that fails. Null keys fail."""
+    return df.join(parents.select(F.col(parent).alias(key)).distinct(), key, "left_anti")
+
+
+def first_candidate(df: DataFrame, row: str, candidates: Column, lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """(row, key, value): for each row, the first of its candidate keys that lookup has."""
+    tried = df.select(row, F.posexplode(candidates).alias("__at", key)).join(lookup.select(key, value), key)
+    return tried.groupBy(row).agg(F.min_by(F.struct(key, value), F.struct("__at", key, value)).alias("x")).select(row, "x.*")
+
+
+def collected(df: DataFrame, key: list[str], index: str, value: Column, normal: Column, order: list[str]) -> DataFrame:
+    """(key, index, value, conflict): the first value by order of each index, and whether the normalised values differ; any order of arrival gives the same."""
+    own = df.select(*key, index, value.alias("__v"), normal.alias("__n"), F.struct(*order).alias("__o"))
+    return own.groupBy(*key, index).agg(F.min_by("__v", "__o").alias("value"), (F.min("__n") != F.max("__n")).alias("conflict"))
+
+
+def differences(left: DataFrame, right: DataFrame, key: list[str], fingerprint: Column) -> DataFrame:
+    """(key, side): keys with a fingerprint that only one of two tables has; empty when both hold the same."""
+    own = left.select(*key, fingerprint.alias("__p")).withColumn("__s", F.lit(1)).unionByName(right.select(*key, fingerprint.alias("__p")).withColumn("__s", F.lit(2)))
+    return own.groupBy(*key, "__p").agg(F.min("__s").alias("lo"), F.max("__s").alias("hi")).where("lo = hi").select(*key, F.when(F.col("lo") == 1, "left").otherwise("right").alias("side"))
+
+
+def duplicate_ids(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key, copies): keys that come more than once."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")

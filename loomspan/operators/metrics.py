@@ -57,7 +57,7 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
         F.count_if(F.col("p") & F.col("a")).alias("tp"), F.count_if(F.col("p") & ~F.col("a")).alias("fp"), F.count_if(~F.col("p") & F.col("a")).alias("fn"), F.count_if(~F.col("p") & ~F.col("a")).alias("tn")
     )
     rate = lambda a, b: F.round(F.try_divide(F.expr(a), F.expr(b)), 6)
-    return n.withColumns({"precision": rate("tp", "tp + fp"), "recall": rate("tp", "tp + fn"), "f1": rate("2 * tp", "2 * tp + fp + fn"), "specificity": rate("tn", "tn + fp")})
+    return n.withColumns({"precision": rate("tp", "tp + fp"), "recall": rate("tp", "tp + fn"), "f1": rate("2 * tp", "2 * tp + fp + fn"), "specificity": rate("tn", "tn + fp"), "balanced": F.round((F.try_divide("tp", F.expr("tp + fn")) + F.try_divide("tn", F.expr("tn + fp"))) / 2, 6)})
 
 
 def token_f1(pairs: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
@@ -76,3 +76,75 @@ def paired_deltas(df: DataFrame, key: list[str], context: str, left: str, right:
     last = lambda which: F.max_by(value, F.when(F.col(context) == which, F.struct(*order)))
     both = df.where(F.col(context).isin(left, right)).groupBy(*key).agg(last(left).alias("l"), last(right).alias("r"))
     return both.where("l is not null and r is not null").select(*key, (F.col("l") - F.col("r")).alias("delta"))
+
+
+def decision_rates(df: DataFrame, group: list[str], predicted: Column, actual: Column, valid: Column) -> DataFrame:
+    """By group, counts of a yes-or-no decision as predicted, and the share of right ones where an invalid row counts as wrong."""
+    own = df.select(*group, predicted.alias("p"), actual.alias("a"), valid.alias("v"))
+    strict = F.when(F.col("v"), F.col("p")).otherwise(~F.col("a"))
+    counts = {"tp": F.col("p") & F.col("a"), "fp": F.col("p") & ~F.col("a"), "fn": ~F.col("p") & F.col("a"), "tn": ~F.col("p") & ~F.col("a")}
+    return own.groupBy(*group).agg(*(F.count_if(c).alias(k) for k, c in counts.items()), F.round(F.avg((strict == F.col("a")).cast("int")), 6).alias("strict_accuracy"))
+
+
+def first_offsets(df: DataFrame, episode: list[str], frame: str, said: Column, true: Column) -> DataFrame:
+    """(episode, offset): the first frame where a decision is said, less the last where it is true; null where it is never said. Episodes where it is never true are left out."""
+    own = df.groupBy(*episode).agg(F.min(F.when(said, F.col(frame))).alias("said"), F.max(F.when(true, F.col(frame))).alias("true"))
+    return own.where("true is not null").select(*episode, (F.col("said") - F.col("true")).alias("offset"))
+
+
+def terminal_rates(df: DataFrame, group: list[str], predicted: Column, actual: Column) -> DataFrame:
+    """(group, recall, premature, missed): shares of the rows that are, or are not, terminal; 0 where there are none."""
+    n = df.select(*group, predicted.alias("p"), actual.alias("a")).groupBy(*group).agg(F.count_if(F.col("p") & F.col("a")).alias("tp"), F.count_if(F.col("p") & ~F.col("a")).alias("fp"), F.count_if(~F.col("p") & F.col("a")).alias("fn"), F.count_if(~F.col("p") & ~F.col("a")).alias("tn"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, F.expr(b)), F.lit(0.0)), 6)
+    return n.select(*group, rate("tp", "tp + fn").alias("recall"), rate("fp", "fp + tn").alias("premature"), rate("fn", "tp + fn").alias("missed"))
+
+
+def adjacent(df: DataFrame, group: list[str], order: list[str], score: str, valid: str) -> DataFrame:
+    """(group, pairs, regressions, residual): pairs of neighbours that are both valid, how often the score falls, and the mean absolute step. Neighbours are taken before invalid rows go."""
+    by_time = Window.partitionBy(*group).orderBy(*order)
+    both = df.withColumns({"before": F.lag(score).over(by_time), "ok": F.col(valid) & F.lag(valid).over(by_time)}).where("ok")
+    step = F.col(score) - F.col("before")
+    return both.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(step < 0).alias("regressions"), F.round(F.avg(F.abs(step)), 6).alias("residual"))
+
+
+def copies(df: DataFrame, group: list[str], value: Column, memory: Column) -> DataFrame:
+    """(group, comparable, copied, rate): how often a value is the remembered one, of the rows that have both."""
+    own = df.select(*group, value.alias("v"), memory.alias("m")).where("v is not null and m is not null")
+    return own.groupBy(*group).agg(F.count(F.lit(1)).alias("comparable"), F.count_if(F.col("v") == F.col("m")).alias("copied"), F.round(F.avg((F.col("v") == F.col("m")).cast("int")), 6).alias("rate"))
+
+
+def duplicate_rate(df: DataFrame, group: list[str], normal: Column) -> DataFrame:
+    """(group, rate): (values - distinct normalised values) / values."""
+    once = df.select(*group, normal.alias("v")).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy(*group).agg(F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 6).alias("rate"))
+
+
+def event_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(event, n): values of several optional columns, counted together."""
+    return df.select(F.explode(F.array_compact(F.array(*columns))).alias("event")).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def failures(df: DataFrame, group: list[str], episode: str, source: str, kept: int = 3) -> DataFrame:
+    """(group, n, episodes, sources, representatives): counts of failures, and the least few episodes that stand for them; a bounded heap in every task."""
+    once = df.groupBy(*group, episode).agg(F.count(F.lit(1)).alias("n"), F.min(source).alias("s"))
+    nth = Window.partitionBy(*group).orderBy(episode)
+    first = once.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= kept).groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(episode)), ",").alias("representatives"))
+    sums = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(episode).alias("episodes"), F.count_distinct(source).alias("sources"))
+    return sums.join(first, group)
+
+
+def mean_interval(df: DataFrame, group: list[str], value: Column, replicas: int, seed: int = 42) -> DataFrame:
+    """(group, mean, low, high): mean and its 95 % interval by a Poisson bootstrap.
+
+    Every row has a weight in each replica that its hash decides, so no row is drawn on
+    the driver and sums combine in any order: the replicas' means are sum(w x) / sum(w).
+    """
+    key = F.xxhash64(*df.columns, F.lit(seed))
+    own = df.select(*group, value.cast("double").alias("x"), key.alias("k")).where("x is not null")
+    # the weight of a Poisson variable of mean 1, from 32 bits of hash
+    chance = F.pmod(F.xxhash64("k", "replica"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    weight = sum((F.when(chance >= c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    rows = own.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("w", weight)
+    means = rows.groupBy(*group, "replica").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).where("m is not null")
+    ends = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return own.groupBy(*group).agg(F.avg("x").alias("mean")).join(ends, group)

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the cluster's checkpoint folder; one under /tmp only where none is set (tests)."""
+    """df written once to the cluster's checkpoint folder; only a local session may do without one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/loomspan-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or "/tmp/loomspan-checkpoints")
     return df.checkpoint()
 
 

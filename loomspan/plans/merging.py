@@ -94,12 +94,16 @@ _ID = "sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' '
 
 
 def _collapsed(x: str) -> str:
-    one = f"trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\r]+', ' ', 'g'))"
-    return f"CASE WHEN lower({one}) IN ('none', 'null', 'n/a', 'nan') THEN '' ELSE {one} END"
+    one = rf"trim(regexp_replace(coalesce({x}, ''), '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+    return f"CASE WHEN lower({one}) IN ('', 'none', 'n/a', 'na', 'null', 'nan', 'unknown') THEN '' ELSE {one} END"
+
+
+def _folded(x: str) -> str:
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
 
 
 def _normalised(x: str) -> str:
-    return f"regexp_replace(lower({_collapsed(x)}), '[ .,;:!?。！？，；：…]+$', '')"
+    return rf"regexp_replace({_folded(_collapsed(x))}, '[\s\.,;:!?。！？，；：…]+$', '')"
 
 
 ORACLES = {

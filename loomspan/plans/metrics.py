@@ -133,7 +133,7 @@ ORACLES = {
     "confusion": """
         WITH b AS (SELECT n_chars >= 500 AS p, quality = 1 AS a FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
         n AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM b)
-        SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tn / nullif(tn + fp, 0), 6) AS specificity FROM n""",
+        SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced FROM n""",
     "token_f1": """
         WITH t AS (SELECT conv_id, row_number() OVER w AS nth, text, lead(text) OVER w AS answer, lead(role) OVER w AS has FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
         p AS (SELECT * FROM t WHERE has IS NOT NULL),

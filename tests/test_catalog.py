@@ -41,7 +41,7 @@ def test_equals_sql(spark, small, duck, name):
     got = sorted(tuple(cell(r[c]) for c in columns) for r in df.collect())
     want = sorted(tuple(cell(x) for x in r) for r in sql.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
     assert got == want
-    assert got
+    assert got or name == "pending_keys"  # at the small size every customer has an order
 
 
 def test_passage_fence_finds_items_inside_texts(spark):
@@ -50,3 +50,18 @@ def test_passage_fence_finds_items_inside_texts(spark):
     con = duckdb.connect()
     verbatim = con.execute("SELECT count(*) FROM '/root/testdata/sf0.01/documents.parquet' d WHERE EXISTS (FROM '/root/testdata/sf0.01/benchmark.parquet' b WHERE contains(d.text, b.text))").fetchone()[0]
     assert found >= verbatim > 0
+
+
+def test_bootstrap_interval_holds_the_mean(spark, small):
+    for r in catalog.QUERIES["score_interval"](spark, small).collect():
+        assert r["low"] < r["mean"] < r["high"] and r["high"] - r["low"] < 20
+
+
+@pytest.mark.parametrize(("raw", "clean", "normal", "valid"), [("\u00a0Unknown\u2003", "", "", False), ("NA", "", "", False), ("a\u3000 STRASSE ß\u00a0。 ", "a STRASSE ß 。", "a strasse ss", True), ("语 ok", "语 ok", "语 ok", False), (None, "", "", False)])
+def test_captions_as_written(spark, raw, clean, normal, valid):
+    from pyspark.sql import functions as F
+
+    from loomspan.functions import text
+
+    c = F.col("c")
+    assert tuple(spark.createDataFrame([(raw,)], "c string").select(text.collapsed(c), text.normalised(c), text.is_latin_caption(c)).first()) == (clean, normal, valid)
