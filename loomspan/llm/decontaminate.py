@@ -10,8 +10,9 @@ surroundings of the window, and how many of the passage's rarest words - its ans
 stand there. It is a match with half of the passage in order and most of the answer:
 the passage itself or a paraphrase.
 
-Windows with hardly any weight on benchmark words cannot reach the cosine and are not
-projected. Copies don't depend on the cosine: every LEAST words in a row of a passage
+Windows whose words together can't reach the cosine with any passage are not projected
+(each word's most is known), and candidates without enough words of answers around them
+are not aligned; neither loses a match. Copies don't depend on the cosine: every LEAST words in a row of a passage
 are looked up in the documents, and a place that has them is a candidate too.
 
 The benchmark is the stated query set: it is read in blocks of about BLOCK passages, so
@@ -228,6 +229,15 @@ class Index:
         self.marked[(grams >> tb.U64(64 - BITS)).astype(np.int64)] = True
         latent = np.stack(latent) if latent else np.zeros((0, basis.shape[1]))
         self.latent = (latent / np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))).astype(np.float32).T
+        # the most that one occurrence of a word adds to the product with any passage
+        most = (self.basis @ self.latent).max(axis=1, initial=0.0)
+        self.most = np.zeros(1 << BITS, np.float32)
+        self.most[vocabulary] = most[: len(vocabulary)] * idf[vocabulary >> (BITS - DF_BITS)]
+        # how many of its answer words a passage needs, and a map of the answer words of all
+        self.need = np.array([-(-len(a) * int(100 * ANSWER) // 100) for a in self.answers], np.int64)
+        self.rare = np.zeros(1 << BITS, bool)
+        self.rare[(np.array([x for a in self.answers for x in a], np.int64).view(tb.U64) >> tb.U64(64 - BITS)).astype(np.int64)] = True
+        self.length = np.array([len(w) for w in words], np.int64)
 
     def search(self, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(row, item): cosine, share of the passage in order, share of the answer, of each match."""
@@ -277,16 +287,16 @@ class Index:
         place = self.place[(h >> tb.U64(64 - BITS)).astype(np.int64)]
         counts = np.flatnonzero((place >= 0) & (idf > 0))
         energy = np.add.reduceat(idf * idf, start)
-        own = np.zeros(len(h), np.float32)
-        own[counts] = idf[counts] ** 2
-        own = np.add.reduceat(own, start)
+        bucket = (h >> tb.U64(64 - BITS)).astype(np.int64)
+        own = np.add.reduceat(self.most[bucket], start)
+        rare = np.concatenate([[0], np.cumsum(self.rare[bucket])])
         sums, owns = np.concatenate([[0], np.cumsum(energy, dtype=np.float64)]), np.concatenate([[0], np.cumsum(own, dtype=np.float64)])
         end_of_text, first = np.searchsorted(text, text, "right"), np.arange(len(text))
         windows = []
         for scale in SCALES:
             last = np.minimum(first + scale, end_of_text)
             total = sums[last] - sums[first]
-            worth = (owns[last] - owns[first] >= COSINE**2 * total) & (total > 0)
+            worth = (owns[last] - owns[first] >= (COSINE - 1e-4) * np.sqrt(total)) & (total > 0)
             windows.append(np.stack([first[worth], last[worth]], axis=1))
         windows = np.unique(np.concatenate(windows), axis=0)
         if not len(windows):
@@ -313,9 +323,13 @@ class Index:
             norm = np.sqrt(sums[b] - sums[a])  # a repeated word counts once for each time: never too long
             cosine = z @ self.latent
             cosine /= norm[:, None].astype(np.float32)
-            for w, unit in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                t = int(text[a[w]])
-                self._check(h, start[a[w]], min(at[t + 1], start[b[w]] if b[w] < len(start) else len(h)), at[t], at[t + 1], (t, self.items[unit]), unit, float(cosine[w, unit]), found)
+            near, units = np.nonzero(cosine >= COSINE)
+            begin, t = start[a[near]], text[a[near]]
+            end = np.minimum(at[t + 1], np.append(start, len(h))[b[near]])
+            # without enough answer words of any passage around it there is nothing to check
+            able = rare[np.minimum(at[t + 1], end + self.length[units])] - rare[np.maximum(at[t], begin - self.length[units])] >= self.need[units]
+            for w, unit, x, y, row in zip(near[able], units[able], begin[able], end[able], t[able].tolist(), strict=True):
+                self._check(h, x, y, at[row], at[row + 1], (row, self.items[unit]), unit, float(cosine[w, unit]), found)
 
     def _check(self, h, start, end, low, high, key, unit, cosine, found) -> None:
         passage = self.words[unit]
