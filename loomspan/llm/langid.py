@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Every labelled text adds its byte n-grams (letters A-Z folded, other ASCII as one
-separator) to a count matrix of languages by hash buckets. The matrix has a fixed
-number of buckets, so its log-probabilities are broadcast whatever the corpus size;
-scoring gathers the rows of a text's n-grams and adds them, all in numpy.
+Every labelled text adds its n-grams of characters (small letters; all ASCII but letters
+is one separator) to a count matrix of languages by hash buckets. The matrix has a fixed
+number of cells (fewer buckets where there are more than MOST_LANGUAGES), so its
+log-probabilities are broadcast whatever the corpus size; scoring gathers the rows of a
+text's n-grams and adds them, all in numpy.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. With
 nothing to learn from, every text is ``und``. Repeated rows are predicted alike.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,26 +27,40 @@ from .common import fold_of, table
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 UNDETERMINED = "und"
-#: More languages than this are refused: the matrix is broadcast, and so has to stay small.
-MAX_LANGUAGES = 256
-
-_CLASS = np.where(tb.LETTER, tb.LOWER, 32).astype(np.uint32)
+#: With more languages, the buckets are folded so that the broadcast matrix stays as large.
+MOST_LANGUAGES = 256
+
+
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of valid UTF-8, with ASCII letters small and all other ASCII as 32, and the bounds counted in them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.uint32)
+    code = np.where(tb.LETTER[data[lead]], tb.LOWER[data[lead]], 32).astype(np.uint32)
+    rest = np.concatenate([data, np.zeros(3, np.uint8)])
+    for width, low, high, bits in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF8, 0x07)):
+        at = np.flatnonzero((first >= low) & (first < high))
+        if len(at):
+            point = first[at] & bits
+            for k in range(1, width):
+                point = point << np.uint32(6) | (rest[lead[at] + k] & 0x3F)
+            code[at] = point
+    return code, np.searchsorted(lead, bounds)
 
 
 def ngram_buckets(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the buckets of the n-grams that hold a letter, and their rows."""
-    code = _CLASS[data]
+    code, bounds = characters(data, bounds)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    gram, letter = code, code != 32
+    gram, letter = code.astype(np.uint64), code != 32
     for n in range(2, max(ORDERS) + 1):
         if len(code) < n:
             return
-        gram = (gram[:-1] << np.uint32(8)) | code[n - 1 :]
+        gram = gram[:-1] * tb.U64(0x9E3779B97F4A7C15) + code[n - 1 :]
         letter = letter[:-1] | (code[n - 1 :] != 32)
         if n in ORDERS:
             keep = letter & (row[: len(gram)] == row[n - 1 :])
-            mixed = (gram[keep] + np.uint32(n)) * np.uint32(2654435761)
-            yield ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(17), row[: len(gram)][keep]
+            mixed = (gram[keep] ^ (gram[keep] >> tb.U64(29))) * tb.U64(0xBF58476D1CE4E5B9)
+            yield (mixed >> tb.U64(49)).astype(np.int64), row[: len(gram)][keep]
 
 
 def bucket_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
@@ -54,39 +70,43 @@ def bucket_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             names = np.asarray(batch.column(1).to_pylist(), object)
-            for first, end, data, bounds in tb.chunks(batch.column(0)):
+            for first, end, data, bounds in tb.chunks(pc.utf8_lower(batch.column(0))):
                 kinds, which = np.unique(names[first:end].astype(str), return_inverse=True)
                 sums = [totals.setdefault(k, np.zeros(BUCKETS + 1, np.int64)) for k in kinds]
                 for k, n in enumerate(np.bincount(which, minlength=len(kinds))):
                     sums[k][BUCKETS] += n
                 for bucket, row in ngram_buckets(data, bounds):
-                    both = np.bincount(which[row] * BUCKETS + bucket.astype(np.int64), minlength=len(kinds) * BUCKETS).reshape(len(kinds), BUCKETS)
+                    both = np.bincount(which[row] * BUCKETS + bucket, minlength=len(kinds) * BUCKETS).reshape(len(kinds), BUCKETS)
                     for k in range(len(kinds)):
                         sums[k][:BUCKETS] += both[k]
         for name, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(counts[at])], names=["label", "bucket", "n"])
 
-    return labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Languages, and float32 log-probabilities by language and bucket."""
+    """Languages, and float32 log-probabilities by language and bucket, a power of two of them."""
 
     def __init__(self, languages: list[str], prior: np.ndarray, logp: np.ndarray):
         self.languages, self.prior, self.logp = languages, prior, logp
 
+    def buckets(self, bucket: np.ndarray) -> np.ndarray:
+        return bucket & (self.logp.shape[1] - 1) if len(self.languages) > MOST_LANGUAGES else bucket
+
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", smoothing: float = 0.5) -> Model:
     counts = bucket_counts(labelled, text, label).toPandas()
     languages = sorted(counts["label"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be learned")
-    sums, texts = np.full((BUCKETS, len(languages)), smoothing), np.ones(len(languages))
+    size = BUCKETS
+    while size > 1 and size * len(languages) > BUCKETS * MOST_LANGUAGES:
+        size //= 2
+    sums, texts = np.full((size, len(languages)), smoothing), np.ones(len(languages))
     for k, name in enumerate(languages):
         own = counts[counts["label"] == name]
         at, n = own["bucket"].to_numpy(), own["n"].to_numpy()
-        sums[at[at >= 0], k] += n[at >= 0]
+        np.add.at(sums[:, k], at[at >= 0] & (size - 1), n[at >= 0])
         texts[k] = n[at < 0].sum()
     return Model(languages, np.log(texts / max(1, texts.sum())), np.ascontiguousarray(np.log(sums / sums.sum(axis=0)).T.astype(np.float32)))
 
@@ -100,11 +120,11 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         m = shared.value
         for batch in batches:
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, end, data, bounds in tb.chunks(batch.column(1)):
+            for first, end, data, bounds in tb.chunks(pc.utf8_lower(batch.column(1))):
                 n = end - first
                 total, grams = np.zeros((n, len(m.languages)), np.float64), np.zeros(n)
                 for bucket, row in ngram_buckets(data, bounds):
-                    at = tb.row_starts(row, n)
+                    bucket, at = m.buckets(bucket), tb.row_starts(row, n)
                     for k in range(len(m.languages)):
                         total[:, k] += tb.sum_rows(m.logp[k][bucket], at)
                     grams += np.diff(at)

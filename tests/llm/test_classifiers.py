@@ -76,3 +76,87 @@ def test_empty_tables(spark):
     assert quality.predict(some, quality.fit(docs, labels)).first()["score"] == 0.5
     assert toxicity.predict(some, toxicity.fit(docs, labels)).first()["grade"] == 0
     assert langid.predict(some, langid.fit(docs)).first()["lang_pred"] == "und"
+
+
+def test_language_posterior_against_plain_counts(spark):
+    """Counts and posteriors of character n-grams with dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    import numpy as np
+
+    learned = [("der Bär hört die Ähre", "de"), ("ÇA va très bien là-bas", "fr"), ("the bear 12 hears", "en"), ("日本語の文です", "ja"), ("я слышу медведя", "ru"), ("the the", "en")]
+    asked = [(1, "die Ähren"), (2, "là très"), (3, "日本の文"), (4, "МЕДВЕДЬ"), (5, "12"), (6, "bear")]
+
+    def grams(text):
+        one = "".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower())
+        return Counter(one[i : i + n] for n in langid.ORDERS for i in range(len(one) - n + 1) if one[i : i + n].strip())
+
+    def bucket(gram):
+        raw = np.frombuffer(gram.encode(), np.uint8)
+        (found,) = [b for b, _ in langid.ngram_buckets(raw, np.array([0, len(raw)])) if len(b) == 1][-1]
+        return int(found)
+
+    counts, texts = defaultdict(Counter), Counter(lang for _, lang in learned)
+    for text, lang in learned:
+        for g, n in grams(text).items():
+            counts[lang][bucket(g)] += n
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), langid.fit(spark.createDataFrame(learned, "text string, lang string"))).collect()}
+    for i, text in asked:
+        own = grams(text)
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logs = {}
+        for lang in counts:
+            whole = sum(counts[lang].values()) + 0.5 * langid.BUCKETS
+            logs[lang] = math.log(texts[lang] / len(learned)) + sum(n * math.log((counts[lang][bucket(g)] + 0.5) / whole) for g, n in own.items())
+        best = max(logs, key=logs.get)
+        share = 1 / sum(math.exp((x - logs[best]) / math.sqrt(sum(own.values()))) for x in logs.values())
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(share, abs=1e-4)
+
+
+def test_many_languages(spark):
+    rows = [(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 5, f"l{i:03}") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.logp.size <= langid.BUCKETS * langid.MOST_LANGUAGES
+    got = langid.predict(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][1] for r in got) > 290
+
+
+def test_random_indexing_and_pooling_against_plain_loops(spark):
+    import numpy as np
+
+    texts = ["a b c a", "b a", "", "x y", "long " * 40]
+    place, sign = quality.random_vectors()
+    vector = {b: np.zeros(quality.DIMS) for b in range(quality.BUCKETS)}
+    for b in range(quality.BUCKETS):
+        for j in range(quality.NONZERO):
+            vector[b][place[b, j]] += sign[b, j]
+    sums = {}
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        own, _ = quality.tokens(raw, np.array([0, len(raw)]))
+        for i, b in enumerate(own):
+            total = sums.setdefault(int(b), [0, np.zeros(quality.DIMS)])
+            total[0] += 1
+            for k in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if k != i:
+                    total[1] += vector[int(own[k])]
+    got = quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
+    assert {int(r.bucket): int(r.n) for r in got.itertuples()} == {b: n for b, (n, _) in sums.items()}
+    for r in got.itertuples(index=False):
+        assert list(r)[2:] == sums[int(r.bucket)][1].astype(int).tolist()
+    vectors = np.random.default_rng(0).normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    rows = quality.pooled(vectors, raw, bounds)
+    for i, t in enumerate(texts):
+        piece = np.frombuffer(t.encode(), np.uint8)
+        own, _ = quality.tokens(piece, np.array([0, len(piece)]))
+        if not len(own):
+            assert not rows[i].any()
+            continue
+        x = vectors[own]
+        assert np.allclose(rows[i][: quality.DIMS], 4 * x.mean(axis=0), atol=1e-4)
+        assert np.allclose(rows[i][quality.DIMS : 2 * quality.DIMS], 4 * x.std(axis=0), atol=2e-2)
