@@ -5,10 +5,15 @@ bytes, hashed to a fixed number of buckets, each worth log2(1 + count). One spar
 weight vector is shared by all thresholds: P(grade <= j) = sigmoid(t_j - w.x), with
 t_1 < t_2 < t_3. The result is the expected grade, 0 (clean) to 3.
 
-Labels only say toxic or not, so the grades of toxic training texts are the thirds of
-how many occurrences of marked features they hold; marked features are those far more
-frequent in toxic than in clean training texts. The weights come from proximal
-gradient steps (L1), so that few buckets have one and are broadcast.
+Labels only say toxic or not, so the order among toxic training texts comes from the
+model itself, cross-fitted: with one threshold it learns without one fold of the sample
+and scores that fold, and the thirds of these held-out scores are the grades 1 to 3 of the
+toxic texts. The final fit then has all thresholds over the shared weights. Weights
+come from proximal gradient steps (L1), so that few buckets have one and are broadcast.
+
+The sample is bounded in texts (SAMPLE_PER_CLASS of either class) and in features
+(MOST_FEATURES in all): whole texts in the order of their id hashes, as far as they fit, one
+of each class at least. Training so costs the same at any corpus size and text length.
 
 Defined results: null and empty texts, and every text where nothing could be learned
 (no labels of both classes), have no features and get the grade of an empty text (0
@@ -21,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import table
+from .common import Scratch, table
 from .quality import labelled_sample, once
 
 BITS = 20
 GRADES = 3
+FOLDS = 4
 PREFIXES = (3, 4, 5, 6, 7)
 #: At most so many labelled documents of either class are learned from; those of the lowest id hashes.
 SAMPLE_PER_CLASS = 4000
+#: Features (a bucket in a text) of all texts that are learned from together: 32 MB.
+MOST_FEATURES = 1 << 22
 L1 = 1.5e-3
 
 
@@ -79,54 +87,67 @@ class Model:
         return np.bincount(key >> BITS, weights=self.dense[key & ((1 << BITS) - 1)] * np.log2(1 + count), minlength=n)
 
 
-def _grades(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for clean texts; for toxic ones 1 to 3, by thirds of their marked occurrences."""
-    one, size = toxic[doc], 1 << BITS
-    dirty, clean = np.bincount(feature[one], minlength=size), np.bincount(feature[~one], minlength=size)
-    odds = np.log((dirty + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / ((~toxic).sum() + 1))
-    marked = (dirty >= 5) & (odds > np.log(20))
-    hits = np.bincount(doc, weights=count * marked[feature], minlength=len(toxic))
+def _descend(doc: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, features: int, levels: int, steps: int, l1: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative-link model by proximal gradient steps over all texts."""
+    n, k = len(grade), np.arange(len(grade))
+    w, t = np.zeros(features), np.arange(levels) - 0.5
+    rate, g_w, g_t = 0.25, np.full(features, 1e-8), np.full(levels, 1e-8)
+    for _ in range(steps):
+        p, per, gt = _gradient(np.bincount(doc, weights=w[at] * value, minlength=n), t, grade, k)
+        gw = -np.bincount(at, weights=per[doc] * value, minlength=features)
+        g_w += gw * gw
+        g_t += gt * gt
+        step = rate / np.sqrt(g_w)
+        w -= step * gw
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
+        t = np.sort(t - rate / np.sqrt(g_t) * gt)
+        t = np.maximum.accumulate(t + np.arange(levels) * 1e-3)
+    return w, t
+
+
+def _gradient(linear: np.ndarray, t: np.ndarray, grade: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(grade >= j), and the slope of the mean negative log-likelihood by minus each text's linear score, and by each threshold."""
+    n, levels = len(grade), len(t)
+    p = 1 / (1 + np.exp(np.clip(t[None, :] - linear[:, None], -30, 30)))
+    # likelihood of adjacent levels: grade j has p_j - p_(j+1)
+    edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
+    slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
+    mass = np.maximum(edge[k, grade] - edge[k, grade + 1], 1e-9)
+    d = np.zeros((n, levels + 2))
+    d[k, grade] = slope[k, grade] / mass
+    d[k, grade + 1] -= slope[k, grade + 1] / mass
+    return p, d.sum(axis=1) / n, d[:, 1:-1].sum(axis=0) / n
+
+
+def _grades(doc: np.ndarray, at: np.ndarray, value: np.ndarray, toxic: np.ndarray, features: int, l1: float) -> np.ndarray:
+    """0 for clean texts; for toxic ones 1 to 3, by thirds of the scores that the model of the other folds gives them."""
+    score, fold = np.zeros(len(toxic)), np.arange(len(toxic)) % FOLDS
+    for k in range(FOLDS):
+        learned = fold != k
+        own = learned[doc]
+        if len(set(toxic[learned])) == 2:
+            place = np.cumsum(learned) - 1
+            w, _ = _descend(place[doc[own]], at[own], value[own], toxic[learned].astype(np.int64), features, 1, 60, l1)
+            score += np.where(learned, 0, np.bincount(doc, weights=w[at] * value, minlength=len(toxic)))
     grade = np.zeros(len(toxic), np.int64)
-    own = np.flatnonzero(toxic)
-    grade[own] = 1 + np.searchsorted(np.quantile(hits[own], [1 / 3, 2 / 3]), hits[own], "left")
+    grade[toxic] = 1 + np.searchsorted(np.quantile(score[toxic], [1 / 3, 2 / 3]), score[toxic], "left")
     return grade
 
 
 def train(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray, shift: float, steps: int = 250, l1: float = L1) -> Model:
     """doc, feature, count: the occurrences; shift: log of how much rarer toxic texts are than in this sample."""
-    n, grade = len(toxic), _grades(doc, feature, count, toxic)
     # a bucket in under three texts says nothing about others
     used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS) >= 3)
     at = np.searchsorted(used, feature).clip(0, max(0, len(used) - 1))
     own = used[at] == feature if len(used) else np.zeros(len(feature), bool)
     doc, at, value = doc[own], at[own], np.log2(1 + count[own])
-    w, t = np.zeros(len(used)), np.arange(GRADES) - 0.5
-    rate, g_w, g_t = 0.25, np.full(len(used), 1e-8), np.full(GRADES, 1e-8)
-    for _ in range(steps):
-        linear = np.bincount(doc, weights=w[at] * value, minlength=n)
-        p = 1 / (1 + np.exp(np.clip(t[None, :] - linear[:, None], -30, 30)))
-        # likelihood of adjacent levels: grade j has p_j - p_(j+1)
-        edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
-        slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
-        k = np.arange(n)
-        mass = np.maximum(edge[k, grade] - edge[k, grade + 1], 1e-9)
-        d = np.zeros((n, GRADES + 2))
-        d[k, grade] = slope[k, grade] / mass
-        d[k, grade + 1] -= slope[k, grade + 1] / mass
-        per = d.sum(axis=1) / n
-        gw, gt = -np.bincount(at, weights=per[doc] * value, minlength=len(used)), d[:, 1:-1].sum(axis=0) / n
-        g_w += gw * gw
-        g_t += gt * gt
-        step = rate / np.sqrt(g_w)
-        w -= step * gw
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
-        t = np.sort(t - rate / np.sqrt(g_t) * gt)
-        t = np.maximum.accumulate(t + np.arange(GRADES) * 1e-3)
+    grade = _grades(doc, at, value, toxic, len(used), l1)
+    w, t = _descend(doc, at, value, grade, len(used), GRADES, steps, l1)
     keep = w != 0
     return Model(used[keep], w[keep], t + shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, features_in_all: int = MOST_FEATURES) -> Model:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in tb.chunks(batch.column(0)):
@@ -139,8 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     sample = labelled_sample(labels, label, doc_id, per_class)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # at most 2 x per_class ids are broadcast
-    found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(emit, "doc_id long, y int, of long, feature array<int>, n array<int>").toArrow()
+    with Scratch(docs.sparkSession) as scratch:
+        # at most 2 x per_class ids are broadcast, and as many rows have a place
+        held = scratch.settle(once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(emit, "doc_id long, y int, of long, feature array<int>, n array<int>"))
+        by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+        sizes = held.select("doc_id", "y", F.size("feature").cast("long").alias("size"))
+        fits = sizes.withColumns({"upto": F.sum("size").over(by_hash), "nth": F.row_number().over(by_hash)}).where((F.col("upto") <= features_in_all // 2) | (F.col("nth") == 1)).select("doc_id")
+        found = held.join(F.broadcast(fits), "doc_id").toArrow()
     ids, first = np.unique(found.column("doc_id").to_numpy(), return_index=True)
     found = found.take(pa.array(first))  # in order of id
     toxic = found.column("y").to_numpy() == 1

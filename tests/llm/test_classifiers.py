@@ -160,3 +160,34 @@ def test_random_indexing_and_pooling_against_plain_loops(spark):
         x = vectors[own]
         assert np.allclose(rows[i][: quality.DIMS], 4 * x.mean(axis=0), atol=1e-4)
         assert np.allclose(rows[i][quality.DIMS : 2 * quality.DIMS], 4 * x.std(axis=0), atol=2e-2)
+
+
+def test_cumulative_link_gradient_against_differences():
+    """The slopes of the mean negative log-likelihood, by finite differences of its definition."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    linear, t, grade = r.normal(size=9), np.array([-0.5, 0.4, 1.5]), r.integers(0, 4, 9)
+
+    def loss(linear, t):
+        above = lambda j, x: 1.0 if j == 0 else 0.0 if j == 4 else 1 / (1 + np.exp(t[j - 1] - x))
+        return -np.mean([np.log(above(g, x) - above(g + 1, x)) for g, x in zip(grade, linear, strict=True)])
+
+    _, per, by_threshold = toxicity._gradient(linear, t, grade, np.arange(9))
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        assert -per[i] == pytest.approx((loss(linear + step, t) - loss(linear - step, t)) / 2e-6, abs=1e-6)
+    for j in range(3):
+        step = np.eye(3)[j] * 1e-6
+        assert by_threshold[j] == pytest.approx((loss(linear, t + step) - loss(linear, t - step)) / 2e-6, abs=1e-6)
+
+
+def test_grades_follow_severity_and_the_sample_is_bounded(spark):
+    """Texts with more of what is toxic get a higher grade; a small bound in features still learns."""
+    rows = [(i, "plain words of text " * 6 + ("vile " * (1 + i % 9) if i % 2 else ""), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for model in (toxicity.fit(docs, labels), toxicity.fit(docs, labels, features_in_all=1500)):
+        got = {r.doc_id: r.severity for r in toxicity.predict(docs, model).collect()}
+        assert min(got[i] for i, _, y in rows if y) > max(got[i] for i, _, y in rows if not y)
+        assert got[17] > got[9]  # nine times against once
