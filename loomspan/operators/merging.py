@@ -40,10 +40,11 @@ def fence(df: DataFrame, held: DataFrame, modes: dict[str, tuple[Column, Column]
     Each mode is an equality of (expression on df, expression on held): one hash join
     each, never an OR in a join. A null matches nothing.
     """
-    out = df
-    for i, (own, other) in enumerate(modes.values()):
+    # all keys come before the first join, so that columns only they need don't go through it
+    out = df.withColumns({f"__k{i}": own for i, (own, _) in enumerate(modes.values())})
+    for i, (_, other) in enumerate(modes.values()):
         keys = held.select(other.alias(f"__k{i}")).where(F.col(f"__k{i}").isNotNull()).distinct().withColumn(f"__m{i}", F.lit(True))
-        out = out.withColumn(f"__k{i}", own).join(keys, f"__k{i}", "left")
+        out = out.join(keys, f"__k{i}", "left")
     first = F.coalesce(*(F.when(F.col(f"__m{i}"), name) for i, name in enumerate(modes)))
     return out.withColumn("match", first).drop(*(f"__{x}{i}" for i in range(len(modes)) for x in "km"))
 

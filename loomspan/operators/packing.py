@@ -1,12 +1,13 @@
-"""Best-fit decreasing packing of items into bins, in shards of a bounded number of items.
+"""Packing of items into bins, in shards of a bounded number of items.
 
-Bins never cross shards, so each shard is one task's work; a shard wastes at most its
-last bins, whatever the table's size.
+A bin begins with the largest item left and takes the largest that still fits until none
+does. Bins never cross shards, so each shard is one task's work; a shard wastes at most
+its last bins, whatever the table's size.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,19 +15,33 @@ from pyspark.sql import functions as F
 
 
 def _bins(lengths: list[int], capacity: int) -> list[int]:
-    """The bin of each length, taken in the order given (longest first): the fullest bin with room; of equal ones the oldest. An item over the capacity has a bin of its own."""
-    room: list[tuple[int, int]] = []
-    where, bins = [], 0
-    for n in lengths:
-        k = bisect_left(room, (n, -1))
-        if k < len(room) and n <= capacity:
-            gap, b = room.pop(k)
-        else:
-            gap, b = capacity, bins
-            bins += 1
-        where.append(b)
-        if gap > n:
-            insort(room, (gap - n, b))
+    """The bin of each length, given longest first; equal ones go in the order given. An item over the capacity has a bin of its own."""
+    sizes = sorted(set(lengths))
+    left: dict[int, list[int]] = {n: [] for n in sizes}
+    for i in range(len(lengths) - 1, -1, -1):
+        left[lengths[i]].append(i)
+    # below[k + 1] leads to the greatest size up to sizes[k] that has items left, 0 to none
+    below = list(range(len(sizes) + 1))
+
+    def greatest(k: int) -> int:
+        root = k
+        while below[root] != root:
+            root = below[root]
+        while below[k] != root:
+            below[k], k = root, below[k]
+        return root
+
+    where, bins = [0] * len(lengths), 0
+    while k := greatest(len(sizes)):
+        room = max(capacity, sizes[k - 1])
+        while k:
+            n = sizes[k - 1]
+            where[left[n].pop()] = bins
+            room -= n
+            if not left[n]:
+                below[k] = k - 1
+            k = greatest(bisect_right(sizes, room if n <= capacity else -1))
+        bins += 1
     return where
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.hashing import joined
+from loomspan.functions.times import day_number
 from loomspan.operators import hierarchy
 from loomspan.sources.tables import table
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode, level, id, start, end)."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("k"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("s"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("k"), day_number("o_orderdate").alias("s"))
     by_day = Window.partitionBy("episode").orderBy("s", "k")
     one = orders.withColumns({"t": F.coalesce(F.lead("s").over(by_day), F.col("s") + 30), "i": F.row_number().over(by_day) - 1})
     two = one.where("episode % 2 = 0").groupBy("episode", F.floor(F.col("i") / 2)).agg(F.min("k").alias("id"), F.min("s").alias("start"), F.max("t").alias("end"))
@@ -45,7 +46,7 @@ def level_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unit of level 2 that holds each order's day."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("point"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("day"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("point"), day_number("o_orderdate").alias("day"))
     return hierarchy.holding(orders, units(spark, sf_dir), 2, "day").select("point", "day", "unit")
 
 
@@ -61,7 +62,7 @@ def labelled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and days that go with every order."""
     views = F.filter(F.array(*(F.when(F.expr(f"shiftright(o_custkey, {k}) & 1") == 1, v) for k, v in enumerate(("head", "left_wrist", "right_wrist", "side")))), lambda v: v.isNotNull())
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    day = day_number("o_orderdate")
     refs = table(spark, sf_dir, "orders").select("o_orderkey", hierarchy.image_refs(day, views).alias("r"))
     return refs.select("o_orderkey", F.size("r").cast("long").alias("n_refs"), F.array_join("r", ",").alias("refs"))
 

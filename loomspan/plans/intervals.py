@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.times import day_number, seconds
 from loomspan.operators import intervals
 from loomspan.sources.tables import table
 
-def _day(time: str) -> Column:
-    """Whole days since the first day of the tables."""
-    return F.datediff(F.col(time).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = _day("o_orderdate")
+    start = day_number("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", start.alias("start"), (start + F.col("o_orderkey") % 60).alias("end"))
 
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _day("l_shipdate").alias("l_start"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", day_number("l_shipdate").alias("l_start"))
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return items.join(owner, "l_orderkey").withColumn("l_end", F.col("l_start") + F.col("l_linenumber"))
 
 
 def _spans(spark: SparkSession, sf_dir: str, kind: str, side: str) -> DataFrame:
-    start = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    start = seconds("ts")
     return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{side}_id"), start.alias(f"{side}_start"), (start + 3600 * (1 + F.col("event_id") % 24)).alias(f"{side}_end"))
 
 
@@ -54,7 +51,7 @@ def max_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asof_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last view at or before each purchase."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
     views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
     points = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
     return intervals.as_of(points, views, ["user_id"], "ts", "view_id").select("user_id", "event_id", "view_id")

@@ -88,7 +88,7 @@ def topk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the shipped line items by return flag and status."""
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    items = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     dec = lambda c: F.col(c).cast("decimal(15,2)")
     return items.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum(dec("l_quantity")).cast("double").alias("sum_qty"), F.sum(dec("l_extendedprice")).cast("double").alias("sum_price"), F.sum(dec("l_extendedprice") * (1 - dec("l_discount"))).cast("double").alias("sum_disc"), F.count(F.lit(1)).alias("n_items")

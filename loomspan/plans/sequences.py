@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import progress
+from loomspan.functions.times import day_number
 from loomspan.operators import sampling
 from loomspan.sources.tables import table
 
-def _day(time: str) -> Column:
-    """Whole days since the first day of the tables."""
-    return F.datediff(F.col(time).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stride and quantile anchors of each order's interval, with its progress there."""
-    start = _day("o_orderdate")
+    start = day_number("o_orderdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start"), (start + F.col("o_orderkey") % 60).alias("end"))
     out = sampling.anchors(orders, "start", "end", 10, [0.25, 0.5, 0.75])
     place = (F.col("anchor"), F.col("start"), F.col("end"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.times import micros
 from loomspan.operators.packing import best_fit_bins
 from loomspan.sources.tables import table
 from loomspan.streaming.memory import batch_memory
@@ -13,7 +14,7 @@ from loomspan.streaming.memory import batch_memory
 def observations(events: DataFrame) -> DataFrame:
     """Events as observations: the type as caption, the value up to 100 as progress."""
     progress = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0)).cast("int")
-    return events.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("caption"), progress.alias("progress"), F.lit("").alias("following"))
+    return events.select(F.col("user_id").cast("string").alias("key"), micros("ts").alias("at"), F.col("event_type").alias("caption"), progress.alias("progress"), F.lit("").alias("following"))
 
 
 def knapsack_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

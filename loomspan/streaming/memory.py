@@ -4,12 +4,18 @@ Each key has an active state. Another state takes over once it was seen STABLE t
 a row, not counting returns to the active one in between. The state that ends is
 committed to the key's memory if it was itself seen STABLE times and had reached DONE
 percent or had announced the one that follows; the same state is not committed twice
-running. The step function holds a few values per key and is all the Python there is;
-both engines sort and deal the rows.
+running. States are the same if their captions are, without differences of case, white
+space and punctuation at the end; the first caption seen of a state names it.
+
+The memory shown is its last SHOWN states, told when there are earlier ones; how many
+there are in all is counted, and the rows that commit name every one, so nothing of the
+memory is lost although a key's state stays small. The step function is all the Python
+there is; both engines sort and deal the rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, field
 
@@ -17,7 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STABLE, DONE, KEPT = 2, 80, 8
+STABLE, DONE, SHOWN = 2, 80, 8
+_END = re.compile(r"[\s.,;:!?。！？，；：…]+$")
+
+
+def canonical(caption: str) -> str:
+    return _END.sub("", " ".join(caption.split()).casefold())
 
 
 @dataclass
@@ -27,6 +38,9 @@ class Seen:
     progress: int = 0
     following: str = ""
 
+    def same(self, caption: str) -> bool:
+        return canonical(self.caption) == canonical(caption)
+
     def again(self, progress: int, following: str) -> None:
         self.times += 1
         self.progress = max(self.progress, progress)
@@ -37,40 +51,54 @@ class Seen:
 class Memory:
     active: Seen | None = None
     candidate: Seen | None = None
-    committed: list[str] = field(default_factory=list)
+    shown: list[str] = field(default_factory=list)
+    count: int = 0
+
+    @property
+    def committed(self) -> list[str]:
+        return self.shown
+
+    def text(self) -> str:
+        return ">".join((["..."] if self.count > len(self.shown) else []) + self.shown)
+
+    def _outcome(self, ended: Seen, begun: Seen) -> str:
+        done = ended.progress >= DONE or (ended.following != "" and begun.same(ended.following))
+        known = bool(self.shown) and ended.same(self.shown[-1])
+        return {(True, False): "transition_committed", (True, True): "transition_duplicate_suppressed"}.get((ended.times >= STABLE and done, known), "transition_without_commit")
 
     def step(self, caption: str, progress: int, following: str) -> str:
-        """Take one observation in; the name of what happened."""
+        """Take one observation in; the name of what happened. An empty caption or a progress outside 0 to 100 changes nothing."""
+        if not canonical(caption) or not 0 <= progress <= 100:
+            return "refused"
         if self.active is None:
             self.active = Seen(caption, 1, progress, following)
             return "initialized"
-        if caption == self.active.caption:
+        if self.active.same(caption):
             self.active.again(progress, following)
             self.candidate = None
             return "active_stable"
-        if self.candidate is not None and self.candidate.caption == caption:
+        if self.candidate is not None and self.candidate.same(caption):
             self.candidate.again(progress, following)
         else:
             self.candidate = Seen(caption, 1, progress, following)
         if self.candidate.times < STABLE:
             return "transition_candidate"
-        old, self.active, self.candidate = self.active, self.candidate, None
-        if old.times < STABLE or (old.progress < DONE and old.following != caption):
-            return "transition_without_commit"
-        if self.committed and self.committed[-1] == old.caption:
-            return "transition_duplicate_suppressed"
-        self.committed = [*self.committed, old.caption][-KEPT:]
-        return "transition_committed"
+        what = self._outcome(self.active, self.candidate)
+        if what == "transition_committed":
+            self.shown = [*self.shown, self.active.caption][-SHOWN:]
+            self.count += 1
+        self.active, self.candidate = self.candidate, None
+        return what
 
 
-SCHEMA = "key string, at long, caption string, what string, active string, memory string"
+SCHEMA = "key string, at long, caption string, what string, active string, memory string, n_committed long"
 
 
 def _rows(key: str, memory: Memory, frame: pd.DataFrame) -> list[tuple]:
     out = []
     for at, caption, progress, following in zip(frame["at"], frame["caption"], frame["progress"], frame["following"], strict=True):
         what = memory.step(caption, int(progress), following)
-        out.append((key, at, caption, what, memory.active.caption, ">".join(memory.committed)))
+        out.append((key, at, caption, what, memory.active.caption if memory.active else None, memory.text(), memory.count))
     return out
 
 
@@ -96,21 +124,26 @@ def batch_memory(observations: DataFrame) -> DataFrame:
     return clean.repartition("key").sortWithinPartitions("key", "at", "caption").mapInPandas(read, SCHEMA)
 
 
-_STATE = "active struct<caption:string,times:int,progress:int,following:string>, candidate struct<caption:string,times:int,progress:int,following:string>, committed array<string>"
+_STATE = "active struct<caption:string,times:int,progress:int,following:string>, candidate struct<caption:string,times:int,progress:int,following:string>, shown array<string>, count long"
 
 
 def _step_frames(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     memory = Memory()
     if state.exists:
-        active, candidate, committed = state.get
-        memory = Memory(Seen(*active) if active else None, Seen(*candidate) if candidate else None, list(committed))
+        active, candidate, shown, count = state.get
+        memory = Memory(Seen(*active) if active else None, Seen(*candidate) if candidate else None, list(shown), count)
     frame = pd.concat(list(frames)).sort_values(["at", "caption"], kind="stable")
     rows = _rows(key[0], memory, frame)
-    state.update((astuple(memory.active) if memory.active else None, astuple(memory.candidate) if memory.candidate else None, memory.committed))
+    state.update((astuple(memory.active) if memory.active else None, astuple(memory.candidate) if memory.candidate else None, memory.shown, memory.count))
     yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
 
 def stream_memory(observations: DataFrame) -> DataFrame:
-    """As batch_memory, over a stream: each key's memory is kept between micro-batches; within one, rows go by ``at``."""
+    """As batch_memory, over a stream: each key's memory is kept between micro-batches; within one, rows go by ``at``.
+
+    Equal to the batch where micro-batches come in order of ``at``; a row that comes after
+    a later one was read is taken as it comes. A key's state has a fixed size and stays
+    for as long as the stream runs.
+    """
     clean = observations.where("caption is not null").selectExpr("key", "at", "caption", "coalesce(progress, 0) as progress", "coalesce(following, '') as following")
     return clean.groupBy("key").applyInPandasWithState(_step_frames, SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -24,7 +24,7 @@ def _expected(rows):
     out, memories = [], {}
     for r in sorted(rows, key=lambda r: (r["at"], r["caption"])):
         memory = memories.setdefault(r["key"], Memory())
-        out.append((r["key"], r["at"], r["caption"], memory.step(r["caption"], r["progress"], r["following"]), memory.active.caption, ">".join(memory.committed)))
+        out.append((r["key"], r["at"], r["caption"], memory.step(r["caption"], r["progress"], r["following"]), memory.active.caption, memory.text(), memory.count))
     return sorted(out)
 
 
@@ -51,3 +51,38 @@ def test_best_fit(spark):
     rows = {r["item"]: (r["length"], r["bin"]) for r in best_fit_bins(items, "id", "n", 10).collect()}
     assert set(rows) == {1, 2, 3, 4, 5, 8}
     assert rows[1][1] == rows[4][1] and rows[2][1] == rows[3][1] and rows[5][1] not in (rows[1][1], rows[2][1])
+
+
+def test_states_are_the_same_by_canonical_caption_and_nothing_is_lost():
+    memory = Memory()
+    assert [memory.step(*s) for s in [("Pick up  cup.", 90, ""), ("pick up cup", 95, ""), ("", 1, ""), ("x", 101, ""), ("Place it", 0, ""), ("place it!", 5, "")]] == [
+        "initialized", "active_stable", "refused", "refused", "transition_candidate", "transition_committed",
+    ]
+    for k in range(20):
+        for _ in range(2):
+            memory.step(f"state {k}", 90, "")
+    assert memory.count == 20 and len(memory.shown) == 8 and memory.text().startswith("...>state 11>")
+
+
+def test_bins_take_the_largest_that_fits():
+    import random
+
+    from loomspan.operators.packing import _bins
+
+    r = random.Random(3)
+    for _ in range(200):
+        sizes = sorted((r.randrange(0, 14) for _ in range(r.randrange(1, 30))), reverse=True)
+        got, left, number, want = _bins(sizes, 10), list(range(len(sizes))), 0, {}
+        while left:
+            room = None
+            while left:
+                fit = next((i for i in left if room is None or sizes[i] <= room), None)
+                if fit is None:
+                    break
+                room = (10 if room is None else room) - sizes[fit]
+                want[fit] = number
+                left.remove(fit)
+                if room < 0:
+                    break
+            number += 1
+        assert got == [want[i] for i in range(len(sizes))]
