@@ -77,7 +77,7 @@ def marks(units: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, tb.U64), *own])).astype(np.int32))], names=["slot"])
 
     bits = np.zeros(1 << MARK_BITS, bool)
-    bits[units.select("words").mapInArrow(slots, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most 2 ** MARK_BITS
+    bits[units.select("words").mapInArrow(tb.tidy(slots), "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most 2 ** MARK_BITS
     return np.packbits(bits)
 
 
@@ -103,7 +103,7 @@ def inverse_frequency(docs: DataFrame, text: str = "text", marked: np.ndarray |
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(1 + (1 << DF_BITS))
     total[sums["bucket"].to_numpy(np.int64)] = sums["n"]
     return np.log1p(max(1, total[-1]) / np.maximum(1, total[:-1])).astype(np.float32)
@@ -128,7 +128,7 @@ def passages(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "words"])
 
     narrow = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(cut, "item_id long, words array<long>")
+    return narrow.mapInArrow(tb.tidy(cut), "item_id long, words array<long>")
 
 
 def _vector(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def randomised_svd(units: DataFrame, idf: np.ndarray, rank: int, oversample: int
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array(rows[:, j]) for j in range(width))], names=["bucket", *columns])
 
     schema = ", ".join(["bucket long", *(f"{c} double" for c in columns)])
-    z = units.select("words").mapInArrow(project, schema).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("bucket")
+    z = units.select("words").mapInArrow(tb.tidy(project), schema).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("bucket")
     vocabulary = z["bucket"].to_numpy(np.int64)
     if not len(vocabulary):
         return vocabulary, np.zeros((0, 1), np.float32)
@@ -180,7 +180,7 @@ def randomised_svd(units: DataFrame, idf: np.ndarray, rank: int, oversample: int
                 total += np.outer(b, b)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[0]).astype(np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
-    parts = units.select("words").mapInArrow(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    parts = units.select("words").mapInArrow(tb.tidy(gram), "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
     small = np.zeros((q.shape[1], q.shape[1]))
     small[parts["i"], parts["j"]] = parts["x"]
     values, vectors = np.linalg.eigh(small)
@@ -384,7 +384,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "doc_id", "item_id", "cosine", "in_order", "answer"])
 
-        part = rows.mapInArrow(find, "row long, doc_id long, item_id long, cosine double, in_order double, answer double")
+        part = rows.mapInArrow(tb.tidy(find), "row long, doc_id long, item_id long, cosine double, in_order double, answer double")
         out = part if out is None else out.unionByName(part)
     if blocks > 1:  # the passages of an item may be in several blocks
         best = F.max_by(F.struct("cosine", "in_order", "answer"), F.struct("in_order", "cosine"))
@@ -407,7 +407,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
                         keep[first + row] = False
                 yield batch.filter(pa.array(keep))
 
-        source = source.mapInArrow(clean, docs.schema)
+        source = source.mapInArrow(tb.tidy(clean), docs.schema)
     return source
 
 

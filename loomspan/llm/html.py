@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textbatch as tb
 from .common import table
 
 # Element kinds of HTML.
@@ -251,7 +252,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return narrow.mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return narrow.mapInArrow(tb.tidy(rows), "page_id long, url string, text string, n_chars long")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def word_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = sums.select("bucket", F.least(F.rint(8 * F.log2(F.col("n") + 1)), F.lit(255.0)).cast("short").alias("rank")).toArrow()  # at most 2 ** WORD_BITS rows
     out = np.zeros(1 << WORD_BITS, np.uint8)
     out[found.column("bucket").to_numpy()] = found.column("rank").to_numpy()
@@ -172,7 +172,7 @@ def sets(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int, doc_id:
                 )
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return ids.mapInArrow(rows, "doc_id long, n int, cls long, cost double, prefix array<long>, small array<long>")
+    return ids.mapInArrow(tb.tidy(rows), "doc_id long, n int, cls long, cost double, prefix array<long>, small array<long>")
 
 
 def set_class(ids: np.ndarray) -> int:
@@ -219,7 +219,7 @@ def lists(classes: DataFrame, boundary: int, num: int, den: int, only: Broadcast
             kinds = (np.int64, np.int64, np.int32, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t)) for x, t in zip((key, cls, size, pos), kinds, strict=True)], names=["key", "cls", "n", "pos"])
 
-    return classes.select("cls", "n", "prefix", "small").mapInArrow(rows, "key long, cls long, n int, pos int")
+    return classes.select("cls", "n", "prefix", "small").mapInArrow(tb.tidy(rows), "key long, cls long, n int, pos int")
 
 
 def _up(x: Column, y: int) -> Column:
@@ -246,7 +246,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shared: Broadcast, k: int, te
                 if cls:
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(whole, pa.binary())], names=["cls", "ids"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "cls long, ids binary")
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(rows), "cls long, ids binary")
     return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("ids").alias("ids"))
 
 
@@ -309,7 +309,7 @@ def heads(classes: DataFrame) -> DataFrame:
             head = [tb.packed(np.diff(np.sort(x.values.to_numpy().astype(np.uint32)), prepend=np.uint32(0))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(head, pa.binary())], names=["cls", "head"])
 
-    return classes.select("cls", "prefix").mapInArrow(rows, "cls long, head binary")
+    return classes.select("cls", "prefix").mapInArrow(tb.tidy(rows), "cls long, head binary")
 
 
 def plausible(groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -331,6 +331,7 @@ def plausible(groups: DataFrame, classes: DataFrame, num: int, den: int) -> Data
         same = len(a) == len(rows)
         la, lb = forest(sized & (shared >= least) & (cls[a][:, None] != cls[b][None, :]), same)
         label, place = (la, a) if same else (np.concatenate([la, lb]), np.concatenate([a, b]))
+        tb.release()
         _, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
         anchor = np.full(len(size), np.iinfo(np.int64).max)
         np.minimum.at(anchor, inverse, cls[place])
@@ -357,6 +358,7 @@ def compared(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFra
         every = np.concatenate([cls[a], cls[b]])
         one, other = every, every[np.concatenate([la, lb])]
         apart = one != other
+        tb.release()
         return pa.table({"a": one[apart], "b": other[apart]})
 
     dealt = groups.join(whole, "cls").select("key", "i", "j", "label", "side", "cls", "ids")

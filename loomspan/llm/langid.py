@@ -83,7 +83,7 @@ def bucket_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(counts[at])], names=["label", "bucket", "n"])
 
-    return labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(tb.tidy(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(best < 0, 0.0, score))], names=["doc_id", "lang_pred", "score"])
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return ids.mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return ids.mapInArrow(tb.tidy(label), "doc_id long, lang_pred string, score double")
 
 
 def _has_letter(column: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:

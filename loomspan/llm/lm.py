@@ -124,7 +124,7 @@ def asked(texts: DataFrame, parts: int, tokens: int) -> DataFrame:
                 columns.append([tb.packed(n[a:b]) for a, b in zip(cuts, cuts[1:])])
             yield pa.RecordBatch.from_arrays([pa.array([block] * parts), pa.array(np.arange(parts, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "part", "k1", "n1", "k2", "n2", "k3", "n3"])
 
-    return texts.mapInArrow(ship, "block long, part int, k1 binary, n1 binary, k2 binary, n2 binary, k3 binary, n3 binary")
+    return texts.mapInArrow(tb.tidy(ship), "block long, part int, k1 binary, n1 binary, k2 binary, n2 binary, k3 binary, n3 binary")
 
 
 def answered(asked: DataFrame) -> DataFrame:
@@ -146,6 +146,7 @@ def answered(asked: DataFrame) -> DataFrame:
             n[by] = np.repeat(sums, np.diff(np.append(at, len(every))))
             cuts = np.cumsum([0, *map(len, keys)])
             out.append([tb.packed(n[a:b], "<u8") for a, b in zip(cuts, cuts[1:])] + [b""])
+        tb.release()
         part = rows.column("part")[0].as_py()
         size = rows.num_rows
         return pa.table({"block": pa.array(rows.column("block").to_pylist() + [-1], pa.int64()), "part": pa.array([part] * (size + 1), pa.int32()), "tokens": pa.array([0] * size + [total], pa.int64()), "distinct": pa.array([0] * size + [distinct], pa.int64()), **{f"c{k + 1}": pa.array(c, pa.binary()) for k, c in enumerate(out)}})
@@ -165,7 +166,7 @@ def payloads(texts: DataFrame, tokens: int) -> DataFrame:
                 names=["block", "ids", "learned", "size", "words", "seq"],
             )
 
-    return texts.mapInArrow(write, "block long, ids array<long>, learned binary, size binary, words binary, seq binary")
+    return texts.mapInArrow(tb.tidy(write), "block long, ids array<long>, learned binary, size binary, words binary, seq binary")
 
 
 class Automaton:
@@ -292,6 +293,7 @@ def read_block(payload: pa.Table, answers: pa.Table, bulk: float) -> pa.Table:
         pa.array(np.bincount(text[empty], weights=log[place[empty]], minlength=texts).astype(np.float64)),
         pa.ListArray.from_arrays(cuts, pa.array((key % (2 * LEVELS)).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))), pa.nulls(texts, pa.list_(pa.float64())),
     ]
+    tb.release()
     total = {"kind": 1, "grp": np.arange(2 * LEVELS).tolist(), "times": seen.tolist(), "kept": mass.tolist()}
     return pa.concat_tables([pa.Table.from_arrays(rows, schema=_READ_ARROW), pa.Table.from_pylist([total], schema=_READ_ARROW)])
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textbatch as tb
 from .common import table
 
 WIDTH = 64
@@ -156,7 +157,7 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("raw"))
-    return ids.mapInArrow(rows, COLUMNS)
+    return ids.mapInArrow(tb.tidy(rows), COLUMNS)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def edges(docs: DataFrame, text: str = "text") -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["context", "value", "kind", "seed", "n"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(rows, "context long, value long, kind string, seed boolean, n long")
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(rows), "context long, value long, kind string, seed boolean, n long")
     return found.groupBy("context", "value", "kind", "seed").agg(F.sum("n").alias("n"))
 
 
@@ -209,7 +209,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, scratch: Scratch, text: st
             context, n = np.unique(np.concatenate(hits), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(n)], names=["context", "total"])
 
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "context long, total long")
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(count), "context long, total long")
     return counts.groupBy("context").agg(F.sum("total").alias("total")).join(patterns.select("context").distinct(), "context", "left_semi")
 
 
@@ -294,7 +294,7 @@ def judged(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFram
                 names = batch.schema.names if first else batch.schema.names[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _FOUND_ARROW)], names=[*names, "__found"])
 
-        out = out.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__found", kind)]))
+        out = out.mapInArrow(tb.tidy(rows), StructType([*docs.schema.fields, StructField("__found", kind)]))
     return out
 
 

@@ -84,7 +84,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), *(pa.array(rows[:, d]) for d in range(DIMS))], names=["bucket", "n", *(f"d{d}" for d in range(DIMS))])
 
     schema = ", ".join(["bucket int", "n long", *(f"d{d} long" for d in range(DIMS))])
-    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(add, schema)
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(add), schema)
     return sums.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)))
 
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     sample = labelled_sample(labels, label, doc_id)  # 2 x SAMPLE_PER_CLASS ids at most are broadcast
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(features, "doc_id long, y int, of long, x array<float>").toPandas().sort_values("doc_id")
+    found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(tb.tidy(features), "doc_id long, y int, of long, x array<float>").toPandas().sort_values("doc_id")
     y = found["y"].to_numpy(np.float64)
     network = Network(float(y.mean()) if len(y) else 0.5)
     if len(set(y)) == 2:
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", score: str = "sco
                 out[first:end] = m.network.scores(pooled(m.vectors, data, bounds))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(tb.tidy(rows), schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ so the work arrays of a task stay small whatever the batch size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +148,27 @@ def unpacked(blob: bytes, kind: str = "<u4") -> np.ndarray:
     n, width = int(np.frombuffer(blob, "<u8", 1)[0]), np.dtype(kind).itemsize
     planes = pa.decompress(blob[8:], n * width, "zstd", asbytes=True) if n else b""
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n)
+
+
+_GIVEN = [0.0]
+
+
+def release() -> None:
+    """Give the memory that a worker holds but doesn't use back to the machine, at most once a second: workers live through many tasks and stages."""
+    if time.monotonic() - _GIVEN[0] > 1:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _GIVEN[0] = time.monotonic()
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, and the worker's memory given back after the last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        release()
+
+    return run

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         # at most 2 x per_class ids are broadcast, and as many rows have a place
-        held = scratch.settle(once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(emit, "doc_id long, y int, of long, feature array<int>, n array<int>"))
+        held = scratch.settle(once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(tb.tidy(emit), "doc_id long, y int, of long, feature array<int>, n array<int>"))
         by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
         sizes = held.select("doc_id", "y", F.size("feature").cast("long").alias("size"))
         fits = sizes.withColumns({"upto": F.sum("size").over(by_hash), "nth": F.row_number().over(by_hash)}).where((F.col("upto") <= features_in_all // 2) | (F.col("nth") == 1)).select("doc_id")
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(levels[:, 0]), pa.array(levels[:, 0] >= 0.5)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return ids.mapInArrow(score, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return ids.mapInArrow(tb.tidy(score), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
