@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomspan.plans import audits, captions, evaluation, exposure, hierarchy, intervals, merging, metrics, sequences, splits, stateful
+from loomspan.plans import audits, captions, contracts, evaluation, exposure, hierarchy, intervals, merging, metrics, sequences, splits, stateful
 
-_MODULES = (splits, intervals, sequences, merging, metrics, stateful, captions, hierarchy, evaluation, audits, exposure)
+_MODULES = (splits, intervals, sequences, merging, metrics, stateful, captions, hierarchy, contracts, evaluation, audits, exposure)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

@@ -92,6 +92,22 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+# Words that tell nothing of a task, and forms that no ending gives.
+STOP_WORDS = ("a", "an", "and", "at", "by", "do", "for", "from", "in", "into", "of", "on", "the", "to", "with", "vr", "master", "slave", "mode")
+FORMS = {"boxes": "box", "folding": "fold", "lemonade": "lemon", "making": "make", "packaging": "package", "scallions": "scallion"}
+
+
+def caption_forms(text: Column) -> Column:
+    """Distinct words of a caption but stop words, each with the forms that its ending allows."""
+    words = F.filter(word_tokens(normalised(F.replace(F.replace(text, F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" ")))), lambda w: ~w.isin(*STOP_WORDS))
+    known = F.create_map(*(F.lit(x) for pair in FORMS.items() for x in pair))
+    cut = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    n = F.length
+    ending = lambda w: F.when((n(w) > 4) & F.endswith(w, F.lit("ies")), F.concat(cut(w, 3), F.lit("y"))).when((n(w) > 4) & F.endswith(w, F.lit("es")), cut(w, 2)).when((n(w) > 3) & F.endswith(w, F.lit("s")), cut(w, 1))
+    doing = lambda w: F.when((n(w) > 5) & F.endswith(w, F.lit("ing")), cut(w, 3))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, lambda w: F.array(w, F.try_element_at(known, w), ending(w), doing(w))))))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.progress import interval_progress
+from loomspan.functions.text import is_latin_caption
 from loomspan.operators import intervals
 
 #: The profiles in order of precedence, with the levels that each needs.
@@ -55,6 +56,44 @@ def profiles(units: DataFrame, least: dict[int, int]) -> DataFrame:
     return out.select("episode", "n2", "n1", "n0", F.coalesce(*tests).alias("profile"))
 
 
+def verdicts(units: DataFrame, limit: Column, least: int) -> DataFrame:
+    """(episode, level, unit, reason): the first unit by time of each level that breaks a rule. units also has caption and source."""
+    own = Window.partitionBy("episode", "level")
+    one = units.withColumns({"__before": F.lag("end").over(own.orderBy("start", "end")), "__same": F.count(F.lit(1)).over(Window.partitionBy("episode", "level", "id"))})
+    reason = (
+        F.when(F.col("__same") > 1, "duplicate_unit_id")
+        .when(~is_latin_caption(F.col("caption")), "invalid_caption")
+        .when((F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > limit), "interval_out_of_bounds")
+        .when(F.col("end") - F.col("start") < least, "interval_too_short")
+        .when(F.col("start") < F.col("__before"), "same_level_overlap")
+        .when((F.col("level") == 0) & ~F.col("source").isin("human_segment", "segment"), "invalid_l0_source")
+    )
+    bad = one.withColumn("reason", reason).where("reason is not null")
+    return bad.groupBy("episode", "level").agg(F.min_by(F.struct(F.col("id").alias("unit"), "reason"), F.struct("start", "end", "id")).alias("x")).select("episode", "level", "x.*")
+
+
+def grid_anchors(units: DataFrame, ranges: DataFrame, level: int, stride: int) -> DataFrame:
+    """(episode, frame, forced): the frames of one grid from an episode's first unit on that lie in a labelled range; where the last unit gets none, its first labelled frame is forced."""
+    spans = units.where(F.col("level") == level).groupBy("episode").agg(F.min("start").alias("first"), F.max("end").alias("end"), F.max_by("id", F.struct("start", "end")).alias("unit"))
+    grid = spans.select("episode", F.explode(F.when(F.col("end") > F.col("first"), F.sequence("first", F.col("end") - 1, F.lit(stride).cast("long")))).alias("frame"))
+    at = grid.select("episode", "frame", F.col("frame").alias("l_start"), (F.col("frame") + 1).alias("l_end"))
+    held = intervals.overlaps(at, ranges.select("episode", "unit", F.col("lo").alias("r_start"), F.col("hi").alias("r_end")), ["episode"], BIN).select("episode", "frame", "unit").distinct()
+    last = spans.select("episode", "unit")
+    missing = ranges.join(last, ["episode", "unit"]).groupBy("episode", "unit").agg(F.min("lo").alias("frame")).join(held.select("episode", "unit").distinct(), ["episode", "unit"], "left_anti")
+    every = held.select("episode", "frame", F.lit(False).alias("forced")).unionByName(missing.select("episode", "frame", F.lit(True).alias("forced")))
+    return every.groupBy("episode", "frame").agg(F.max("forced").alias("forced"))
+
+
+def plan_lines(units: DataFrame, level: int, lower: int) -> DataFrame:
+    """(episode, plan, n_units): each unit with its lower units in brackets, in order of time."""
+    parts = lambda x, name: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y[name]), ",")
+    inner = links(units, level, lower).where("n_parents >= 1").groupBy("episode", F.col("l_id").alias("id")).agg(parts(F.struct("r_start", "r_end", F.col("r_id").alias("id"), F.col("r_id").cast("string").alias("name")), "name").alias("inner"))
+    own = units.where(F.col("level") == level).join(inner, ["episode", "id"], "left")
+    line = F.concat(F.col("id").cast("string"), F.lit("["), F.coalesce("inner", F.lit("")), F.lit("]"))
+    lines = F.array_sort(F.collect_list(F.struct("start", "end", "id", line.alias("name"))))
+    return own.groupBy("episode").agg(F.array_join(F.transform(lines, lambda y: y["name"]), " ").alias("plan"), F.count(F.lit(1)).alias("n_units"))
+
+
 def holding(points: DataFrame, units: DataFrame, level: int, frame: str) -> DataFrame:
     """points with ``unit``: the first unit of the level that holds the frame, or null. points has episode and point."""
     at = points.select("episode", "point", F.col(frame).alias("l_start"), (F.col(frame) + 1).alias("l_end"))
