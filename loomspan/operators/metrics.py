@@ -88,8 +88,8 @@ def decision_rates(df: DataFrame, group: list[str], predicted: Column, actual: C
 
 def first_offsets(df: DataFrame, episode: list[str], frame: str, said: Column, true: Column) -> DataFrame:
     """(episode, offset): the first frame where a decision is said, less the last where it is true; null where it is never said. Episodes where it is never true are left out."""
-    own = df.groupBy(*episode).agg(F.min(F.when(said, F.col(frame))).alias("said"), F.max(F.when(true, F.col(frame))).alias("true"))
-    return own.where("true is not null").select(*episode, (F.col("said") - F.col("true")).alias("offset"))
+    own = df.groupBy(*episode).agg(F.min(F.when(said, F.col(frame))).alias("first_said"), F.max(F.when(true, F.col(frame))).alias("last_true"))
+    return own.where("last_true is not null").select(*episode, (F.col("first_said") - F.col("last_true")).alias("offset"))
 
 
 def terminal_rates(df: DataFrame, group: list[str], predicted: Column, actual: Column) -> DataFrame:
