@@ -104,6 +104,7 @@ def inverse_frequency(docs: DataFrame, text: str = "text", marked: np.ndarray |
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    shared.unpersist()
     total = np.zeros(1 + (1 << DF_BITS))
     total[sums["bucket"].to_numpy(np.int64)] = sums["n"]
     return np.log1p(max(1, total[-1]) / np.maximum(1, total[:-1])).astype(np.float32)
@@ -181,6 +182,8 @@ def randomised_svd(units: DataFrame, idf: np.ndarray, rank: int, oversample: int
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[0]).astype(np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
     parts = units.select("words").mapInArrow(tb.tidy(gram), "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    for one in (shared, basis):
+        one.unpersist()
     small = np.zeros((q.shape[1], q.shape[1]))
     small[parts["i"], parts["j"]] = parts["x"]
     values, vectors = np.linalg.eigh(small)

@@ -208,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = labelled_sample(labels, label, doc_id)  # 2 x SAMPLE_PER_CLASS ids at most are broadcast
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = once(texts.join(F.broadcast(sample), "doc_id")).mapInArrow(tb.tidy(features), "doc_id long, y int, of long, x array<float>").toPandas().sort_values("doc_id")
+    shared.unpersist()
     y = found["y"].to_numpy(np.float64)
     network = Network(float(y.mean()) if len(y) else 0.5)
     if len(set(y)) == 2:
