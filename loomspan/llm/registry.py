@@ -13,6 +13,7 @@ from .langid import op5_language_id
 from .lm import op8_lm
 from .media import op9_media
 from .packing import op7_packing
+from .pieces import op12_sentencepiece
 from .pii import op3_pii
 from .quality import op6_quality
 from .toxicity import op1_toxicity
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_media": op9_media,
     "op10_jaccard": op10_jaccard,
+    "op12_sentencepiece": op12_sentencepiece,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
