@@ -12,10 +12,14 @@ from .jaccard import op10_jaccard
 from .langid import op5_language_id
 from .lm import op8_lm
 from .media import op9_media
+from .merkle import ORACLE as MERKLE_SQL
+from .merkle import op11_merkle
 from .packing import op7_packing
 from .pieces import op12_sentencepiece
 from .pii import op3_pii
 from .quality import op6_quality
+from .search import ORACLE as SEARCH_SQL
+from .search import op13_search
 from .toxicity import op1_toxicity
 
 
@@ -37,7 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_media": op9_media,
     "op10_jaccard": op10_jaccard,
+    "op11_merkle": op11_merkle,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_search": op13_search,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle": MERKLE_SQL, "op13_search": SEARCH_SQL}
