@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomspan.plans import alignment, audits, captions, contracts, evaluation, exposure, hierarchy, intervals, jsontext, merging, metrics, sequences, splits, stateful
+from loomspan.plans import alignment, annotations, audits, captions, contracts, evaluation, exposure, hierarchy, intervals, jsontext, merging, metrics, prompts, sequences, snapshots, splits, stateful, targets
 
-_MODULES = (splits, intervals, sequences, merging, metrics, stateful, captions, hierarchy, contracts, evaluation, audits, exposure, alignment, jsontext)
+_MODULES = (splits, intervals, sequences, merging, metrics, stateful, captions, hierarchy, contracts, evaluation, audits, exposure, alignment, jsontext, annotations, prompts, snapshots, targets)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
