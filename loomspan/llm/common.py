@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["Scratch", "drop_tables", "fold_of", "settle", "shared_folder", "table"]
+__all__ = ["Scratch", "drop_tables", "fold_of", "fresh", "settle", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % folds
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores behind it as it takes to be no column's, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Only a local session may do without one."""
     sc = spark.sparkContext

@@ -57,6 +57,8 @@ NAMED_APART = frozenset(
     "popup modal newsletter subscribe subscription signup login comment comments commentlist disqus replies responses copyright pagination pager".split()
 )
 NAMED_BESIDE = frozenset("header masthead foot side aside widget related recommended share sharing social alert overlay reply discussion tags toc skip".split())
+# Words that make a name of several parts tell of a state.
+NAMED_STATES = frozenset("has no is not with without show hide open closed on off free".split())
 NEVER_NAMED = frozenset("html body main article".split())
 ARTICLE, OUTSIDE, BESIDE, APART_BY_NAME = 4.0, 0.1, 0.1, 0.02
 
@@ -77,7 +79,7 @@ class Block:
     path: int
     apart: bool
     article: bool
-    named: tuple[int, ...] = ()
+    named: int = -1
     item: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -91,7 +93,7 @@ class _Open:
     path: int
     apart: bool
     article: bool
-    named: tuple[int, ...]
+    named: int
     block: int
 
 
@@ -104,23 +106,28 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _weight(attributes: dict[str, str]) -> float:
-    words = re.sub("[-_]", "", " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower()).split()
-    return 1.0 if not words else APART_BY_NAME if not NAMED_APART.isdisjoint(words) else BESIDE if not NAMED_BESIDE.isdisjoint(words) else 1.0
+    """What the names of a container say: whole names, and for what stands apart the parts between hyphens, unless one tells of a state."""
+    names = " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower().split()
+    words = [re.sub("[-_]", "", x) for x in names]
+    parts = [p for p in (re.split("[-_]+", x) for x in names) if len(p) > 1 and NAMED_STATES.isdisjoint(p)]
+    if not (NAMED_APART.isdisjoint(words) and all(NAMED_APART.isdisjoint(p) for p in parts)):
+        return APART_BY_NAME
+    return 1.0 if NAMED_BESIDE.isdisjoint(words) else BESIDE
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
 
 
-def blocks(page: str) -> tuple[list[Block], list[float]]:
-    """The page's text blocks in order, and the weight of each container with a name that tells something (Block.named has their places)."""
+def blocks(page: str) -> tuple[list[Block], list[tuple[float, int]]]:
+    """The page's text blocks in order, and (weight, place of the one around it, -1 for none) of each container with a name that tells something; Block.named is the place of the innermost."""
     out: list[Block] = []
-    weights: list[float] = []
+    weights: list[tuple[float, int]] = []
     stack: list[_Open] = []
     open_tags: Counter[str] = Counter()
     paths: dict[tuple[int, str], int] = {}
     now: Block | None = None
-    root = _Open("", 0, False, False, (), -1)
+    root = _Open("", 0, False, False, -1, -1)
 
     def add(text: str, cooked: bool = True) -> None:
         nonlocal now
@@ -193,9 +200,9 @@ def blocks(page: str) -> tuple[list[Block], list[float]]:
         top = stack[-1] if stack else root
         attributes = _attributes(m[2]) if m[2] else {}
         apart, named = top.apart or tag in APART or _hidden(attributes), top.named
-        if tag not in NEVER_NAMED and (weight := _weight(attributes)) != 1 and len(named) < 16:
-            weights.append(weight)
-            named = (*named, len(weights) - 1)
+        if tag not in NEVER_NAMED and (weight := _weight(attributes)) != 1:
+            weights.append((weight, named))
+            named = len(weights) - 1
         path = top.path if inline else paths.setdefault((top.path, tag), len(paths) + 1)
         stack.append(_Open(tag, path, apart, top.article or tag in ("article", "main"), named, top.block if inline else len(stack)))
         open_tags[tag] += 1
@@ -213,16 +220,24 @@ def extract(page: str | None, share: float = 0.25, reach: int = 1) -> str:
         return ""
     size = [len(s) for _, s in nodes]
     article = any(b.article for b, _ in nodes)
-    held: Counter[int] = Counter()
-    total = 0
+    held, total = [0] * len(weights), 0
     for (b, _), n in zip(nodes, size, strict=True):
         if b.article or not article:
-            held.update(dict.fromkeys(b.named, n))
             total += n
+            if b.named >= 0:
+                held[b.named] += n
+    # what a container holds is known when all inside it are summed; its weight is the least around it
+    for k in reversed(range(len(weights))):
+        if weights[k][1] >= 0:
+            held[weights[k][1]] += held[k]
+    least: list[float] = []
+    for k, (own, around) in enumerate(weights):
+        counts = held[k] <= total * (0.5 if own == BESIDE else 0.9)
+        least.append(min(own if counts else 1.0, least[around] if around >= 0 else 1.0))
     sums: dict[tuple[int, float, bool], list[float]] = {}
     keys = []
     for (b, s), n in zip(nodes, size, strict=True):
-        weight = min([weights[k] for k in b.named if held[k] <= total * (0.5 if weights[k] == BESIDE else 0.9)], default=1.0)
+        weight = least[b.named] if b.named >= 0 else 1.0
         weight *= ARTICLE if b.article else OUTSIDE if article else 1.0
         keys.append((b.path, weight, b.item and 2 * b.linked > n))
         one = sums.setdefault(keys[-1], [0, 0, 0, 0, 0.0])

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import Scratch, settle, table
+from .common import Scratch, fresh, settle, table
 
 WORD_BITS = 20
 #: Sizes that may count as light; their sets are kept whole for enumeration.
@@ -430,13 +430,14 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
 
     Of texts without shingles, equal ones of an id count as one. Rows without id all stay.
     """
-    held = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = join(held, k, num, den, "__row", text).select(F.col("doc_id").alias("__row"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__component"))
-    alone = held.select("__row", F.col(doc_id).cast("long").alias("__id"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("__print")).where(F.col("__id").isNotNull())
+    row = fresh("__row", docs.columns)
+    held = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = join(held, k, num, den, row, text).select(F.col("doc_id").alias("__row"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__component"))
+    alone = held.select(F.col(row).alias("__row"), F.col(doc_id).cast("long").alias("__id"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("__print")).where(F.col("__id").isNotNull())
     own = F.col("__n") == 0
     group = [F.when(~own, F.col("__component")).alias("__c"), F.when(own, F.col("__id")).alias("__i"), F.when(own, F.col("__print")).alias("__p")]
     kept = groups.join(alone, "__row").groupBy(*group).agg(F.min_by("__row", F.struct("__id", "__row")).alias("__row")).select("__row")
-    return held.where(F.col(doc_id).isNotNull()).join(kept, "__row", "left_semi").unionByName(held.where(F.col(doc_id).isNull())).select(*docs.columns)
+    return held.where(F.col(doc_id).isNotNull()).join(kept.withColumnRenamed("__row", row), row, "left_semi").unionByName(held.where(F.col(doc_id).isNull())).select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

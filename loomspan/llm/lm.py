@@ -1,13 +1,16 @@
 """Language-model scoring: a weighted backoff automaton of smoothed word n-grams.
 
 Words, pairs and three words in a row of all training texts are counted exactly (by 56
-bits of hash); an n-gram is kept from LEAST occurrences on, whatever the corpus's size.
+bits of hash), every one of them. A word's probability after a context is smoothed by
+the one after the context without its first word, as by that many further occurrences:
+(n(context word) + K p(word after the shorter context)) / (n(context) + K), from the base
+on. So the words of any context, and the unknown one, add up to one.
+
 The automaton's states are the empty context and the one- and two-word contexts that
-occur LEAST times or more. The arcs of kept n-grams carry log((n - d) / n of the
-context); a failure arc leads to the context without its first word and carries the log
-of the mass that discounting and rare words leave there. That mass is the mean over all
-contexts of about the same count (a power of two), so a context's words sum to one on
-the average of its group. The empty state has the base weight of each word.
+occur. The arcs of the n-grams that occur carry the log of that probability; a failure
+arc leads to the context without its first word and carries log(K / (n(context) + K)),
+which is what the smoothing leaves of it for words that don't occur there. The empty
+state has the base weight of each word.
 
 A text is read once from left to right: the state is carried, failure arcs are followed
 until a word has an arc, the weights add up. Long texts are read in segments that start
@@ -15,8 +18,8 @@ two words early: the state depends on the last two words only.
 
 Nothing of the corpus's size is broadcast or driven. Texts form blocks of about BLOCK
 tokens. Each block ships its distinct n-grams, sorted by hash and packed, to ranges of
-hashes; a range adds up the counts of all blocks and sends each block the counts of the
-n-grams that it asked for. From these the block builds its own part of the automaton:
+hashes, none where a range has none of its; a range adds up the counts of all blocks and
+sends each block the counts of the n-grams that it asked for. From these the block builds its own part of the automaton:
 the states and arcs that its texts can visit. Keys are spread evenly by hash and come
 once a block, so no word or n-gram is hot. docs is read twice and has to give the same
 rows in the same partitions both times, as files do; otherwise an error says so.
@@ -39,16 +42,13 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .common import Scratch, fold_of, settle, table
 
-#: An n-gram of two or three words is kept from this count on.
-LEAST = 2
-DISCOUNT = 0.75
+#: K of one-word and of two-word contexts.
+SMOOTHING = (150.0, 5.0)
 #: Tokens of a block, and bytes of text for each range of hashes: what a task holds at once.
 BLOCK, RANGE_BYTES = 1 << 20, 8 << 20
 SEGMENT = 256
 END = tb.U64(0x9D39247E33776D41)
 KEY_BITS = 56
-#: Groups of contexts: order 1 or 2 by powers of two of the count.
-LEVELS = 32
 _SMALL = tb.U64(64 - KEY_BITS)
 
 
@@ -113,22 +113,24 @@ def asked(texts: DataFrame, parts: int, tokens: int) -> DataFrame:
         edges = _edges(parts)
         for block, seq, start, _, learned in _in_blocks(batches, tokens):
             own = np.repeat(learned, np.diff(start)).astype(tb.U64)
-            columns = []
+            columns, sizes = [], []
             for place, key in grams(seq, start):
                 both = np.sort(key << tb.U64(1) | own[place])
                 at = np.flatnonzero(np.concatenate([[True], both[1:] >> tb.U64(1) != both[:-1] >> tb.U64(1)])) if len(both) else np.zeros(0, np.int64)
                 key = both[at] >> tb.U64(1)
                 n = np.add.reduceat((both & tb.U64(1)).astype(np.int64), at) if len(at) else at
                 cuts = [*np.searchsorted(key, edges), len(key)]
+                sizes.append(np.diff(cuts))
                 columns.append([tb.packed(np.diff(key[a:b], prepend=tb.U64(0)), "<u8") for a, b in zip(cuts, cuts[1:])])
                 columns.append([tb.packed(n[a:b]) for a, b in zip(cuts, cuts[1:])])
-            yield pa.RecordBatch.from_arrays([pa.array([block] * parts), pa.array(np.arange(parts, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "part", "k1", "n1", "k2", "n2", "k3", "n3"])
+            some = [k for k in range(parts) if any(filled[k] for filled in sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), *(pa.array([c[k] for k in some], pa.binary()) for c in columns)], names=["block", "part", "k1", "n1", "k2", "n2", "k3", "n3"])
 
     return texts.mapInArrow(tb.tidy(ship), "block long, part int, k1 binary, n1 binary, k2 binary, n2 binary, k3 binary, n3 binary")
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """(block, part, c1, c2, c3): for each key that a block asked for, its count over all blocks, 0 for n-grams below LEAST; and a row of block -1 with the range's training ``tokens`` and ``distinct`` words."""
+    """(block, part, c1, c2, c3): for each key that a block asked for, its count over all blocks; and a row of block -1 with the range's training ``tokens`` and ``distinct`` words."""
 
     def count(rows: pa.Table) -> pa.Table:
         out, distinct, total = [], 0, 0
@@ -142,7 +144,6 @@ def answered(asked: DataFrame) -> DataFrame:
             sums = np.add.reduceat(n[by], at) if len(at) else at
             if order == 1:
                 distinct, total = int((sums > 0).sum()), int(sums.sum())
-            sums = np.where(sums >= (LEAST if order > 1 else 1), sums, 0)
             n[by] = np.repeat(sums, np.diff(np.append(at, len(every))))
             cuts = np.cumsum([0, *map(len, keys)])
             out.append([tb.packed(n[a:b], "<u8") for a, b in zip(cuts, cuts[1:])] + [b""])
@@ -172,27 +173,25 @@ def payloads(texts: DataFrame, tokens: int) -> DataFrame:
 class Automaton:
     """A block's states and arcs. State 0 is the empty context, 1 + w the word w, and 1 + words + p the pair p."""
 
-    def __init__(self, n1: np.ndarray, a: np.ndarray, b: np.ndarray, n2: np.ndarray, first: np.ndarray, last: np.ndarray, c: np.ndarray, n3: np.ndarray):
-        """n1: of each word; pairs (words a, b; count); three words (first pair, last pair, last word c; count)."""
-        single = np.where(n1 >= LEAST, 1 + np.arange(len(n1)), 0)
+    def __init__(self, n1: np.ndarray, a: np.ndarray, b: np.ndarray, n2: np.ndarray, first: np.ndarray, last: np.ndarray, c: np.ndarray, n3: np.ndarray, bulk: float, smoothing: tuple[float, float] = SMOOTHING):
+        """n1: of each word; pairs (words a, b; count); three words (first pair, last pair, last word c; count); bulk: what the base divides by."""
+        k1, k2 = smoothing
+        single = np.where(n1 > 0, 1 + np.arange(len(n1)), 0)
         double = np.where(n2 > 0, 1 + len(n1) + np.arange(len(n2)), single[b])
-        self.count = np.concatenate([[0], n1, n2])
         self.fail = np.concatenate([np.zeros(1 + len(n1), np.int64), single[b]])
-        # failure arcs of contexts of about the same count, and of the same order, have one weight
-        level = np.minimum(np.log2(np.maximum(1, self.count)).astype(np.int64), LEVELS - 1)
-        self.group = level + LEVELS * (np.arange(len(level)) > len(n1))
+        self.lost = np.log10(np.concatenate([[1.0], k1 / (n1 + k1), k2 / (n2 + k2)]))
         self.single = single
+        p2 = (n2 + k1 * (n1[b] + 0.1) / bulk) / (n1[a] + k1)
+        p3 = (n3 + k2 * p2[last]) / (n2[first] + k2)
         two, three = np.flatnonzero(n2), np.flatnonzero(n3)
         key = np.concatenate([single[a[two]] << 32 | b[two], double[first[three]] << 32 | c[three], [np.iinfo(np.int64).max]])
         by = np.argsort(key)
         self.key = key[by]
-        n, whole = np.concatenate([n2[two], n3[three]]).astype(np.float64), np.concatenate([n1[a[two]], n2[first[three]]])
-        self.log = np.append(np.log10((n - DISCOUNT) / np.maximum(1, whole)), 0.0)[by]
-        self.kept = np.append(1 - DISCOUNT / np.maximum(1, n), 0.0)[by]
+        self.log = np.log10(np.concatenate([p2[two], p3[three], [1.0]]))[by]
         self.next = np.concatenate([double[two], double[last[three]], [0]])[by]
 
-    def read(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Sum of arc weights of each text; places that fall to the empty state; (text, group) of each failure arc taken; (text, group, kept mass) of each arc found."""
+    def read(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights of arcs and failure arcs of each text, and the places that fall to the empty state."""
         size = np.diff(start) - 1  # the first end is context only
         pieces = np.maximum(1, -(-size // SEGMENT))
         text = np.repeat(np.arange(len(size)), pieces)
@@ -206,53 +205,40 @@ class Automaton:
         before = words[np.maximum(begin - 1, 0)]
         state, _ = self._step(np.where(early, self.single[before], 0), words[begin])
         live = len(text)
-        empty, failed, found = [], [], []
+        empty = [np.zeros(0, np.int64)]
         for t in range(1, int(length.max(initial=0)) + 1):
             while live and length[live - 1] < t:
                 live -= 1
             place = begin[:live] + t
-            state[:live], (weight, at, lost, group, hit, own, kept) = self._step(state[:live], words[place])
+            state[:live], (weight, at) = self._step(state[:live], words[place])
             total[:live] += weight
             empty.append(place[at])
-            failed.append((text[lost], group))
-            found.append((text[hit], own, kept))
-        join = lambda parts, kind=np.int64: np.concatenate([np.zeros(0, kind), *parts])
-        return (
-            np.bincount(text, weights=total, minlength=len(size)), join(empty),
-            join([x for x, _ in failed]), join([g for _, g in failed]), join([x for x, _, _ in found]), join([g for _, g, _ in found]), join([k for *_, k in found], np.float64),
-        )
-
-    def _step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """The states after one word each, and what was met on the way."""
+        return np.bincount(text, weights=total, minlength=len(size)), np.concatenate(empty)
+
+    def _step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The states after one word each; the weights met on the way, and which fell to the empty state."""
         now, after, weight = state.copy(), self.single[word], np.zeros(len(word))
         open_ = np.flatnonzero(now)
-        lost, group, hits, own, kept = [], [], [], [], []
         while len(open_):
             key = now[open_] << 32 | word[open_]
             k = np.searchsorted(self.key, key)
             hit = self.key[k] == key
             done, k = open_[hit], k[hit]
-            weight[done] = weight[done] + self.log[k]
+            weight[done] += self.log[k]
             after[done] = self.next[k]
-            hits.append(done)
-            own.append(self.group[now[done]])
-            kept.append(self.kept[k])
             now[done] = -1
             open_ = open_[~hit]
-            lost.append(open_)
-            group.append(self.group[now[open_]])
+            weight[open_] += self.lost[now[open_]]
             now[open_] = self.fail[now[open_]]
             open_ = open_[now[open_] > 0]
-        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-        return after, (weight, np.flatnonzero(now == 0), join(lost), join(group), join(hits), join(own), np.concatenate([np.zeros(0), *kept]))
+        return after, (weight, np.flatnonzero(now == 0))
 
 
-_READ = "kind int, doc_id long, learned boolean, n_tokens long, n_known long, base double, arcs double, empty double, grp array<int>, times array<long>, kept array<double>"
-_READ_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("learned", pa.bool_()), *((x, pa.int64()) for x in ("n_tokens", "n_known")), *((x, pa.float64()) for x in ("base", "arcs", "empty")), ("grp", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())), ("kept", pa.list_(pa.float64()))])
+_READ = "doc_id long, learned boolean, n_tokens long, n_known long, base double, score double"
 
 
-def read_block(payload: pa.Table, answers: pa.Table, bulk: float) -> pa.Table:
-    """bulk: what the base divides by. A row of kind 0 for each text (``grp``, ``times``: the failure arcs taken), and one of kind 1: visits of the training texts by group, and the mass of the arcs found."""
+def read_block(payload: pa.Table, answers: pa.Table, bulk: float, smoothing: tuple[float, float]) -> pa.Table:
+    """A row for each text of a block. bulk: what the base divides by."""
     (row,) = payload.to_pylist()
     words, place = np.cumsum(tb.unpacked(row["words"], "<u8"), dtype=tb.U64), tb.unpacked(row["seq"]).astype(np.int64)
     size, learned = tb.unpacked(row["size"]).astype(np.int64), tb.unpacked(row["learned"], "u1").astype(bool)
@@ -274,31 +260,22 @@ def read_block(payload: pa.Table, answers: pa.Table, bulk: float) -> pa.Table:
     n1 = np.zeros(len(words), np.int64)
     n1[place[where[0]]] = n[0]
     two, three = where[1], where[2]
-    m = Automaton(n1, place[two - 1], place[two], n[1], which[1][three - 1], which[1][three], place[three], n[2])
-    arcs, empty, lost, group, hit, own, kept = m.read(place, start)
+    m = Automaton(n1, place[two - 1], place[two], n[1], which[1][three - 1], which[1][three], place[three], n[2], bulk, smoothing)
+    weights, empty = m.read(place, start)
     texts = len(size)
     text = np.repeat(np.arange(texts), size)
     counted = np.ones(len(seq), bool)
     counted[start[:-1]] = False
     log = np.log10((n1 + 0.1) / bulk)
-    base = np.bincount(text[counted], weights=log[place[counted]], minlength=texts)
-    key, times = np.unique(lost * (2 * LEVELS) + group, return_counts=True)
-    cuts = np.searchsorted(key, np.arange(texts + 1) * (2 * LEVELS)).astype(np.int32)
-    seen = np.bincount(np.concatenate([group[learned[lost]], own[learned[hit]]]), minlength=2 * LEVELS)
-    mass = np.bincount(own[learned[hit]], weights=kept[learned[hit]], minlength=2 * LEVELS)
-    zeros = np.zeros(texts, np.int32)
+    sums = lambda at: np.bincount(text[at], weights=log[place[at]], minlength=texts).astype(np.float64)
     ids = payload.column("ids").combine_chunks().flatten()
-    rows = [
-        pa.array(zeros), ids, pa.array(learned), pa.array(size - 1), pa.array(np.bincount(text[counted & (n1[place] > 0)], minlength=texts)), pa.array(base), pa.array(arcs),
-        pa.array(np.bincount(text[empty], weights=log[place[empty]], minlength=texts).astype(np.float64)),
-        pa.ListArray.from_arrays(cuts, pa.array((key % (2 * LEVELS)).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))), pa.nulls(texts, pa.list_(pa.float64())),
-    ]
+    known = np.bincount(text[counted & (n1[place] > 0)], minlength=texts)
+    out = pa.table({"doc_id": ids, "learned": pa.array(learned), "n_tokens": pa.array(size - 1), "n_known": pa.array(known), "base": pa.array(sums(np.flatnonzero(counted))), "score": pa.array(weights + sums(empty))})
     tb.release()
-    total = {"kind": 1, "grp": np.arange(2 * LEVELS).tolist(), "times": seen.tolist(), "kept": mass.tolist()}
-    return pa.concat_tables([pa.Table.from_arrays(rows, schema=_READ_ARROW), pa.Table.from_pylist([total], schema=_READ_ARROW)])
+    return out
 
 
-def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", smoothing: tuple[float, float] = SMOOTHING, block: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of every row; the model is that of the rows where ``train`` holds."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learned"))
     parts = max(1, -(-(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
@@ -307,16 +284,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         n, distinct = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct"))).first()
         bulk = n + 0.1 * (distinct + 1)
         told = answers.where("block >= 0").drop("tokens", "distinct")
-        read = settle(payloads(narrow, block).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda payload, answers: read_block(payload, answers, bulk), _READ))
-        groups = read.where("kind = 1").select(F.explode(F.arrays_zip("grp", "times", "kept")).alias("x")).groupBy("x.grp").agg(F.sum("x.times").alias("times"), F.sum("x.kept").alias("kept")).collect()  # 2 * LEVELS rows
-    left = np.ones(2 * LEVELS)
-    for g in groups:
-        if g["times"]:
-            left[g["grp"]] = min(1.0, max(1e-3, 1 - g["kept"] / g["times"]))
-    weights = F.array(*(F.lit(float(np.log10(x))) for x in left))
-    failed = F.aggregate(F.arrays_zip("grp", "times"), F.lit(0.0), lambda total, x: total + x["times"] * F.element_at(weights, x["grp"] + 1))
+        read = settle(payloads(narrow, block).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda payload, answers: read_block(payload, answers, bulk, smoothing), _READ))
     known = F.lit(n).cast("long").alias("train_tokens")
-    return read.where("kind = 0").select("doc_id", "learned", "n_tokens", "n_known", known, F.col("base").alias("base_score"), (F.col("arcs") + F.col("empty") + failed).alias("score"))
+    return read.select("doc_id", "learned", "n_tokens", "n_known", known, F.col("base").alias("base_score"), "score")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

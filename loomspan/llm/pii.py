@@ -1,9 +1,11 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction.
 
-The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. What
-they find are seed entities. The one and two whole words before an entity, and those
-after it, are lexical patterns; other strings of an identifier's shape are unproved
-instances. Spark scores the graph of patterns and instances in rounds:
+The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. What
+they find are seed entities, and so are words that meet a pattern on their own but stand
+in a longer run of digits that doesn't. The one and two whole words before an entity, and
+those after it, are lexical patterns; other strings of an identifier's shape are unproved
+instances. An instance is trusted by its value: what is a seed anywhere is one everywhere.
+Spark scores the graph of patterns and instances in rounds:
 
 - every instance trusted so far brings in its contexts as patterns, seeds and found ones
   alike; the places where a new pattern's words stand are counted over all texts;
@@ -12,9 +14,9 @@ instances. Spark scores the graph of patterns and instances in rounds:
   distinct instances;
 - an instance's trust is 1 - prod(1 - confidence) over its patterns.
 
-It ends when a round brings no new pattern, after ROUNDS at the latest. Instances beside
-patterns that end up confident become spans of that kind, where they overlap no fixed
-one: a last scan of the texts looks the contexts up in the confident patterns, broadcast
+It ends when a round brings no new pattern and changes none's confidence. Instances beside patterns that end up
+confident, and those with a seed's value, become spans of that kind, where they overlap
+no fixed one: a last scan of the texts looks the contexts up in the confident patterns, broadcast
 in blocks of at most about MOST_PATTERNS. No text is shuffled. Bitmaps of fixed size tell which
 words are worth counting.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -36,14 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 #: Patterns of a broadcast: 13 bytes each.
 MOST_PATTERNS = 1 << 19
 MIN_INSTANCES = 4.0
 MIN_CONFIDENCE = 0.5
+#: The rounds end when no pattern is new and none's confidence changes by this much.
+SETTLED = 0.01
 BITMAP_BITS = 22
 
 # The patterns of the four kinds. The address is matched around each @;
@@ -128,11 +132,12 @@ def unproved(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, in
 
 
 _SALTS = tuple(tb.U64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95, 0x9FB21C651E98DF25))
+#: What tells a value apart from a context of the same hash.
+_VALUE_SALT = 0x3C6EF372FE94F82B
 
 
 def contexts(text: str, start: int, stop: int) -> list[int]:
     """Hashes of the whole word before a span, of the two before it, of the one after it and of the two after it (within _REACH characters)."""
-    out: list[int] = []
     low, high = max(0, start - _REACH), min(len(text), stop + _REACH)
     while start > low and text[start - 1] not in _SPACES:  # a word that holds the span is no context
         start -= 1
@@ -142,12 +147,15 @@ def contexts(text: str, start: int, stop: int) -> list[int]:
     # words that the reach cuts off are none
     before = [m[0] for m in before if m.start() > low or low == 0]
     after = [m[0] for m in after if m.end() < high or high == len(text)]
-    for words, one, near in ((before, 0, -1), (after, 2, 0)):
-        if words:
-            raw = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8)
-            single, double = _context_hashes(*tb.words(_FOLD[raw], np.array([0, len(raw)])))
-            out += [int((single[[near]] ^ _SALTS[one]).view(np.int64)[0]), *((double ^ _SALTS[one + 1]).view(np.int64).tolist())]
-    return out
+    return [*(_side("\n".join(before), 0) if before else ()), *(_side("\n".join(after), 2) if after else ())]
+
+
+@lru_cache(1 << 14)
+def _side(words: str, one: int) -> tuple[int, ...]:
+    """Hashes of the one and the two words on a side; the nearest is the last one before a span, the first one after it."""
+    raw = np.frombuffer(words.encode("utf-8", "surrogatepass"), np.uint8)
+    single, double = _context_hashes(*tb.words(_FOLD[raw], np.array([0, len(raw)])))
+    return int((single[[0 if one else -1]] ^ _SALTS[one]).view(np.int64)[0]), *((double ^ _SALTS[one + 1]).view(np.int64).tolist())
 
 
 def _context_hashes(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +164,7 @@ def _context_hashes(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tb.mix(h), tb.mix(h[:-1][near] * tb.U64(0x2545F4914F6CDD1D) + h[1:][near])
 
 
+@lru_cache(1 << 14)
 def _value(text: str) -> int:
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
     return int(tb.Prefix(raw).of(np.array([0]), np.array([len(raw)])).view(np.int64)[0])
@@ -169,25 +178,33 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     return [(*x, True) for x in seeds] + [(*x, False) for x in unproved(text, seeds)]
 
 
+def _instances(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
+    """spans, with those unproved ones that meet a pattern by themselves as seeds of its kind; and whether it was so."""
+    for shape, a, b, seed in spans(text):
+        own = [] if seed else fixed_spans(text[a:b])
+        alone = len(own) == 1 and own[0][1:] == (0, b - a)
+        yield (own[0][0] if alone else shape), a, b, seed or alone, alone
+
+
 def edges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(context, value, kind, seed, n): how often each instance stands beside each context; kind is the shape where it is no seed."""
+    """(context, value, kind, seed, alone, n): how often each instance stands beside each context; kind is the shape where it is no seed. alone: a seed that no fixed pattern finds in its text. An instance without contexts has one of its value."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[tuple, int] = {}
             for one in batch.column(0):
                 body = one.as_py() or ""
-                for kind, start, stop, seed in spans(body):
+                for kind, start, stop, seed, alone in _instances(body):
                     value = _value(body[start:stop])
-                    for context in contexts(body, start, stop):
-                        key = context, value, kind, seed
+                    for context in contexts(body, start, stop) or [value ^ _VALUE_SALT]:
+                        key = context, value, kind, seed, alone
                         held[key] = held.get(key, 0) + 1
-            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["context", "value", "kind", "seed", "n"])
+            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["context", "value", "kind", "seed", "alone", "n"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(rows), "context long, value long, kind string, seed boolean, n long")
-    return found.groupBy("context", "value", "kind", "seed").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tb.tidy(rows), "context long, value long, kind string, seed boolean, alone boolean, n long")
+    return found.groupBy("context", "value", "kind", "seed", "alone").agg(F.sum("n").alias("n"))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
@@ -213,31 +230,39 @@ def occurrences(docs: DataFrame, patterns: DataFrame, scratch: Scratch, text: st
     return counts.groupBy("context").agg(F.sum("total").alias("total")).join(patterns.select("context").distinct(), "context", "left_semi")
 
 
-def confident_patterns(docs: DataFrame, scratch: Scratch, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(context, kind, confidence) of the patterns that the last round trusts."""
+def confident_patterns(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """(context, kind, confidence) of the patterns that the last round trusts, and of the seeds' values that also stand unproved."""
     found = scratch.settle(edges(docs, text))
     # an unproved number can be of any kind but an address, a spelt-out address only that
     fits = F.when(F.col("kind") == "email", F.array(F.lit("email"))).otherwise(F.array(*(F.lit(k) for k in KINDS[1:])))
-    seeds = found.where("seed").select("context", "value", "kind", "n").withColumn("trust", F.lit(1.0))
+    values = found.where("seed").groupBy("value", "kind").agg(F.bool_or("alone").alias("alone"))
     open_edges = found.where("not seed").select("context", "value", "n", F.explode(fits).alias("kind"))
-    trusted, totals, patterns = seeds, None, None
-    for turn in range(rounds):
+    known = values.join(open_edges.select("value", "kind").distinct().withColumn("open", F.lit(True)), ["value", "kind"], "left").where(F.col("alone") | F.col("open"))
+    known = scratch.settle(known.select("value", "kind"))
+    told = found.where("seed").select("context", "value", "kind", "n").unionByName(open_edges.join(known, ["value", "kind"]))
+    seeds = scratch.settle(told.groupBy("context", "value", "kind").agg(F.sum("n").alias("n")).withColumn("trust", F.lit(1.0)))
+    open_edges = scratch.settle(open_edges.join(known, ["value", "kind"], "left_anti"))
+    trusted, totals, before = seeds, None, None
+    while True:
         scored = trusted.groupBy("context", "kind").agg(F.sum("trust").alias("hits"), F.sum(F.col("trust") * F.col("n")).alias("places")).where(F.col("hits") >= MIN_INSTANCES - 1e-9)
         scored = scratch.settle(scored)
         new = scored.select("context").distinct() if totals is None else scored.select("context").distinct().join(totals, "context", "left_anti")
-        if totals is None or new.limit(1).count():
-            more = scratch.settle(occurrences(docs, new, scratch, text))
-            totals = more if totals is None else totals.unionByName(more)
-        elif turn:  # the same patterns as before, of hardly other confidence
-            turn = rounds - 1
+        more = totals is None or not new.isEmpty()
+        if more:
+            counted = scratch.settle(occurrences(docs, new, scratch, text))
+            totals = counted if totals is None else totals.unionByName(counted)
         confidence = (F.col("places") / F.greatest("total", "places")).alias("confidence")
         patterns = scratch.settle(scored.join(totals, "context").select("context", "kind", confidence).where(F.col("confidence") >= MIN_CONFIDENCE))
-        if turn == rounds - 1:
-            break
+        if not more and before is not None:
+            both = patterns.join(before.withColumnRenamed("confidence", "was"), ["context", "kind"], "full")
+            if (both.agg(F.max(F.abs(F.coalesce("confidence", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0) < SETTLED:
+                break
+        before = patterns
         miss = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
         trust = open_edges.join(patterns, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(miss)).alias("trust"))
         trusted = seeds.unionByName(open_edges.join(trust, ["value", "kind"]).select("context", "value", "kind", "n", "trust"))
-    return patterns
+    own = known.select(F.col("value").bitwiseXOR(F.lit(_VALUE_SALT)).alias("context"), "kind", F.lit(1.0).alias("confidence"))
+    return scratch.settle(patterns.unionByName(own))
 
 
 _FOUND = "array<struct<kind:string,start:int,stop:int,confidence:double,contexts:array<long>>>"
@@ -262,8 +287,18 @@ class Patterns:
         return (out[0], -out[1]) if out[0] else (0.0, -1)
 
 
-def judged(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """docs and ``__found``: fixed spans (confidence 2) and unproved ones with the kind and confidence of their best pattern (0: none)."""
+def _cut(text: str, found: list[dict]) -> str:
+    """The text with each span as its kind in angle brackets; of spans that overlap, the one that starts first."""
+    parts, at = [], 0
+    for x in sorted((x for x in found if x["confidence"] > 0), key=lambda x: (x["start"], x["stop"])):
+        if x["start"] >= at:
+            parts += [text[at : x["start"]], f"<{x['kind'].upper()}>"]
+        at = max(at, x["stop"])
+    return "".join([*parts, text[at:]])
+
+
+def judged(docs: DataFrame, patterns: DataFrame, text: str = "text", name: str = "__found", cut: bool = False) -> DataFrame:
+    """docs and a column name: fixed spans (confidence 2) and unproved ones with the kind and confidence of their best pattern (0: none). With cut, texts are replaced by what _cut leaves of them, and of the spans one at most is told."""
     from pyspark.sql.types import StructField, StructType
 
     blocks = max(1, -(-patterns.count() // MOST_PATTERNS))
@@ -275,13 +310,13 @@ def judged(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFram
         part = patterns.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == number).select("context", rank.alias("kind"), "confidence").toArrow()  # about MOST_PATTERNS rows
         shared = docs.sparkSession.sparkContext.broadcast(Patterns(*(part.column(c).to_numpy() for c in ("context", "kind", "confidence"))))
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0, last=number == blocks - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
+                found, texts = [], []
                 for i, one in enumerate(batch.column(at)):
+                    body = one.as_py()
                     if first:
-                        body = one.as_py() or ""
-                        own = [{"kind": k, "start": a, "stop": b, "confidence": 2.0 * seed, "contexts": None if seed else contexts(body, a, b)} for k, a, b, seed in spans(body)]
+                        own = [{"kind": k, "start": a, "stop": b, "confidence": 2.0 * seed, "contexts": None if seed else [*contexts(body, a, b), _value(body[a:b]) ^ _VALUE_SALT]} for k, a, b, seed in spans(body or "")]
                     else:
                         own = batch.column(batch.num_columns - 1)[i].as_py()
                     for x in own:
@@ -289,12 +324,17 @@ def judged(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFram
                             confidence, k = shared.value.best(x["contexts"], x["kind"] == "email")
                             if confidence > x["confidence"] or confidence and confidence == x["confidence"] and k < KINDS.index(x["kind"]):
                                 x["confidence"], x["kind"] = confidence, KINDS[k]
+                    if cut and last:
+                        texts.append(None if body is None else _cut(body, own))
+                        own = [x for x in own if x["confidence"] > 0][:1]
                     found.append(own)
-                kept = batch.columns if first else batch.columns[:-1]
+                kept = [*(batch.columns if first else batch.columns[:-1])]
+                if cut and last:
+                    kept[at] = pa.array(texts, pa.string())
                 names = batch.schema.names if first else batch.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _FOUND_ARROW)], names=[*names, "__found"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _FOUND_ARROW)], names=[*names, name])
 
-        out = out.mapInArrow(tb.tidy(rows), StructType([*docs.schema.fields, StructField("__found", kind)]))
+        out = out.mapInArrow(tb.tidy(rows), StructType([*docs.schema.fields, StructField(name, kind)]))
     return out
 
 
@@ -316,23 +356,12 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of ``text`` replaced by its kind in angle brackets, and ``n_chars`` set anew where there is one; null texts stay null. No text leaves its task."""
-    plain = docs.withColumn(text, F.col(text).cast("string"))
+    plain, name = docs.withColumn(text, F.col(text).cast("string")), fresh("__found", docs.columns)
     with Scratch(docs.sparkSession) as scratch:
-        found = judged(plain, confident_patterns(plain.select(F.col(text).alias("text")), scratch), text)
-    # spans of different kinds may overlap: in order of start, each begins where the one before has ended
-    kept = F.filter("__found", lambda s: s["confidence"] > 0)
-    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    body = F.col(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["stop"]).alias("at"))).otherwise(
-        F.struct(F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["stop"].alias("at"))
-    )
-    cut = F.aggregate("__ordered", start, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    some = F.size("__ordered") > 0
-    out = found.select(*docs.columns, ordered.alias("__ordered")).withColumn("__cut", F.when(some, cut).otherwise(body))
+        out = judged(plain, confident_patterns(plain.select(F.col(text).alias("text")), scratch), text, name, True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col("__cut").alias(text) if c == text else c for c in docs.columns))
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,45 +26,60 @@ def corpus():
     return [*out, (5, out[5][1])]
 
 
+class Plain:
+    """The model by its definition: counts in dictionaries, probabilities by recursion."""
+
+    def __init__(self, texts):
+        train = [["</s>", *tokens(t)] for t in texts]
+        self.uni = Counter(w for s in train for w in s[1:])
+        self.grams = Counter(g for s in train for k in (2, 3) for g in zip(*(s[j:] for j in range(k)), strict=False))
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+
+    def count(self, context):
+        return self.uni[context[0]] if len(context) == 1 else self.grams[context]
+
+    def p(self, context, word):
+        if not context:
+            return (self.uni[word] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        k, less = lm.SMOOTHING[len(context) - 1], self.p(context[1:], word)
+        return (self.grams[(*context, word)] + k * less) / (self.count(context) + k) if self.count(context) else less
+
+
 def brute(rows, trained):
     """(id, tokens, known, N, base, score) by the definitions, one place after the other."""
-    seqs = [(i, ["</s>", *tokens(t)]) for i, t in rows]
-    train = [s for i, s in seqs if trained(i)]
-    uni = Counter(w for s in train for w in s[1:])
-    grams = Counter(g for s in train for k in (2, 3) for g in zip(*(s[j:] for j in range(k)), strict=False))
-    grams = {g: n for g, n in grams.items() if n >= 2}
-    n, v = sum(uni.values()), len(uni)
-    count = lambda c: grams.get(c, 0) if len(c) == 2 else uni[c[0]] if uni[c[0]] >= 2 else 0
-    group = lambda c: (len(c), int(math.log2(count(c))))
-
-    def walk(s, k):
-        """The contexts tried for place k, from long to short, and the n-gram found (or None)."""
-        for c in (tuple(s[max(0, k - 2) : k]), tuple(s[k - 1 : k])) if k > 1 else (tuple(s[:1]),):
-            if count(c):
-                yield c, (*c, s[k]) if (*c, s[k]) in grams else None
-                if (*c, s[k]) in grams:
-                    return
-
-    visits, mass = Counter(), defaultdict(float)
-    for s in train:
-        for k in range(1, len(s)):
-            for c, g in walk(s, k):
-                visits[group(c)] += 1
-                mass[group(c)] += 1 - lm.DISCOUNT / grams[g] if g else 0.0
+    m = Plain([t for i, t in rows if trained(i)])
     out = []
-    for i, s in seqs:
-        base = {w: math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s}
-        total = 0.0
-        for k in range(1, len(s)):
-            steps = list(walk(s, k))
-            for c, g in steps:
-                total += math.log10((grams[g] - lm.DISCOUNT) / count(c)) if g else math.log10(min(1, max(1e-3, 1 - mass[group(c)] / visits[group(c)])) if visits[group(c)] else 1)
-            if not steps or not steps[-1][1]:
-                total += base[s[k]]
-        out.append((i, len(s) - 1, sum(uni[w] > 0 for w in s[1:]), n, sum(base[w] for w in s[1:]), total))
+    for i, t in rows:
+        s = ["</s>", *tokens(t)]
+        score = sum(math.log10(m.p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))
+        out.append((i, len(s) - 1, sum(m.uni[w] > 0 for w in s[1:]), m.n, sum(math.log10(m.p((), w)) for w in s[1:]), score))
     return sorted(out)
 
 
+def test_the_words_of_every_context_add_up_to_one():
+    """By the automaton's own arcs and failure arcs, over the vocabulary and the unknown word."""
+    import numpy as np
+
+    m = Plain([t for _, t in corpus()])
+    names = [*m.uni, "?"]
+    word = {w: i for i, w in enumerate(names)}
+    n1 = np.array([m.uni[w] for w in names])
+    two = [g for g in m.grams if len(g) == 2]
+    three = [g for g in m.grams if len(g) == 3]
+    pair = {g: i for i, g in enumerate(two)}
+    ids = lambda gs, k: np.array([word[g[k]] for g in gs])
+    built = lm.Automaton(n1, ids(two, 0), ids(two, 1), np.array([m.grams[g] for g in two]), np.array([pair[g[:2]] for g in three]), np.array([pair[g[1:]] for g in three]), ids(three, 2), np.array([m.grams[g] for g in three]), m.n + 0.1 * (m.v + 1))
+    base = np.log10((n1 + 0.1) / (m.n + 0.1 * (m.v + 1)))
+    every = np.arange(len(names))
+    ends = {i for i, g in enumerate(two) if g[1] == "</s>"}
+    for state in range(len(built.fail)):
+        if state - 1 - len(names) in ends or state == len(names):
+            continue  # nothing follows the end of a text, and the unknown word is no context
+        _, (weight, empty) = built._step(np.full(len(names), state), every)
+        weight[empty] += base[empty]
+        assert abs((10**weight).sum() - 1) < 1e-9
+
+
 def hold_against_brute(spark, rows, **sizes):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
     got = sorted(tuple(r) for r in lm.score(docs, F.col("doc_id") % 3 != 0, **sizes).drop("learned").collect())
@@ -88,7 +103,7 @@ def test_segments_and_blocks_leave_the_score(monkeypatch):
     pair = words[:-1] * 6 + words[1:]
     ids, first, of = np.unique(pair, return_index=True, return_inverse=True)
     triple, at, n3 = np.unique(pair[:-1] * 6 + words[2:], return_index=True, return_counts=True)
-    m = lm.Automaton(np.bincount(words), words[first], words[first + 1], np.bincount(of), of[at], of[at + 1], words[at + 2], np.where(n3 > 1, n3, 0))
+    m = lm.Automaton(np.bincount(words), words[first], words[first + 1], np.bincount(of), of[at], of[at + 1], words[at + 2], np.where(n3 > 1, n3, 0), 4000.0)
     whole = [np.sort(x) for x in m.read(words, start)]
     monkeypatch.setattr(lm, "SEGMENT", 5)
     for a, b in zip(whole, m.read(words, start), strict=True):

@@ -230,3 +230,26 @@ def test_scores_equal_the_definition_on_random_pages():
         assert html.extract(page) == _plain_extract(tree)
         dropped += len(html.blocks(page)[0]) - html.extract(page).count("\n") - 1
     assert dropped > 300
+
+
+def test_parts_of_names_tell_of_comments_and_adverts():
+    """Readers' comments and adverts under longer names go, also without an article; names of a state say nothing."""
+    prose = "<p>" + "The first long sentence, of some words, tells what it is. " * 8 + "</p>"
+    said = "<p>I agree, this is so. Very nice, thanks a lot.</p>"
+    for name in ("post-comments", "comments_list", "user-responses", "ad-slot", "page-footer-banner"):
+        for frame in ("<article>{}</article>", "<div id=x>{}</div>"):
+            page = "<body class='single has-sidebar'>" + frame.format(f"<div class='content no-sidebar menu-open'>{prose * 3}</div><div class='{name}'>{said}</div>") + "</body>"
+            text = html.extract(page)
+            assert text.count("The first long sentence") == 24 and "agree" not in text, (name, frame)
+
+
+def test_names_count_however_deep_they_stand():
+    """The name of the innermost of 60 named containers, and 20,000 nested ones in a time in proportion."""
+    import time
+
+    prose = "<p>" + "The first long sentence, of some words, tells what it is. " * 8 + "</p>"
+    page = "<div class=share>" * 0 + "<main>" + prose * 3 + "<div class=tags>" * 60 + "<div class=comments><p>I agree, this is so, thanks.</p></div>" + "</div>" * 60 + "</main>"
+    assert "agree" not in html.extract(page)
+    began = time.time()
+    html.extract("<div class=tags><p>a b.</p>" * 20_000)
+    assert time.time() - began < 20
