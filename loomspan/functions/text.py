@@ -11,9 +11,16 @@ NULL_WORDS = ("", "none", "n/a", "na", "null", "nan", "unknown")
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 
+#: Small letters that full case folding writes in another way: ligatures, sharp s, the sigma at a word's end and so on.
+_FOLDS = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()]
+_FOLDED = "[" + "".join(c for c, _ in _FOLDS) + "]"
+
+
 def folded(text: Column) -> Column:
-    """Without differences of case: small letters, with sharp s as ss and one small sigma."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Without differences of case, by full case folding."""
+    small = F.lower(text)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLDS))
+    return F.when(small.rlike(_FOLDED), F.aggregate(pairs, small, lambda t, x: F.replace(t, x["a"], x["b"]))).otherwise(small)
 
 
 def collapsed(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.progress import interval_progress
 from loomspan.functions.text import is_latin_caption
 from loomspan.operators import intervals
+from loomspan.operators.ranking import checkpointed
 
 #: The profiles in order of precedence, with the levels that each needs.
 PROFILES = {"full": (2, 1, 0), "L3L2L1": (2, 1), "L3L2L0": (2, 0), "L3L2": (2,), "L3L1L0": (1, 0), "L3L1": (1,), "L3L0": (0,)}
@@ -41,6 +42,7 @@ def nested(units: DataFrame, parent: int, child: int) -> DataFrame:
 
 def profiles(units: DataFrame, least: dict[int, int]) -> DataFrame:
     """(episode, n2, n1, n0, profile): the first profile whose levels exist in sufficient number and nest; null if none."""
+    units = checkpointed(units)  # read by each pair of levels
     counts = units.groupBy("episode").agg(*(F.count_if(F.col("level") == k).alias(f"n{k}") for k in (2, 1, 0)))
     out = counts
     for a, b in ((2, 1), (2, 0), (1, 0)):

@@ -61,9 +61,13 @@ def latin_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", _SHOWN(annotations.latin_intervals(F.col("human"))).alias("items"))
 
 
+_STRICT = """CASE o_orderkey % 6 WHEN 0 THEN '{"4 9":"b","0 ' || (o_custkey % 4 + 1) || '":"a","0 1":"语"}' WHEN 1 THEN '{"0 4":"a","7 ' || (o_custkey % 5 + 3) || '":"b"}' WHEN 2 THEN '{"0 4":" "}'
+    WHEN 3 THEN '{"0 4":"a","4,9":"b"}' WHEN 4 THEN '[1]' ELSE '{" 2 ' || (o_custkey % 20 + 3) || '":"a"}' END"""
+
+
 def strict_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the second level's maps, or what is wrong with them."""
-    own = _orders(spark, sf_dir).select("o_orderkey", annotations.strict_intervals(F.when(F.col("o_orderkey") % 3 == 0, F.replace("other", F.lit('""'), F.lit('"w"'))).otherwise(F.col("other")), F.when(F.col("o_orderkey") % 2 == 0, 12), True).alias("s"))
+    """Entries of maps, or what is wrong with them."""
+    own = _orders(spark, sf_dir).select("o_orderkey", annotations.strict_intervals(F.expr(_STRICT), F.when(F.col("o_custkey") % 2 == 0, 12), True).alias("s"))
     return own.select("o_orderkey", _SHOWN(F.col("s.items")).alias("items"), "s.error")
 
 
@@ -122,8 +126,8 @@ ORACLES = {
     "latin_intervals": f"""
         WITH m AS ({_maps(_HUMAN)}) SELECT o_orderkey, coalesce(string_agg(s || ':' || t || ':' || cap, ';' ORDER BY s, t, cap) FILTER (t > s AND {_LATIN("cap")}), '') AS items FROM orders LEFT JOIN m USING (o_orderkey) GROUP BY 1""",
     "strict_intervals": f"""
-        WITH m AS ({_maps(f"CASE WHEN o_orderkey % 3 = 0 THEN replace({_OTHER}, '\"\"', '\"w\"') ELSE {_OTHER} END")}),
-        w AS (SELECT *, CASE WHEN s IS NULL OR t IS NULL OR cap = '' THEN 'invalid_entry' WHEN s >= t THEN 'invalid_interval' WHEN o_orderkey % 2 = 0 AND t > 12 THEN 'beyond_total' END AS e FROM m),
+        WITH m AS ({_maps(_STRICT)}),
+        w AS (SELECT *, CASE WHEN s IS NULL OR t IS NULL OR cap = '' THEN 'invalid_entry' WHEN s >= t THEN 'invalid_interval' WHEN o_custkey % 2 = 0 AND t > 12 THEN 'beyond_total' END AS e FROM m JOIN orders USING (o_orderkey)),
         r AS (SELECT o_orderkey, CASE WHEN count(m.o_orderkey) = 0 THEN 'missing' ELSE any_value(f.e) END AS error, string_agg(m.s || ':' || m.t || ':' || m.cap, ';' ORDER BY m.s, m.t, m.cap) AS items
             FROM orders LEFT JOIN m USING (o_orderkey) LEFT JOIN (SELECT o_orderkey, arg_min(e, id) FILTER (e IS NOT NULL) AS e FROM w GROUP BY 1) f USING (o_orderkey) GROUP BY 1)
         SELECT o_orderkey, CASE WHEN error IS NULL THEN items END AS items, error FROM r""",

@@ -42,8 +42,8 @@ def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without any order, still to be worked on."""
-    return merging.unmatched(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+    """Customers without any order that is done, still to be worked on."""
+    return merging.unmatched(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice > 300000"), "o_custkey")
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ ORACLES = {
     "table_differences": """
         WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 9 <> 0)
         SELECT o_orderkey, 'left' AS side FROM (FROM l EXCEPT FROM r) UNION ALL SELECT o_orderkey, 'right' FROM (FROM r EXCEPT FROM l)""",
-    "pending_keys": "SELECT c_custkey FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey)",
+    "pending_keys": "SELECT c_custkey FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)",
     "duplicate_ids": "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "replaced_groups": "SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE count(*) END AS n, CASE WHEN l_orderkey % 10 = 0 THEN 99 ELSE max(l_linenumber) END AS most FROM lineitem GROUP BY 1",
     "stable_seeds": """

@@ -17,7 +17,8 @@ _SOURCE = "CASE WHEN level = 0 AND id % 53 = 0 THEN 'auto' ELSE 'segment' END"
 
 def level_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each level of an episode, the first unit by time that breaks a rule, and the rule; no row where all hold."""
-    own = units(spark, sf_dir).select("*", F.expr(_CAPTION).alias("caption"), F.expr(_SOURCE).alias("source"))
+    own = units(spark, sf_dir).withColumn("end", F.expr("CASE WHEN id % 89 = 0 THEN end + 40 ELSE end END"))
+    own = own.unionByName(own.where("id % 97 = 0")).select("*", F.expr(_CAPTION).alias("caption"), F.expr(_SOURCE).alias("source"))
     return hierarchy.verdicts(own, F.lit(2380), 2)
 
 
@@ -84,9 +85,12 @@ def manifest_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as JSON lines in eight buckets and read back: rows, users and sums of each."""
+    """Events written as JSON lines in eight buckets, with lines that are cut off among them, and read back: rows, users and sums of each."""
     path = jsonl.shared_path(spark)
-    jsonl.write_buckets(table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props"), F.col("user_id").cast("string"), 8, path)
+    own = table(spark, sf_dir, "events")
+    jsonl.write_buckets(own.select("event_id", "user_id", "value", "props"), F.col("user_id").cast("string"), 8, path)
+    # lines that a writer has cut off
+    own.where("event_id % 50 = 0").select(F.concat(F.lit('{"event_id":'), "event_id", F.lit(',"val')).alias("value"), jsonl.shard_of(F.col("user_id").cast("string"), 8).alias("bucket")).write.mode("append").partitionBy("bucket").text(path)
     rows = jsonl.read_lines(spark, path, "event_id long, user_id long, value double, props string, bucket int")
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"), F.count("broken").alias("n_broken"), F.min("props").alias("first_props"))
 
@@ -101,7 +105,7 @@ _FORMS = r"""
         CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN t[:-4] END]) AS t FROM s)"""
 ORACLES = {
     "level_verdicts": f"""
-        WITH {_UNITS}, c AS (SELECT e, lev AS level, id, s, t, lag(t) OVER (PARTITION BY e, lev ORDER BY s, t) AS before FROM u),
+        WITH {_UNITS}, x AS (SELECT e, lev, id, s, CASE WHEN id % 89 = 0 THEN t + 40 ELSE t END AS t FROM u), c AS (SELECT e, lev AS level, id, s, t, lag(t) OVER (PARTITION BY e, lev ORDER BY s, t) AS before FROM (FROM x UNION ALL FROM x WHERE id % 97 = 0)),
         d AS (SELECT *, count(*) OVER (PARTITION BY e, level, id) AS same, {_CAPTION} AS caption, {_SOURCE} AS source FROM c),
         v AS (SELECT *, CASE WHEN same > 1 THEN 'duplicate_unit_id' WHEN caption = 'unknown' THEN 'invalid_caption' WHEN s < 0 OR t <= s OR t > 2380 THEN 'interval_out_of_bounds' WHEN t - s < 2 THEN 'interval_too_short'
             WHEN s < before THEN 'same_level_overlap' WHEN level = 0 AND source NOT IN ('human_segment', 'segment') THEN 'invalid_l0_source' END AS reason FROM d)
@@ -133,5 +137,6 @@ ORACLES = {
         WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 5 GROUP BY 1)
         SELECT o_orderkey, c_name, coalesce(n, 0) AS n_items, c_name IS NOT NULL AND n IS NOT NULL AS ready FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > -500 LEFT JOIN l USING (o_orderkey)""",
     "json_buckets": """
-        SELECT (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT % 8)::INT AS bucket, count(*) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total, 0::BIGINT AS n_broken, min(props) AS first_props FROM events GROUP BY 1""",
+        SELECT (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT % 8)::INT AS bucket, count(*) + count(*) FILTER (event_id % 50 = 0) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total,
+            count(*) FILTER (event_id % 50 = 0) AS n_broken, min(props) AS first_props FROM events GROUP BY 1""",
 }

@@ -34,9 +34,12 @@ def level_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.links(units(spark, sf_dir), 1, 0).select("episode", F.col("r_id").alias("unit"), "n_parents", F.col("l_id").alias("parent"))
 
 
+_LEFT = "NOT ({0} = 1 AND {1} % 11 = 4) AND NOT ({1} % 13 = 3 AND ({0} <> 1 OR id % 4 <> 0))"
+
+
 def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every episode's profile."""
-    return hierarchy.profiles(units(spark, sf_dir), {1: 3, 0: 3})
+    """Every episode's profile; some episodes have lost their units of level 1, some all but a few of them."""
+    return hierarchy.profiles(units(spark, sf_dir).where(_LEFT.format("level", "episode")), {1: 3, 0: 3})
 
 
 def level_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +107,7 @@ _RANGES = f"""g AS (SELECT * FROM u WHERE lev = 1 OR id % 3 <> 0), r AS (SELECT
 ORACLES = {
     "level_links": f"WITH {_UNITS} SELECT e AS episode, id AS unit, np AS n_parents, pid AS parent FROM {_links(1, 0)}",
     "profile_choice": f"""
-        WITH {_UNITS}, c AS (SELECT e, count(*) FILTER (lev = 2) AS n2, count(*) FILTER (lev = 1) AS n1, count(*) FILTER (lev = 0) AS n0 FROM u GROUP BY e),
+        WITH {_UNITS.replace("u AS (SELECT * FROM (", "v AS (SELECT * FROM (")}, u AS (SELECT * FROM v WHERE {_LEFT.format("lev", "e")}), c AS (SELECT e, count(*) FILTER (lev = 2) AS n2, count(*) FILTER (lev = 1) AS n1, count(*) FILTER (lev = 0) AS n0 FROM u GROUP BY e),
         j AS (SELECT c.*, coalesce(x.ok, false) AS k21, coalesce(y.ok, false) AS k20, coalesce(z.ok, false) AS k10 FROM c LEFT JOIN {_nested(2, 1)} x USING (e) LEFT JOIN {_nested(2, 0)} y USING (e) LEFT JOIN {_nested(1, 0)} z USING (e))
         SELECT e AS episode, n2, n1, n0, CASE WHEN n2 > 0 AND n1 >= 3 AND n0 >= 3 AND k21 AND k10 THEN 'full' WHEN n2 > 0 AND n1 >= 3 AND k21 THEN 'L3L2L1' WHEN n2 > 0 AND n0 >= 3 AND k20 THEN 'L3L2L0'
             WHEN n2 > 0 THEN 'L3L2' WHEN n1 >= 3 AND n0 >= 3 AND k10 THEN 'L3L1L0' WHEN n1 >= 3 THEN 'L3L1' WHEN n0 >= 3 THEN 'L3L0' END AS profile FROM j""",

@@ -20,17 +20,26 @@ def dedup_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.first_of(docs, ["identity"], [F.col("source"), F.col("doc_id")], ["doc_id", "source"])
 
 
+_RENAMED = "CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE source END"
+
+
 def strict_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of short and long documents that share a middle: copies of each id, and whether they conflict."""
+    """Union of short and long documents that share a middle: copies of each id, and whether they conflict, as those of one source in three do."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
-    parts = [docs.where("n_chars < 2000"), docs.where("n_chars >= 1000")]
+    parts = [docs.where("n_chars < 2000"), docs.where("n_chars >= 1000").withColumn("source", F.expr(_RENAMED))]
     return merging.checked_union(parts, "doc_id", F.concat_ws(":", "source", F.least("n_chars", F.lit(1500))))
 
 
+#: as many items as any benchmark table has
+_ITEMS = 40
+_PUT = "CASE WHEN b IS NULL THEN text WHEN doc_id % 9 = 0 THEN upper(b) || ' .' WHEN doc_id % 9 = 1 THEN replace(b, chr(10), ' ') || chr(10) || text WHEN doc_id % 9 = 2 THEN text || chr(10) || replace(b, chr(10), ' ') ELSE text END"
+
+
 def holdout_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose whole text, first paragraph or last paragraph is a benchmark item."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents whose whole text, first paragraph or last paragraph is a benchmark item; items are put into three of nine documents."""
     held = table(spark, sf_dir, "benchmark").select("text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("b"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(items, F.expr(f"doc_id % {_ITEMS} = i"), "left").select("doc_id", F.expr(_PUT).alias("text"))
     whole = F.sha2(text.normalised(F.col("text")), 256)
     lines = F.split("text", "\n")
     modes = {
@@ -57,9 +66,12 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.last_of(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_orderstatus", "o_totalprice"])
 
 
+_KEPT = "NOT (conv_id % 4 = 1 AND turn = conv_id % 3)"
+
+
 def group_gapless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each conversation's turns are 0, 1, ... without a gap."""
-    return merging.gapless(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    """Whether each conversation's turns are 0, 1, ... without a gap, where some have lost a turn."""
+    return merging.gapless(table(spark, sf_dir, "conversations").where(_KEPT), "conv_id", "turn")
 
 
 def pair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +122,14 @@ ORACLES = {
     "dedup_precedence": f"""
         SELECT identity, first(doc_id ORDER BY source, doc_id) AS doc_id, first(source ORDER BY source, doc_id) AS source, count(*) AS copies
         FROM (SELECT doc_id, source, {_ID} AS identity FROM documents) GROUP BY 1""",
-    "strict_union": """
+    "strict_union": f"""
         WITH u AS (SELECT doc_id, source || ':' || least(n_chars, 1500) AS f FROM documents WHERE n_chars < 2000
-                   UNION ALL SELECT doc_id, source || ':' || least(n_chars, 1500) FROM documents WHERE n_chars >= 1000)
+                   UNION ALL SELECT doc_id, {_RENAMED} || ':' || least(n_chars, 1500) FROM documents WHERE n_chars >= 1000)
         SELECT doc_id, count(*) AS copies, count(DISTINCT f) > 1 AS conflict FROM u GROUP BY 1""",
     "holdout_fence": f"""
         WITH b AS (SELECT DISTINCT {_normalised("text")} AS t FROM benchmark WHERE text IS NOT NULL),
-        d AS (SELECT doc_id, {_normalised("text")} AS w, {_normalised("string_split(text, chr(10))[1]")} AS f, {_normalised("string_split(text, chr(10))[-1]")} AS l FROM documents)
+        p AS (SELECT doc_id, {_PUT} AS text FROM documents d LEFT JOIN (SELECT item_id, text AS b FROM benchmark) ON d.doc_id % {_ITEMS} = item_id),
+        d AS (SELECT doc_id, {_normalised("text")} AS w, {_normalised("string_split(text, chr(10))[1]")} AS f, {_normalised("string_split(text, chr(10))[-1]")} AS l FROM p)
         SELECT doc_id, CASE WHEN w IN (SELECT t FROM b) THEN 'whole' WHEN f IN (SELECT t FROM b) THEN 'first' WHEN l IN (SELECT t FROM b) THEN 'last' END AS match FROM d""",
     "passage_fence": r"""
         WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE doc_id IS NOT NULL),
@@ -125,7 +138,7 @@ ORACLES = {
     "upsert_latest": """
         SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,
                arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice, count(*) AS copies FROM orders GROUP BY 1""",
-    "group_gapless": "SELECT conv_id, count(DISTINCT turn) AS n_index, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AS complete FROM conversations WHERE turn IS NOT NULL GROUP BY 1",
+    "group_gapless": "SELECT conv_id, count(DISTINCT turn) AS n_index, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AS complete FROM conversations WHERE turn IS NOT NULL AND " + _KEPT + " GROUP BY 1",
     "pair_audit": f"""
         SELECT identity, count(*) AS n_docs, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs, min(doc_id) AS first_id
         FROM (SELECT doc_id, source, lang, {_ID} AS identity FROM documents) GROUP BY 1 HAVING count(*) > 1 AND (count(DISTINCT source) > 1 OR count(DISTINCT lang) > 1)""",
