@@ -125,7 +125,7 @@ def mirrored(annotations: DataFrame, listing: DataFrame, owners: DataFrame) -> D
     tops = annotations.select(top.alias("dataset")).distinct()
     rules = owners.select("source", "rank", "pattern").distinct()
     # a few patterns, each of which is tried on every first name
-    fits = F.col("dataset").rlike(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))
+    fits = F.regexp_like("dataset", F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))
     owned = tops.join(F.broadcast(rules), fits).groupBy("dataset").agg(F.min_by("source", "rank").alias("source"))
     topics = annotations.select("topic", top.alias("dataset")).distinct().join(owned, "dataset")
     places = listing.select("root", F.col("folder").alias("topic"))

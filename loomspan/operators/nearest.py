@@ -87,6 +87,22 @@ class Vocabulary:
         return [None if not c else (1.0, c) if c in known else (float(s[k]), self.captions[k]) if size[i] and s[k] >= least else None for i, (c, s, k) in enumerate(zip(captions, scores, best, strict=True))]
 
 
+def _better(shared, least: float):
+    """A function that keeps the better of a caption's best so far and its best in a block."""
+
+    def better(captions: pd.Series, before: pd.Series, score: pd.Series) -> pd.DataFrame:
+        texts = captions.fillna("").tolist()
+        distinct = sorted(set(texts))
+        found = dict(zip(distinct, shared.value.nearest(distinct, least), strict=True))
+        rows = []
+        for text, old, s in zip(texts, before, score, strict=True):
+            both = [x for x in (found[text], None if old is None or pd.isna(s) else (float(s), old)) if x is not None]
+            rows.append(max(both, default=(None, None)))
+        return pd.DataFrame(rows, columns=["likeness", "nearest"], dtype=object)
+
+    return better
+
+
 def nearest_captions(df: DataFrame, caption: str, vocabulary: DataFrame, entry: str, least: float = ALIKE) -> DataFrame:
     """df and ``nearest`` (the normalised entry that is most alike, the caption's own if it is one; null below least) and ``likeness``.
 
@@ -100,19 +116,7 @@ def nearest_captions(df: DataFrame, caption: str, vocabulary: DataFrame, entry:
     spark = df.sparkSession
     for k in range(blocks):
         part = [r[0] for r in own.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == k).collect()]  # about BLOCK captions
-        shared = spark.sparkContext.broadcast(Vocabulary(part))
-
-        def better(captions: pd.Series, before: pd.Series, score: pd.Series, shared=shared) -> pd.DataFrame:
-            texts = captions.fillna("").tolist()
-            distinct = sorted(set(texts))
-            found = dict(zip(distinct, shared.value.nearest(distinct, least), strict=True))
-            rows = []
-            for text, old, s in zip(texts, before, score, strict=True):
-                new = found[text]
-                held = None if old is None or pd.isna(s) else (float(s), old)
-                rows.append(max(x for x in (new, held) if x is not None) if new or held else (None, None))
-            return pd.DataFrame(rows, columns=["likeness", "nearest"], dtype=object)
-
+        better = _better(spark.sparkContext.broadcast(Vocabulary(part)), least)
         out = out.withColumn("__best", F.pandas_udf(better, "likeness double, nearest string")("__caption", "nearest", "likeness")).withColumns({"nearest": F.col("__best.nearest"), "likeness": F.col("__best.likeness")})
     return out.drop("__caption", "__best")
 

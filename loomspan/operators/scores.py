@@ -2,47 +2,57 @@
 
 from __future__ import annotations
 
+import json
+from itertools import zip_longest
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import normalised
 from loomspan.operators import contracts
 from loomspan.operators.ranking import global_rank
-
-
-def target_score(text: Column, target: Column, profile: Column) -> Column:
-    """(score, exact, valid, matched, total, error) of a text against a target: the share of equal leaves.
+from loomspan.streaming.memory import canonical
+
+
+def _leaves(said: dict, true: dict, fields: tuple[str, ...]) -> list[bool]:
+    """Whether each leaf is equal; all are wrong of a prediction that one side lacks."""
+    alike = lambda a, b: canonical(a["caption"]) == canonical(b["caption"])
+    same = lambda a, b, name: a[name] == b[name]
+    out = [alike(said["task"], true["task"]), same(said["task"], true["task"], "progress_percent"), len(said["predictions"]) == len(true["predictions"])]
+    for a, b in zip_longest(said["predictions"], true["predictions"]):
+        for field in fields:
+            more = ["source"] if field == "l0" else []
+            if a is None or b is None:
+                out += [False] * (2 + len(more))
+            else:
+                out += [alike(a[field], b[field]), *(same(a[field], b[field], name) for name in ["progress_percent", *more])]
+    return out
+
+
+def _scored(text: pd.Series, target: pd.Series, profile: pd.Series, error: pd.Series) -> pd.DataFrame:
+    rows = []
+    for said, true, name, broken in zip(text, target, profile, error, strict=True):
+        try:
+            right = [] if broken is not None else _leaves(json.loads(said), json.loads(true), contracts.PROFILES[name])
+        except (ValueError, KeyError, TypeError, AttributeError):
+            broken = "target"
+        rows.append((0.0, False, False, 0, 1, broken) if broken is not None else (sum(right) / len(right), all(right), True, sum(right), len(right), None))
+    return pd.DataFrame(rows, columns=["score", "exact", "valid", "matched", "total", "error"], dtype=object)
+
+
+def target_scores(df: DataFrame, text: str, target: str, profile: str) -> DataFrame:
+    """df and ``scored`` (score, exact, valid, matched, total, error): the share of a target's leaves that a text has right.
 
     Leaves are the task's caption and progress, the number of predictions, and of each
     field of each prediction caption, progress and, of the lowest level, source. Captions
     are equal when normalised. Leaves of a prediction that one side lacks are wrong. A
-    text that breaks the target's contract scores 0 of 1, with the rule it breaks.
+    text that breaks the target's contract scores 0 of 1, with the rule it breaks; so
+    does one whose target can't be read (target).
     """
-    error = contracts.level_target(F.trim(text), profile)
-    said, true = contracts.document(F.trim(text)), contracts.document(target)
-    caption = lambda a, b: normalised(a.at("caption").string()) == normalised(b.at("caption").string())
-    progress = lambda a, b: a.at("progress_percent").whole() == b.at("progress_percent").whole()
-    task = (said.at("task"), true.at("task"))
-    lists = (said.at("predictions").items(), true.at("predictions").items())
-    own = [caption(*task), progress(*task), F.size(lists[0]) == F.size(lists[1])]
-    places = F.sequence(F.lit(0), F.greatest(F.size(lists[0]), F.size(lists[1]), F.lit(1)) - 1)
-
-    def leaves(fields: tuple[str, ...]) -> Column:
-        def one(k: Column) -> Column:
-            a, b = (contracts.Node(F.get(x, k)["text"], F.get(x, k)["value"]) for x in lists)
-            parts = [f(a.at(c), b.at(c)) for c in fields for f in (caption, progress, *((lambda x, y: x.at("source").string() == y.at("source").string(),) if c == "l0" else ()))]
-            return F.array(*parts)
-
-        return F.flatten(F.transform(places, one))
-
-    every = F.array().cast("array<boolean>")
-    for name, fields in contracts.PROFILES.items():
-        every = F.when(profile == name, F.concat(F.array(*own), leaves(fields))).otherwise(every)
-    right = F.transform(every, lambda x: F.coalesce(x, F.lit(False)))
-    matched, total = F.size(F.filter(right, lambda x: x)), F.size(right)
-    good = F.struct((matched / total).alias("score"), (matched == total).alias("exact"), F.lit(True).alias("valid"), matched.alias("matched"), total.alias("total"), error.alias("error"))
-    bad = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("exact"), F.lit(False).alias("valid"), F.lit(0).alias("matched"), F.lit(1).alias("total"), error.alias("error"))
-    return F.when(error.isNull(), good).otherwise(bad)
+    said = F.trim(text)
+    own = df.withColumns({"__said": said, "__broken": contracts.level_target(said, F.col(profile))})
+    scored = F.pandas_udf(_scored, "score double, exact boolean, valid boolean, matched int, total int, error string")("__said", target, profile, "__broken")
+    return own.withColumn("scored", scored).drop("__said", "__broken")
 
 
 def score_report(df: DataFrame, score: str, top: int = 10) -> DataFrame:
@@ -82,14 +92,10 @@ def scan_statistics(df: DataFrame, source: str, status: str, samples: str, error
     """(section, source, name, n): episodes by source and status, samples by source, failures by error and those that may be tried again."""
     own = df.select(F.col(source).alias("source"), F.col(status).alias("status"), F.coalesce(F.col(samples), F.lit(0)).cast("long").alias("samples"), F.coalesce(F.col(error), F.lit("unknown_error")).alias("error"), F.coalesce(F.col(retryable), F.lit(False)).alias("again"))
     failed = F.col("status") == "failed"
-    parts = F.array_compact(
-        F.array(
-            F.struct(F.lit("status").alias("section"), F.col("source"), F.col("status").alias("name"), F.lit(1).cast("long").alias("n")),
-            F.struct(F.lit("samples"), F.col("source"), F.lit("samples"), F.col("samples")),
-            F.when(failed, F.struct(F.lit("error").alias("section"), F.lit("").alias("source"), F.col("error").alias("name"), F.lit(1).cast("long").alias("n"))),
-            F.when(failed & F.col("again"), F.struct(F.lit("retryable").alias("section"), F.lit("").alias("source"), F.lit("retryable").alias("name"), F.lit(1).cast("long").alias("n"))),
-        )
-    )
+    row = lambda section, source, name, n: F.struct(F.lit(section).alias("section"), source.alias("source"), name.alias("name"), n.cast("long").alias("n"))
+    none, one = F.lit(""), F.lit(1)
+    every = [row("status", F.col("source"), F.col("status"), one), row("samples", F.col("source"), F.lit("samples"), F.col("samples")), F.when(failed, row("error", none, F.col("error"), one)), F.when(failed & F.col("again"), row("retryable", none, F.lit("retryable"), one))]
+    parts = F.array_compact(F.array(*every))
     return own.select(F.explode(parts).alias("p")).select("p.*").groupBy("section", "source", "name").agg(F.sum("n").alias("n"))
 
 

@@ -17,18 +17,18 @@ _SAID = (
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.expr(_case([_SQL(s[0]) for s in _SAID]))
-    return table(spark, sf_dir, "part").select("p_partkey", scores.target_score(said, F.expr(_SQL(_WINDOW)), F.lit("L3L1L0")).alias("s"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.expr(_case([_SQL(s[0]) for s in _SAID])).alias("said"), F.expr(_SQL(_WINDOW)).alias("meant"), F.lit("L3L1L0").alias("profile"))
+    return scores.target_scores(own, "said", "meant", "profile")
 
 
 def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a target each text has right, leaf by leaf."""
-    return _scored(spark, sf_dir).select("p_partkey", F.round("s.score", 9).alias("score"), "s.exact", "s.valid", "s.matched", "s.total", "s.error")
+    return _scored(spark, sf_dir).select("p_partkey", F.round("scored.score", 9).alias("score"), *(f"scored.{c}" for c in ("exact", "valid", "matched", "total", "error")))
 
 
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means and shares of those scores, and the rules that are broken most."""
-    return scores.score_report(_scored(spark, sf_dir), "s")
+    return scores.score_report(_scored(spark, sf_dir), "scored")
 
 
 def _columns(select: str) -> list[str]:

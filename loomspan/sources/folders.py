@@ -49,12 +49,19 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Below]:
         out = []
+        from pyarrow import fs
+
         for root in self.roots:
+            system, base = _opened(root)
+            if system.get_file_info(base).type != fs.FileType.Directory:
+                continue
             _, folders = _listed(root, "")
             out += [_Below(root, "", False), *(_Below(root, f, True) for f in folders)]
         return out
 
-    def read(self, partition: _Below) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Below | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no root is there
+            return
         waiting, rows = [partition.folder], []
         while waiting:
             folder = waiting.pop()

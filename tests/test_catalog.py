@@ -56,7 +56,7 @@ def test_every_branch_occurs(duck, name, column, values):
 
 
 def test_lines_that_are_cut_off_are_told(duck):
-    assert duck.sql(catalog.ORACLES["json_buckets"]).aggregate("sum(n_broken)").fetchone()[0] == 20
+    assert duck.sql(f"SELECT sum(n_broken) FROM ({catalog.ORACLES['json_buckets']})").fetchall()[0][0] == 20
 
 
 def test_passage_fence_finds_items_inside_texts(spark):
