@@ -70,3 +70,22 @@ def as_of(points: DataFrame, states: DataFrame, key: list[str], at: str, value:
     every = points.withColumns({value: F.lit(None).cast(states.schema[value].dataType), "__point": F.lit(1)}).unionByName(marked, allowMissingColumns=True)
     until = Window.partitionBy(*key).orderBy(at, "__point").rowsBetween(Window.unboundedPreceding, 0)
     return every.withColumn(value, F.last(value, ignorenulls=True).over(until)).where("__point = 1").drop("__point")
+
+
+def dense_units(points: DataFrame, units: DataFrame, key: list[str], point: str, at: str, unit: str, start: str, end: str, width: int) -> DataFrame:
+    """(key, point, at, unit, matched, status): the unit that each point is given, and why.
+
+    One unit that holds it: ``matched``. Several: the first of them by start and id, as
+    ``ambiguous_overlap_schema_proxy``. None: the last unit that began at or before the
+    point, else the key's first one, as ``unlabelled_gap_schema_proxy``; null if the key
+    has none.
+    """
+    own = points.select(*key, point, F.col(at).alias("__at"))
+    left = own.select(*key, F.col(point).alias("l_id"), F.col("__at").alias("l_start"), (F.col("__at") + 1).alias("l_end"))
+    right = units.select(*key, F.col(unit).alias("r_id"), F.col(start).alias("r_start"), F.col(end).alias("r_end"))
+    held = overlaps(left, right, key, width).groupBy(*key, F.col("l_id").alias(point)).agg(F.count(F.lit(1)).alias("__n"), F.min_by("r_id", F.struct("r_start", "r_id")).alias("__first"))
+    began = as_of(own, units.select(*key, F.col(start).alias("__at"), F.col(unit).alias("__last")), key, "__at", "__last")
+    first = units.groupBy(*key).agg(F.min_by(unit, F.struct(start, unit)).alias("__head"))
+    out = began.join(held, [*key, point], "left").join(first, key, "left")
+    status = F.when(F.col("__n") == 1, "matched").when(F.col("__n") > 1, "ambiguous_overlap_schema_proxy").when(F.col("__head").isNotNull(), "unlabelled_gap_schema_proxy")
+    return out.select(*key, point, F.col("__at").alias(at), F.coalesce("__first", "__last", "__head").alias(unit), F.coalesce(F.col("__n") == 1, F.lit(False)).alias("matched"), status.alias("status"))

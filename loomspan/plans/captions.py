@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text
@@ -72,9 +72,12 @@ def portable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last eight turns of every conversation as numbered lines, and the last two."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["role"], x["turn"])).alias("lines"))
-    short = turns.select("conv_id", text.numbered(F.slice("lines", 1, 10), 4).alias("shown"), F.array_join(text.last_of(F.col("lines"), 2), "|").alias("short"))
-    return short
+    up, down = (Window.partitionBy("conv_id").orderBy(o) for o in (F.col("turn").asc(), F.col("turn").desc()))
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "role", "turn").alias("line"), F.row_number().over(up).alias("u"), F.row_number().over(down).alias("d")).where("u <= 10 OR d <= 2")
+    # at most twelve turns of a conversation come together
+    of = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("turn", "line")))), lambda x: x["line"])
+    turns = own.groupBy("conv_id").agg(of(F.col("u") <= 10).alias("first"), of(F.col("d") <= 2).alias("last"))
+    return turns.select("conv_id", text.numbered(F.col("first"), 4).alias("shown"), F.array_join("last", "|").alias("short"))
 
 
 _MAPS = (("/en", "/m1"), ("/en/a", "/m2"), ("/e", "/m3"), ("", "/rest"))

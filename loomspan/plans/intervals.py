@@ -57,11 +57,22 @@ def asof_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.as_of(points, views, ["user_id"], "ts", "view_id").select("user_id", "event_id", "view_id")
 
 
-QUERIES = {f.__name__: f for f in (interval_validate, containment_link, range_intersect, max_overlap_join, asof_gap)}
+def dense_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view that holds each purchase of a user, or stands for the one that is missing, and why."""
+    points = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), seconds("ts").alias("at"))
+    units = _spans(spark, sf_dir, "view", "u").where("user_id % 10 <> 3")
+    return intervals.dense_units(points, units, ["user_id"], "purchase", "at", "u_id", "u_start", "u_end", 7200)
+
+
+QUERIES = {f.__name__: f for f in (interval_validate, containment_link, range_intersect, max_overlap_join, asof_gap, dense_units)}
 
 _ORDERS = "SELECT o_orderkey, o_custkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) + o_orderkey % 60 AS e FROM orders"
 _SPANS = "SELECT user_id, event_type, event_id AS id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 * (1 + event_id % 24) AS e FROM events"
 ORACLES = {
+    "dense_units": f"""
+        WITH p AS (SELECT user_id, id, s AS t FROM ({_SPANS}) WHERE event_type = 'purchase'), u AS (SELECT user_id, id, s, e FROM ({_SPANS}) WHERE event_type = 'view' AND user_id % 10 <> 3),
+        j AS (SELECT p.user_id, p.id, t, count(u.id) FILTER (u.s <= t AND t < u.e) AS n, arg_min(u.id, (u.s, u.id)) FILTER (u.s <= t AND t < u.e) AS f, arg_max(u.id, (u.s, u.id)) FILTER (u.s <= t) AS l, arg_min(u.id, (u.s, u.id)) AS h FROM p LEFT JOIN u ON u.user_id = p.user_id GROUP BY ALL)
+        SELECT user_id, id AS purchase, t AS "at", coalesce(f, l, h) AS u_id, n = 1 AS matched, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous_overlap_schema_proxy' WHEN h IS NOT NULL THEN 'unlabelled_gap_schema_proxy' END AS status FROM j""",
     "interval_validate": f"""
         WITH o AS ({_ORDERS}), p AS (SELECT *, lag(e) OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) AS before FROM o)
         SELECT o_orderkey, o_custkey, s AS start, e AS "end",
