@@ -148,3 +148,27 @@ def mean_interval(df: DataFrame, group: list[str], value: Column, replicas: int,
     means = rows.groupBy(*group, "replica").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).where("m is not null")
     ends = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return own.groupBy(*group).agg(F.avg("x").alias("mean")).join(ends, group)
+
+
+def end_audit(df: DataFrame, group: list[str], episode: list[str], frame: str, said: Column, true: Column, valid: Column, caption: Column, exact: Column, error: Column) -> DataFrame:
+    """By group, how ends are told: the decision's counts and the share of right ones where invalid rows count as wrong; of the first end of each episode, valid or as it was said, how far it is from the true one on the average and how often there is none; and of the true ends the mean caption score, the share of exact ones and the mean progress error.
+
+    Episodes without a true end count in the decisions alone.
+    """
+    own = df.select(*group, *episode, F.col(frame).alias("__f"), said.alias("__s"), true.alias("__t"), valid.alias("__v"), caption.alias("__c"), exact.alias("__x"), error.alias("__e"))
+    rates = decision_rates(own, group, F.col("__s"), F.col("__t"), F.col("__v"))
+    ends = own.groupBy(*group, *episode).agg(F.max(F.when(F.col("__t"), F.col("__f"))).alias("e"), F.min(F.when(F.col("__s") & F.col("__v"), F.col("__f"))).alias("v"), F.min(F.when(F.col("__s"), F.col("__f"))).alias("r")).where("e is not null")
+    mean = lambda c: F.round(F.avg(c), 6)
+    firsts = ends.groupBy(*group).agg(F.count(F.lit(1)).alias("episodes"), mean(F.col("v") - F.col("e")).alias("first_end"), F.count_if(F.col("v").isNull()).alias("no_end"), mean(F.col("r") - F.col("e")).alias("first_raw_end"), F.count_if(F.col("r").isNull()).alias("no_raw_end"))
+    last = own.where("__t").groupBy(*group).agg(mean(F.when(F.col("__v"), F.col("__c")).otherwise(0.0)).alias("terminal_caption"), mean((F.col("__v") & F.col("__x")).cast("int")).alias("terminal_exact"), mean(F.when(F.col("__v"), F.abs("__e")).otherwise(100)).alias("terminal_mae"))
+    return rates.join(firsts, group, "left").join(last, group, "left")
+
+
+def execution_summary(df: DataFrame, group: list[str], episode: list[str], order: list[str], valid: Column, progress: Column, caption: Column, kept: int = 20) -> DataFrame:
+    """(group, rows, valid_rate, caption, regressions, falls): by group the share of valid rows, the mean caption score (0 for invalid rows), how often valid progress falls from one row to the next, and the largest such falls as episode@place:fall, ties by episode and place."""
+    by_time = Window.partitionBy(*group, *episode).orderBy(*order)
+    own = df.withColumns({"__v": valid, "__p": progress, "__c": caption}).withColumns({"__d": F.when(F.col("__v") & F.lag("__v").over(by_time), F.col("__p") - F.lag("__p").over(by_time)), "__k": F.row_number().over(by_time)})
+    sums = own.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.col("__v").cast("int")), 6).alias("valid_rate"), F.round(F.avg(F.when(F.col("__v"), F.col("__c")).otherwise(0.0)), 6).alias("caption"), F.count_if(F.col("__d") < 0).alias("regressions"))
+    worst = own.where("__d < 0").withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("__d", *episode, "__k"))).where(F.col("__n") <= kept)
+    told = worst.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.concat(F.concat_ws("/", *episode), F.lit("@"), F.col("__k"), F.lit(":"), -F.col("__d")).alias("t")))), lambda x: x["t"]), " ").alias("falls"))
+    return sums.join(told, group, "left")

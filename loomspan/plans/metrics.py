@@ -105,7 +105,36 @@ def customer_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("c_custkey", "c_nationkey", F.col("revenue").cast("double").alias("revenue"), "n_orders", F.row_number().over(rank).cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (largest_remainder_asc, largest_remainder_desc, replay_tasks, progress_error, regressions, error_summary, confusion, token_f1, paired_deltas, json_props, topk_types, price_summary, customer_revenue)}
+_AUDIT = "event_id % 3 AS context, user_id AS episode, event_id AS frame, event_type IN ('purchase', 'signup') AS said, event_id % 7 = 0 AS meant, event_type <> 'error' AS ok, floor(value) AS score, event_id % 4 = 0 AS same, CAST(floor(value) AS INT) - 30 AS off"
+
+
+def end_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends that events tell, by context: decisions, first ends and what is said at the true ones."""
+    own = table(spark, sf_dir, "events").selectExpr(*_split(_AUDIT))
+    c = F.col
+    return metrics.end_audit(own, ["context"], ["episode"], "frame", c("said"), c("meant"), c("ok"), c("score"), c("same"), c("off"))
+
+
+def _split(text: str) -> list[str]:
+    """Expressions with commas between them, but for those in brackets."""
+    out, depth = [""], 0
+    for part in text:
+        depth += (part == "(") - (part == ")")
+        if part == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += part
+    return [x.strip() for x in out]
+
+
+def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid rows, scores and the five largest falls of progress of users' events, by a third of the users."""
+    own = table(spark, sf_dir, "events").selectExpr("user_id % 3 AS part", "user_id", "event_id", "ts", "event_type <> 'error' AS ok", "CAST(floor(value) AS INT) AS p", "CAST(event_id % 7 AS DOUBLE) / 9 AS c")
+    out = metrics.execution_summary(own, ["part"], ["user_id"], ["ts", "event_id"], F.col("ok"), F.col("p"), F.col("c"), 5)
+    return out.select("part", "rows", "valid_rate", "caption", "regressions", "falls")
+
+
+QUERIES = {f.__name__: f for f in (largest_remainder_asc, largest_remainder_desc, replay_tasks, progress_error, regressions, error_summary, confusion, token_f1, paired_deltas, json_props, topk_types, price_summary, customer_revenue, end_audit, execution_summary)}
 
 
 def _remainder(total: int, order: str) -> str:
@@ -117,6 +146,18 @@ def _remainder(total: int, order: str) -> str:
 
 _STEP = "SELECT user_id, event_id, event_type, floor(value)::BIGINT AS v, lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events"
 ORACLES = {
+    "end_audit": f"""
+        WITH a AS (SELECT {_AUDIT} FROM events), d AS (SELECT context, count(*) FILTER (said AND meant) AS tp, count(*) FILTER (said AND NOT meant) AS fp, count(*) FILTER (NOT said AND meant) AS fn, count(*) FILTER (NOT said AND NOT meant) AS tn,
+            round(avg(((CASE WHEN ok THEN said ELSE NOT meant END) = meant)::INT), 6) AS strict_accuracy FROM a GROUP BY 1),
+        e AS (SELECT context, episode, max(frame) FILTER (meant) AS e, min(frame) FILTER (said AND ok) AS v, min(frame) FILTER (said) AS r FROM a GROUP BY ALL HAVING max(frame) FILTER (meant) IS NOT NULL),
+        f AS (SELECT context, count(*) AS episodes, round(avg(v - e), 6) AS first_end, count(*) FILTER (v IS NULL) AS no_end, round(avg(r - e), 6) AS first_raw_end, count(*) FILTER (r IS NULL) AS no_raw_end FROM e GROUP BY 1),
+        l AS (SELECT context, round(avg(CASE WHEN ok THEN score ELSE 0 END), 6) AS terminal_caption, round(avg((ok AND same)::INT), 6) AS terminal_exact, round(avg(CASE WHEN ok THEN abs(off) ELSE 100 END), 6) AS terminal_mae FROM a WHERE meant GROUP BY 1)
+        SELECT * FROM d LEFT JOIN f USING (context) LEFT JOIN l USING (context)""",
+    "execution_summary": """
+        WITH e AS (SELECT user_id % 3 AS part, user_id, event_type <> 'error' AS ok, floor(value)::INT AS p, CAST(event_id % 7 AS DOUBLE) / 9 AS c, row_number() OVER w AS k, lag(event_type <> 'error') OVER w AS ok0, lag(floor(value)::INT) OVER w AS p0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        d AS (SELECT *, CASE WHEN ok AND ok0 THEN p - p0 END AS d FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY d, user_id, k) AS n FROM d WHERE d < 0)
+        SELECT part, count(*) AS rows, round(avg(ok::INT), 6) AS valid_rate, round(avg(CASE WHEN ok THEN c ELSE 0 END), 6) AS caption, count(*) FILTER (d < 0) AS regressions,
+            (SELECT string_agg(user_id || '@' || k || ':' || -d, ' ' ORDER BY n.n) FROM n WHERE n.part = d.part AND n.n <= 5) AS falls FROM d GROUP BY part""",
     "largest_remainder_asc": _remainder(1000, "ASC"),
     "largest_remainder_desc": _remainder(997, "DESC"),
     "replay_tasks": """
