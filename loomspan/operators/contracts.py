@@ -4,18 +4,20 @@ A contract is a list of rules, each a name and what has to hold, in the order in
 they are asked; nested ones are asked of each element of a list in turn. Rules look at
 types as the JSON has them, at the order of an object's names, and at values. A document
 that keeps to all has null. Everything is built-in functions over the text and its
-parsed form, so a contract is one expression of a scan.
+parsed form, so a contract is one expression of a scan. A part is taken out of its
+document once, whatever number of rules look at it (``once``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import folded, is_latin_caption
+from loomspan.functions.text import bound, folded, is_latin_caption
 
 # Fields of the profiles, levels of the fields, decisions of the categories and names of the contexts.
 PROFILES = {
@@ -97,6 +99,28 @@ def document(text: Column) -> Node:
     return Node(text, F.try_parse_json(text))
 
 
+def once(rules: Callable[..., Column]) -> Callable[..., Column]:
+    """Rules of a node that is worked out once for all of them."""
+
+    @wraps(rules)
+    def own(node: Node, *more, **named) -> Column:
+        return bound(F.struct(node.text.alias("text"), node.value.alias("value")), lambda x: rules(Node(x["text"], x["value"]), *more, **named))
+
+    return own
+
+
+def parsed(rules: Callable[..., Column]) -> Callable[..., Column]:
+    """Rules of a node as rules of a document's text, which is parsed once; what else they are given is worked out once too."""
+
+    @wraps(rules)
+    def own(text: Column, *more: Column | None) -> Column:
+        node = document(text)
+        given = F.struct(node.text.alias("text"), node.value.alias("value"), *(c.alias(f"c{k}") for k, c in enumerate(more) if c is not None))
+        return bound(given, lambda x: rules(Node(x["text"], x["value"]), *(None if c is None else x[f"c{k}"] for k, c in enumerate(more))))
+
+    return own
+
+
 def rule(name: str, holds: Column) -> Column:
     """The name where the rule doesn't hold, or can't be told to."""
     return F.when(~F.coalesce(holds, F.lit(False)), F.lit(name))
@@ -116,45 +140,51 @@ def when(condition: Column, rules: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), rules)
 
 
+@once
 def _progress(node: Node, name: str = "progress") -> Column:
     return rule(name, node.whole().between(0, 100))
 
 
+@once
 def visible_text(node: Node) -> Column:
     """A string that a model may see: English, without terms and codes of the data's makers."""
-    text = node.string()
-    return first(
+    return bound(node.string(), lambda text: first(
         rule("text_no_string", text.isNotNull()),
         rule("text_empty", text.rlike(r"(?U)\S")),
         rule("text_not_english", text.rlike("[A-Za-z]")),
         rule("text_cjk", ~text.rlike("[㐀-鿿]")),
         rule("text_forbidden_term", ~text.rlike(_TERMS)),
         rule("text_failure_code", ~text.rlike(_CODE)),
-    )
+    ))
 
 
+@once
 def _caption(node: Node) -> Column:
-    return rule("caption", is_latin_caption(node.string()) & node.string().isNotNull())
+    return bound(node.string(), lambda text: rule("caption", is_latin_caption(text) & text.isNotNull()))
 
 
+@once
 def units(node: Node, name: str) -> Column:
     """A list of distinct units in their order."""
-    held = F.from_json(node.text, "array<string>")
     known = F.array(*map(F.lit, UNITS))
-    return first(
+    return bound(F.from_json(node.text, "array<string>"), lambda held: first(
         rule(f"{name}_no_list", node.is_list()),
         rule(f"{name}_unknown_or_repeated", (F.size(F.array_distinct(held)) == F.size(held)) & (F.size(F.array_except(held, known)) == 0)),
         rule(f"{name}_order", held == F.filter(known, lambda u: F.array_contains(held, u))),
-    )
+    ))
 
 
 _SPEC = ("prediction1_units", "prediction2_units", "plan_units")
 
 
-def output_spec(text: Column, category: Column) -> Column:
+@parsed
+def output_spec(node: Node, category: Column) -> Column:
     """What is asked of a model: units of both predictions and of the plan, as the category allows them."""
-    node = document(text)
-    one, two, plan = (F.from_json(node.at(c).text, "array<string>") for c in _SPEC)
+    lists = F.struct(*(F.from_json(node.at(c).text, "array<string>").alias(c) for c in _SPEC))
+    return bound(lists, lambda x: _spec_rules(node, category, *(x[c] for c in _SPEC)))
+
+
+def _spec_rules(node: Node, category: Column, one: Column, two: Column, plan: Column) -> Column:
     none = F.array().cast("array<string>")
     return first(
         rule("spec_no_object", node.is_object()),
@@ -165,38 +195,43 @@ def output_spec(text: Column, category: Column) -> Column:
     )
 
 
-def profile_id(text: Column) -> Column:
+@parsed
+def profile_id(node: Node) -> Column:
     """p1-..__p2-..__plan-.. of an output spec that keeps its contract; null for others."""
-    node = document(text)
     said = lambda c: F.array_join(F.from_json(node.at(c).text, "array<string>"), "-")
     name = F.concat(*(x for mark, c in zip(("p1-", "__p2-", "__plan-"), _SPEC, strict=True) for x in (F.lit(mark), F.when(said(c) == "", "none").otherwise(said(c)))))
-    return F.when(output_spec(text, F.lit("")).isNull(), name)
+    return F.when(output_spec(node.text, F.lit("")).isNull(), name)
 
 
+@once
 def plan(node: Node, joint: Column, name: str = "plan") -> Column:
     """A list of numbered actions with captions, and numbered segments where they are joint; not empty."""
 
     def segment(item: Node, k: Column) -> Column:
-        own = item.at("segment")
-        return first(rule("segment_names", item.has(("index", "segment"))), rule("segment_index", item.at("index").whole() == k), rule("segment_object", own.has(("caption",))), visible_text(own.at("caption")))
+        inner = once(lambda own: first(rule("segment_object", own.has(("caption",))), visible_text(own.at("caption"))))
+        return first(rule("segment_names", item.has(("index", "segment"))), rule("segment_index", item.at("index").whole() == k), inner(item.at("segment")))
 
-    def action(item: Node, k: Column) -> Column:
-        own = item.at("action")
+    segments = once(lambda own: first(rule("segments_no_list", own.is_list()), each(own, segment)))
+
+    @once
+    def inner(own: Node) -> Column:
         return first(
-            rule("action_names", item.has(("index", "action"))),
-            rule("action_index", item.at("index").whole() == k),
             rule("action_object", F.when(joint, own.has(("caption", "segments"))).otherwise(own.has(("caption",)))),
             visible_text(own.at("caption")),
-            when(joint, first(rule("segments_no_list", own.at("segments").is_list()), each(own.at("segments"), segment))),
+            when(joint, segments(own.at("segments"))),
         )
 
+    def action(item: Node, k: Column) -> Column:
+        return first(rule("action_names", item.has(("index", "action"))), rule("action_index", item.at("index").whole() == k), inner(item.at("action")))
+
     return first(rule(f"{name}_empty", node.is_list() & (F.size(node.items()) > 0)), each(node, action))
 
 
+@once
 def detail(node: Node, decision: Column, joint: Column) -> Column:
     """What goes with a decision: nothing, a new plan, a failure with a plan, or an outcome."""
-    failure = node.at("failure_analysis")
     names = ("failed_action_context", "expected_action", "observed_failure", "failure_type")
+    failed = once(lambda own: first(rule("failure_names", own.has(names)), *(visible_text(own.at(c)) for c in names), rule("failure_type", F.trim(own.at("failure_type").string()).isin(*_FAILURES))))
     return first(
         when(decision == "Continue", rule("continue_detail", F.coalesce(F.is_variant_null(node.value), F.lit(True)))),
         when(decision != "Continue", rule("detail_no_object", node.is_object())),
@@ -205,9 +240,7 @@ def detail(node: Node, decision: Column, joint: Column) -> Column:
             decision == "Takeover",
             first(
                 rule("takeover_names", node.has(("failure_analysis", "recovery_plan"))),
-                rule("failure_names", failure.has(names)),
-                *(visible_text(failure.at(c)) for c in names),
-                rule("failure_type", F.trim(failure.at("failure_type").string()).isin(*_FAILURES)),
+                failed(node.at("failure_analysis")),
                 plan(node.at("recovery_plan"), joint, "recovery_plan"),
             ),
         ),
@@ -215,6 +248,7 @@ def detail(node: Node, decision: Column, joint: Column) -> Column:
     )
 
 
+@once
 def _unit(node: Node) -> Column:
     """A unit that is there: a caption and its progress."""
     return first(
@@ -226,11 +260,15 @@ def _unit(node: Node) -> Column:
     )
 
 
+@once
 def predictions(node: Node, spec: Node) -> Column:
     """The current and the next prediction, each with the units that the spec asks for; the next one has no progress yet."""
 
     def one(item: Node, k: Column) -> Column:
         wanted = F.when(k == 1, F.from_json(spec.at(_SPEC[0]).text, "array<string>")).otherwise(F.from_json(spec.at(_SPEC[1]).text, "array<string>"))
+        return bound(wanted, lambda wanted: rules(item, k, wanted))
+
+    def rules(item: Node, k: Column, wanted: Column) -> Column:
         asked = lambda u: F.array_contains(wanted, u)
         names = F.concat(F.array(F.lit("index"), F.lit("role")), wanted)
         return first(
@@ -243,18 +281,22 @@ def predictions(node: Node, spec: Node) -> Column:
     return first(rule("two_predictions", node.is_list() & (F.size(node.items()) == 2)), each(node, one))
 
 
-def target(text: Column, category: Column, spec: Column) -> Column:
+@parsed
+def target(node: Node, category: Column, spec: Column) -> Column:
     """A model's whole output by category: a plan, a decision alone, or progress, predictions and a decision."""
-    node, asked = document(text), document(spec)
-    joint = F.array_contains(F.from_json(asked.at("plan_units").text, "array<string>"), "segment")
-    decision = node.at("execution_decision").string()
+    asked = document(spec)
+    shared = F.struct(asked.value.alias("asked"), F.array_contains(F.from_json(asked.at("plan_units").text, "array<string>"), "segment").alias("joint"), node.at("execution_decision").string().alias("decision"))
+    return bound(shared, lambda x: _target_rules(node, category, Node(spec, x["asked"]), x["joint"], x["decision"]))
+
+
+def _target_rules(node: Node, category: Column, asked: Node, joint: Column, decision: Column) -> Column:
     allowed = F.lit(False)
     for name, decisions in DECISIONS.items():
         allowed = F.when(category == name, decision.isin(*decisions)).otherwise(allowed)
     alone = category.isin("takeover", "replan")
     return first(
         rule("category", category.isin("initial_plan", *DECISIONS)),
-        output_spec(spec, category),
+        output_spec(asked.text, category),
         rule("target_no_object", node.is_object()),
         when(category == "initial_plan", first(rule("target_names", node.has(("initial_plan",))), plan(node.at("initial_plan"), joint, "initial_plan"))),
         when(alone, first(rule("target_names", node.has(("execution_decision", "decision_detail"))), rule("decision_of_category", allowed), detail(node.at("decision_detail"), decision, joint))),
@@ -272,6 +314,7 @@ def target(text: Column, category: Column, spec: Column) -> Column:
     )
 
 
+@once
 def long_memory(node: Node) -> Column:
     """At most eight numbered pairs of action and segment, none twice."""
 
@@ -288,6 +331,7 @@ def long_memory(node: Node) -> Column:
     return first(rule("long_memory_no_list", node.is_list()), rule("long_memory_size", F.size(node.items()) <= MEMORY), each(node, item), rule("long_memory_repeated", F.size(F.array_distinct(pairs)) == F.size(pairs)))
 
 
+@once
 def short_memory(node: Node) -> Column:
     """Nothing, or progress and the units of the last prediction."""
     last = node.at("prediction1")
@@ -304,9 +348,9 @@ def short_memory(node: Node) -> Column:
     )
 
 
-def prompt_context(text: Column, context: Column, category: Column, spec: Column) -> Column:
+@parsed
+def prompt_context(node: Node, context: Column, category: Column, spec: Column) -> Column:
     """What a prompt may hold by the name of its context: nothing, memories, or memories and the initial plan."""
-    node = document(text)
     joint = F.array_contains(F.from_json(document(spec).at("plan_units").text, "array<string>"), "segment")
     wanted = F.lit(False)
     for name, names in CONTEXTS.items():
@@ -323,6 +367,7 @@ def prompt_context(text: Column, context: Column, category: Column, spec: Column
     )
 
 
+@once
 def _level(node: Node, field: str, next_one: Column | None = None, more: Sequence[str] = ()) -> Column:
     """A unit of a level: level, source (of the lowest), caption and what else it has."""
     names = ("level", *(("source",) if field == "l0" else ()), "caption", *more)
@@ -336,6 +381,7 @@ def _level(node: Node, field: str, next_one: Column | None = None, more: Sequenc
     )
 
 
+@once
 def _task(node: Node, more: Sequence[str] = ()) -> Column:
     return first(rule("task_names", node.has(("level", "caption", *more))), rule("task_level", node.at("level").string() == "L3"), _caption(node.at("caption")), *([_progress(node.at("progress_percent"), "task_progress")] if more else []))
 
@@ -344,31 +390,40 @@ def _by_profile(profile: Column, rules: Callable[[tuple[str, ...]], Column]) ->
     return first(rule("profile", profile.isin(*PROFILES)), *(when(profile == name, rules(fields)) for name, fields in PROFILES.items()))
 
 
-def level_target(text: Column, profile: Column, count: Column | None = None) -> Column:
+@parsed
+def level_target(node: Node, profile: Column, count: Column | None = None) -> Column:
     """A task and one or two predictions with a unit for each of the profile's fields."""
-    node = document(text)
-    said = node.at("predictions")
 
     def one(fields: tuple[str, ...]) -> Callable[[Node, Column], Column]:
         return lambda item, k: first(
             rule("prediction_names", item.has(("index", *fields))), rule("prediction_index", item.at("index").whole() == k), *(_level(item.at(f), f, k == 2, ("progress_percent",)) for f in fields)
         )
 
-    n = F.size(said.items())
+    @once
+    def inner(said: Node) -> Column:
+        n = F.size(said.items())
+        return first(
+            rule("predictions_count", said.is_list() & n.isin(1, 2)),
+            *([rule("predictions_expected", F.coalesce(n == count, count.isNull()))] if count is not None else []),
+            _by_profile(profile, lambda fields: each(said, one(fields))),
+        )
+
     return first(
         rule("profile", profile.isin(*PROFILES)),
         rule("target_names", node.has(("task", "predictions"))),
         _task(node.at("task"), ("progress_percent",)),
-        rule("predictions_count", said.is_list() & n.isin(1, 2)),
-        *([rule("predictions_expected", F.coalesce(n == count, count.isNull()))] if count is not None else []),
-        _by_profile(profile, lambda fields: each(said, one(fields))),
+        inner(node.at("predictions")),
     )
 
 
-def window_target(text: Column, profile: Column, ends: Column) -> Column:
+@parsed
+def window_target(node: Node, profile: Column, ends: Column) -> Column:
     """A target of two predictions whose next units say that the task is complete exactly where the window ends it."""
-    node = document(text)
-    now, then = (Node(F.get(node.at("predictions").items(), F.lit(k))["text"], F.get(node.at("predictions").items(), F.lit(k))["value"]) for k in (0, 1))
+    return first(level_target(node.text, profile, F.lit(2)), bound(node.at("predictions").items(), lambda items: _window_rules(items, profile, ends)))
+
+
+def _window_rules(items: Column, profile: Column, ends: Column) -> Column:
+    now, then = (Node(F.get(items, F.lit(k))["text"], F.get(items, F.lit(k))["value"]) for k in (0, 1))
     is_end = lambda item, f: F.coalesce(item.at(f).at("caption").string() == TERMINAL, F.lit(False))
 
     def rules(fields: tuple[str, ...]) -> Column:
@@ -381,39 +436,45 @@ def window_target(text: Column, profile: Column, ends: Column) -> Column:
             when(~ends, rule("terminal_inside", none)),
         )
 
-    return first(level_target(text, profile, F.lit(2)), _by_profile(profile, rules))
+    return _by_profile(profile, rules)
 
 
-def level_plan(text: Column, profile: Column, count: Column | None = None) -> Column:
+@parsed
+def level_plan(node: Node, profile: Column, count: Column | None = None) -> Column:
     """A task and its plan: numbered units of the profile's first level, each with those of the next one in it."""
-    node = document(text)
 
     def unit(fields: tuple[str, ...]) -> Callable[[Node, Column], Column]:
         field, below = fields[0], fields[1:]
         more = (CHILDREN[below[0]],) if below else ()
 
+        children = once(lambda held: first(rule("children", held.is_list() & (F.size(held.items()) > 0)), each(held, unit(below))))
+        inner = once(lambda own: first(_level(own, field, None, more), *([children(own.at(more[0]))] if below else [])))
+
         def rules(item: Node, k: Column) -> Column:
-            own = item.at(field)
-            inner = [rule("children", own.at(more[0]).is_list() & (F.size(own.at(more[0]).items()) > 0)), each(own.at(more[0]), unit(below))] if below else []
-            return first(rule("plan_names", item.has(("index", field))), rule("plan_index", item.at("index").whole() == k), _level(own, field, None, more), *inner)
+            return first(rule("plan_names", item.has(("index", field))), rule("plan_index", item.at("index").whole() == k), inner(item.at(field)))
 
         return rules
 
-    said = node.at("initial_plan")
+    @once
+    def units_of(said: Node) -> Column:
+        return first(
+            rule("plan_empty", said.is_list() & (F.size(said.items()) > 0)),
+            *([rule("plan_expected", F.coalesce(F.size(said.items()) == count, count.isNull()))] if count is not None else []),
+            _by_profile(profile, lambda fields: each(said, unit(fields))),
+        )
+
     return first(
         rule("profile", profile.isin(*PROFILES)),
         rule("target_names", node.has(("task", "initial_plan"))),
         _task(node.at("task")),
-        rule("plan_empty", said.is_list() & (F.size(said.items()) > 0)),
-        *([rule("plan_expected", F.coalesce(F.size(said.items()) == count, count.isNull()))] if count is not None else []),
-        _by_profile(profile, lambda fields: each(said, unit(fields))),
+        units_of(node.at("initial_plan")),
     )
 
 
-def instructed_target(text: Column, profile: Column, kind: Column, instruction: Column, ends: Column) -> Column:
+@parsed
+def instructed_target(node: Node, profile: Column, kind: Column, instruction: Column, ends: Column) -> Column:
     """A window's target or an initial plan without its task, which the prompt's instruction stands for."""
-    node = document(text)
-    whole = F.get_json_object(text, "$.task_progress_percent")
+    whole = node.at("task_progress_percent").text
     said = F.to_json(F.struct(F.lit("L3").alias("level"), instruction.alias("caption")))
     window = F.concat(F.lit('{"task":'), said.substr(F.lit(1), F.length(said) - 1), F.lit(',"progress_percent":'), whole, F.lit('},"predictions":'), node.at("predictions").text, F.lit("}"))
     planned = F.concat(F.lit('{"task":'), said, F.lit(',"initial_plan":'), node.at("initial_plan").text, F.lit("}"))

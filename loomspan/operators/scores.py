@@ -29,14 +29,15 @@ def _leaves(said: dict, true: dict, fields: tuple[str, ...]) -> list[bool]:
     return out
 
 
-def _scored(text: pd.Series, target: pd.Series, profile: pd.Series, error: pd.Series) -> pd.DataFrame:
+def _scored(text: pd.Series, target: pd.Series, profile: pd.Series) -> pd.DataFrame:
     rows = []
-    for said, true, name, broken in zip(text, target, profile, error, strict=True):
+    for said, true, name in zip(text, target, profile, strict=True):
         try:
-            right = [] if broken is not None else _leaves(json.loads(said), json.loads(true), contracts.PROFILES[name])
-        except (ValueError, KeyError, TypeError, AttributeError):
-            broken = "target"
-        rows.append((0.0, False, False, 0, 1, broken) if broken is not None else (sum(right) / len(right), all(right), True, sum(right), len(right), None))
+            right = _leaves(json.loads(said), json.loads(true), contracts.PROFILES[name])
+        except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+            rows.append((0.0, False, False, 0, 1, "target"))
+        else:
+            rows.append((sum(right) / len(right), all(right), True, sum(right), len(right), None))
     return pd.DataFrame(rows, columns=["score", "exact", "valid", "matched", "total", "error"], dtype=object)
 
 
@@ -50,9 +51,11 @@ def target_scores(df: DataFrame, text: str, target: str, profile: str) -> DataFr
     does one whose target can't be read (target).
     """
     said = F.trim(text)
-    own = df.withColumns({"__said": said, "__broken": contracts.level_target(said, F.col(profile))})
-    scored = F.pandas_udf(_scored, "score double, exact boolean, valid boolean, matched int, total int, error string")("__said", target, profile, "__broken")
-    return own.withColumn("scored", scored).drop("__said", "__broken")
+    kind = "score double, exact boolean, valid boolean, matched int, total int, error string"
+    own = df.withColumns({"__broken": contracts.level_target(said, F.col(profile)), "__scored": F.pandas_udf(_scored, kind)(said, target, profile)})
+    # what breaks the contract counts, whatever its leaves are
+    broken = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("exact"), F.lit(False).alias("valid"), F.lit(0).alias("matched"), F.lit(1).alias("total"), F.col("__broken").alias("error"))
+    return own.withColumn("scored", F.when(F.col("__broken").isNotNull(), broken).otherwise(F.col("__scored"))).drop("__broken", "__scored")
 
 
 def score_report(df: DataFrame, score: str, top: int = 10) -> DataFrame:
