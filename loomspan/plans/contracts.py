@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text
 from loomspan.operators import hierarchy
+from loomspan.operators.ranking import checkpointed
 from loomspan.plans.hierarchy import _RANGES, _UNITS, _gapped, _links, units
 from loomspan.sources import jsonl
 from loomspan.sources.tables import table
@@ -18,13 +19,15 @@ _SOURCE = "CASE WHEN level = 0 AND id % 53 = 0 THEN 'auto' ELSE 'segment' END"
 def level_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each level of an episode, the first unit by time that breaks a rule, and the rule; no row where all hold."""
     own = units(spark, sf_dir).withColumn("end", F.expr("CASE WHEN id % 89 = 0 THEN end + 40 ELSE end END"))
-    own = own.unionByName(own.where("id % 97 = 0")).select("*", F.expr(_CAPTION).alias("caption"), F.expr(_SOURCE).alias("source"))
+    # some units come twice, made in one pass
+    own = own.withColumn("__copy", F.explode(F.expr("CASE WHEN id % 97 = 0 THEN array(0, 1) ELSE array(0) END"))).drop("__copy").select("*", F.expr(_CAPTION).alias("caption"), F.expr(_SOURCE).alias("source"))
     return hierarchy.verdicts(own, F.lit(2380), 2)
 
 
 def grid_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors on one grid of each episode where its units are labelled, and one forced into the last unit if the grid misses it."""
-    return hierarchy.grid_anchors(units(spark, sf_dir), _gapped(spark, sf_dir), 1, 20)
+    own = checkpointed(units(spark, sf_dir))
+    return hierarchy.grid_anchors(own, _gapped(spark, sf_dir, own), 1, 20)
 
 
 def plan_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

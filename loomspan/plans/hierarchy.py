@@ -53,8 +53,8 @@ def point_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.holding(orders, units(spark, sf_dir), 2, "day").select("point", "day", "unit")
 
 
-def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.labelled(units(spark, sf_dir).where("level = 1 or id % 3 <> 0"), 1, 0)
+def _gapped(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    return hierarchy.labelled((units(spark, sf_dir) if own is None else own).where("level = 1 or id % 3 <> 0"), 1, 0)
 
 
 def labelled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
