@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.hashing import joined
+from loomspan.functions.text import bound
 from loomspan.operators.ranking import global_rank
 
 VERSION = "context-noise-v1"
@@ -23,13 +24,13 @@ _CLEAN = ("no_memory_no_initial", "with_memory_no_initial", "with_memory_with_in
 class Seed:
     """The 64 bits as two halves; shifted to the right by so many bits."""
 
-    def __init__(self, text: Column, shift: int = 0):
-        digest = F.sha2(text, 256)
-        self.text, self.shift = text, shift
-        self.high, self.low = (F.conv(F.substring(digest, k, 8), 16, 10).cast("bigint") for k in (1, 9))
+    def __init__(self, text: Column | None, shift: int = 0, halves: Column | None = None):
+        self.shift = shift
+        self.halves = bound(F.sha2(text, 256), lambda d: F.struct(*(F.conv(F.substring(d, k, 8), 16, 10).cast("bigint").alias(name) for k, name in ((1, "high"), (9, "low"))))) if halves is None else halves
+        self.high, self.low = self.halves["high"], self.halves["low"]
 
     def __rshift__(self, bits: int) -> Seed:
-        return Seed(self.text, self.shift + bits)
+        return Seed(None, self.shift + bits, self.halves)
 
     def __mod__(self, n: Column | int) -> Column:
         """The remainder by a number below 2**31."""
@@ -89,7 +90,8 @@ def donated(df: DataFrame, donors: DataFrame, episode: str, profile: str, seed:
     starts = ranked.groupBy("profile").agg(F.min("rank").alias("__start"), F.count(F.lit(1)).alias("__n"))
     own = ranked.groupBy("profile", "episode").agg(F.min("rank").alias("__first"), F.count(F.lit(1)).alias("__own"))
     named = lambda t, *keys: t.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in t.columns if c.startswith("__")))
-    out = df.join(named(starts, "profile"), F.col(profile) == F.col("__profile"), "left").drop("__profile")
+    # one row for each profile: dealt out by it, a profile's rows would all be one task's
+    out = df.join(F.broadcast(named(starts, "profile")), F.col(profile) == F.col("__profile"), "left").drop("__profile")
     out = out.join(named(own, "profile", "episode"), (F.col(profile) == F.col("__profile")) & (F.col(episode) == F.col("__episode")), "left").drop("__profile", "__episode")
     left = F.col("__n") - F.coalesce("__own", F.lit(0))
     place = F.col("__start") + seed % F.greatest(left, F.lit(1))
@@ -106,7 +108,10 @@ def noisy(df: DataFrame, sample: str, context: str, long: str, short: str, plan:
     next. With a plan, that is damaged too. donor is the column of ``donated``. changed
     tells whether anything is another than before; where nothing can be done, kind is null.
     """
-    seed = Seed(joined(F.col(sample), F.col(context), VERSION))
+    columns = df.columns
+    # hashed once for all that is decided by it
+    df = df.withColumn("__seed", Seed(joined(F.col(sample), F.col(context), VERSION)).halves)
+    seed = Seed(None, 0, F.col("__seed"))
     ways = {
         "progress_0_100": (F.col(long), progress_noise(F.col(short), seed), F.col(short).isNotNull()),
         "causal_window_shift": (window_noise(F.col(long), seed), F.col(short), F.size(F.coalesce(F.col(long), F.array())) >= 2),
@@ -131,7 +136,7 @@ def noisy(df: DataFrame, sample: str, context: str, long: str, short: str, plan:
             F.col("__kind").alias("kind"), F.col("__long").alias("long"), F.col("__short").alias("short"), F.col("__plan.kind").alias("plan_kind"), F.col("__plan.at").alias("plan_at"), F.col("__plan.other").alias("plan_other"),
             F.col("__plan.plan").alias("plan"), F.coalesce(F.col("__kind").isNotNull() & changed, F.lit(False)).alias("changed"),
         )
-    return out.withColumn("noise", parts).select(*df.columns, "noise")
+    return out.withColumn("noise", parts).select(*columns, "noise")
 
 
 def clean_contexts(df: DataFrame, long: str, plan: str) -> DataFrame:
@@ -154,12 +159,21 @@ def augmented(items: Column, key: Column, probability: Column) -> Column:
     gt: left as it is; replace_skipped: there is no other item. Each operation is as
     likely; the draws are of the hash, not of another generator's sequence.
     """
-    seed = Seed(joined(key, "augment-v1"))
-    n = F.greatest(F.size(items), F.lit(1))
-    at = (seed >> 20) % n
-    hit = F.get(items, at.cast("int"))
-    others = F.filter(items, lambda x: x != hit)
-    other = F.get(others, ((seed >> 24) % F.greatest(F.size(others), F.lit(1))).cast("int"))
+    given = F.struct(items.alias("items"), Seed(joined(key, "augment-v1")).halves.alias("seed"))
+    return bound(given, lambda x: _placed(x["items"], Seed(None, 0, x["seed"]), probability))
+
+
+def _placed(items: Column, seed: Seed, probability: Column) -> Column:
+    at = (seed >> 20) % F.greatest(F.size(items), F.lit(1))
+    return bound(F.struct(at.alias("at"), F.get(items, at.cast("int")).alias("hit")), lambda x: _others(items, seed, probability, x["at"], F.filter(items, lambda y: y != x["hit"])))
+
+
+def _others(items: Column, seed: Seed, probability: Column, at: Column, others: Column) -> Column:
+    chosen = bound(others, lambda o: F.get(o, ((seed >> 24) % F.greatest(F.size(o), F.lit(1))).cast("int")))
+    return bound(F.struct(chosen.alias("other")), lambda x: _damaged(items, seed, probability, at, x["other"]))
+
+
+def _damaged(items: Column, seed: Seed, probability: Column, at: Column, other: Column) -> Column:
     draw = (seed % 1_000_003) / 1_000_003.0
     go = (F.size(items) > 0) & (draw < probability)
     which = (seed >> 12) % len(_OPERATIONS)
