@@ -13,6 +13,7 @@ joined with everything, and no row leaves its task.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -33,14 +34,21 @@ def features(caption: str) -> list[str]:
     return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)), *(whole[k : k + 3] for k in range(len(whole) - 2))]
 
 
+@lru_cache(1 << 18)
+def _place(feature: str) -> tuple[int, int]:
+    """Dimension and sign of a feature."""
+    raw = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big")
+    return raw % DIMENSIONS, -1 if raw >> 63 else 1
+
+
 def vectors(captions: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature counts of each (normalised) caption, and their squared lengths."""
     captions = list(captions)
     out = np.zeros((len(captions), DIMENSIONS), np.int16)
     for row, caption in zip(out, captions, strict=True):
         for feature in features(caption):
-            raw = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big")
-            row[raw % DIMENSIONS] += -1 if raw >> 63 else 1
+            place, sign = _place(feature)
+            row[place] += sign
     wide = out.astype(np.int64)
     return out, (wide * wide).sum(axis=1)
 

@@ -34,6 +34,7 @@ STABLE, DONE, SHOWN = 2, 80, 8
 _END = re.compile(r"[\s.,;:!?。！？，；：…]+$")
 
 
+@lru_cache(1 << 14)
 def canonical(caption: str) -> str:
     one = " ".join(caption.split()).casefold()
     return "" if one in NULL_WORDS else _END.sub("", one)
@@ -44,6 +45,12 @@ def _vocabulary(captions: tuple[str, ...]) -> Vocabulary:
     return Vocabulary(map(canonical, captions))
 
 
+@lru_cache(1 << 14)
+def _named(caption: str, known: tuple[str, ...]) -> str:
+    return canonical_states(caption, _vocabulary(known))
+
+
+@lru_cache(1 << 14)
 def alike(left: str, right: str) -> bool:
     return likeness(canonical(left), canonical(right)) >= ALIKE
 
@@ -79,7 +86,7 @@ class Memory:
 
     def named(self, caption: str) -> str:
         """The known caption that stands for one, or itself."""
-        return canonical_states(canonical(caption), _vocabulary(self.known)) if self.known else caption
+        return _named(canonical(caption), self.known) if self.known else caption
 
     @property
     def committed(self) -> list[str]:
