@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import interval_key, is_latin_caption
+from loomspan.functions.text import bound, interval_key, is_latin_caption
 
 _ITEMS = "array<struct<start:bigint,finish:bigint,caption:string>>"
 
@@ -57,7 +57,10 @@ def entries(text: Column) -> Column:
             _words(F.coalesce(_get(v, "caption_en"), _get(v, "caption"))).alias("caption"),
         ),
     )
-    both = F.coalesce(keyed, listed)
+    return bound(F.coalesce(keyed, listed), lambda both: _read(text, both))
+
+
+def _read(text: Column, both: Column) -> Column:
     items = F.transform(F.filter(both, lambda e: e["at"].isNotNull()), lambda e: F.struct(e["at"]["start"].alias("start"), e["at"]["end"].alias("finish"), e["caption"].alias("caption")))
     nothing = F.coalesce(F.trim(text) == "null", F.lit(True))
     broken = ~nothing & F.coalesce(F.exists(both, lambda e: e["at"].isNull()), F.lit(True))
@@ -143,5 +146,9 @@ def strict_intervals(text: Column, total: Column | None = None, required: bool =
 
 def alignable(actions: Column, segments: Column) -> Column:
     """Whether each of two arrays of (start, finish) has entries and each entry overlaps one of the other."""
+    return bound(F.struct(actions.alias("a"), segments.alias("b")), lambda x: _alignable(x["a"], x["b"]))
+
+
+def _alignable(actions: Column, segments: Column) -> Column:
     meets = lambda a, b: F.forall(a, lambda x: F.exists(b, lambda y: F.least(x["finish"], y["finish"]) > F.greatest(x["start"], y["start"])))
     return (F.size(actions) > 0) & (F.size(segments) > 0) & meets(actions, segments) & meets(segments, actions)
