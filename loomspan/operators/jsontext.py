@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import unfenced
+from loomspan.functions.text import bound, unfenced
 
 _PIECE = re.compile(r'"(?:[^"\\]|\\.)*+("|\\?\Z)|[\[\]{}]', re.S)
 _OPENS = {"]": "[", "}": "{"}
@@ -184,10 +184,13 @@ def compacted(plan: Column, actions: int = 12, segments: int = 4) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("repeated"), F.lit(0).alias("above"))
 
         def step(acc: Column, c: Column) -> Column:
-            known, full = F.array_contains(acc["seen"], key(c)), F.size(acc["kept"]) >= most
+            return bound(key(c), lambda k: taken_in(acc, c, k))
+
+        def taken_in(acc: Column, c: Column, k: Column) -> Column:
+            known, full = F.array_contains(acc["seen"], k), F.size(acc["kept"]) >= most
             return F.struct(
                 F.when(known | full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(c))).alias("kept"),
-                F.when(known | full, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(key(c)))).alias("seen"),
+                F.when(known | full, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(k))).alias("seen"),
                 (acc["repeated"] + known.cast("int")).alias("repeated"),
                 (acc["above"] + (~known & full).cast("int")).alias("above"),
             )
@@ -198,14 +201,17 @@ def compacted(plan: Column, actions: int = 12, segments: int = 4) -> Column:
     start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast("array<string>").alias("seen"), *(F.lit(0).alias(c) for c in ("repeated_actions", "repeated_segments", "above_actions", "above_segments")))
 
     def step(acc: Column, a: Column) -> Column:
-        known, full = F.array_contains(acc["seen"], key(a["caption"])), F.size(acc["kept"]) >= actions
-        taken = ~known & ~full
         inner = first(F.coalesce(a["segments"], F.array().cast("array<string>")), segments)
+        return bound(F.struct(key(a["caption"]).alias("key"), inner.alias("inner")), lambda x: joined(acc, a, x["key"], x["inner"]))
+
+    def joined(acc: Column, a: Column, k: Column, inner: Column) -> Column:
+        known, full = F.array_contains(acc["seen"], k), F.size(acc["kept"]) >= actions
+        taken = ~known & ~full
         some = a["segments"].isNull() | (F.size(inner["kept"]) > 0)
         own = F.struct(a["caption"].alias("caption"), F.when(a["segments"].isNotNull(), inner["kept"]).alias("segments"))
         return F.struct(
             F.when(taken & some, F.concat(acc["kept"], F.array(own))).otherwise(acc["kept"]).alias("kept"),
-            F.when(taken, F.concat(acc["seen"], F.array(key(a["caption"])))).otherwise(acc["seen"]).alias("seen"),
+            F.when(taken, F.concat(acc["seen"], F.array(k))).otherwise(acc["seen"]).alias("seen"),
             (acc["repeated_actions"] + known.cast("int")).alias("repeated_actions"),
             (acc["repeated_segments"] + F.when(taken, inner["repeated"]).otherwise(0)).alias("repeated_segments"),
             (acc["above_actions"] + (~known & full).cast("int")).alias("above_actions"),
