@@ -61,12 +61,17 @@ def target_scores(df: DataFrame, text: str, target: str, profile: str) -> DataFr
 def score_report(df: DataFrame, score: str, top: int = 10) -> DataFrame:
     """One row: samples, mean score, shares of exact and valid ones, and the most frequent errors (ties by name) as name:count."""
     own = df.select(f"{score}.*")
-    errors = own.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error").limit(top)
-    told = errors.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "error"))), lambda x: F.concat_ws(":", x["error"], -x["m"])), ",").alias("top_errors"))
-    rate = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9)
-    sums = own.agg(F.count(F.lit(1)).alias("samples"), rate("score").alias("score"), rate(F.col("exact").cast("int")).alias("exact_rate"), rate(F.col("valid").cast("int")).alias("valid_rate"))
-    # both are one row, of one group
-    return sums.withColumn("__one", F.lit(1)).join(told.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    rate = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    # all samples and each error's in one pass, as a score may be costly; a filter or a second pass would work it out again
+    sums = own.rollup("error").agg(F.grouping("error").alias("all"), F.count(F.lit(1)).alias("n"), rate("score").alias("score"), rate(F.col("exact").cast("int")).alias("exact"), rate(F.col("valid").cast("int")).alias("valid"))
+    # the row of all, then the errors, then what has none
+    kept = sums.orderBy(F.desc("all"), F.col("error").isNull(), F.desc("n"), "error").limit(top + 1)
+    whole = lambda c, none: F.coalesce(F.max(F.when(F.col("all") == 1, F.col(c))), F.lit(none))
+    told = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct((-F.col("n")).alias("m"), "error"))))
+    return kept.agg(
+        whole("n", 0).alias("samples"), *(F.round(whole(c, 0.0), 9).alias(name) for c, name in (("score", "score"), ("exact", "exact_rate"), ("valid", "valid_rate"))),
+        F.array_join(F.transform(told, lambda x: F.concat_ws(":", x["error"], -x["m"])), ",").alias("top_errors"),
+    )
 
 
 def rollout_summary(df: DataFrame, group: list[str], slot: str, valid: str, caption: str, progress: str, expected: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import scores
 from loomspan.plans.targets import _WINDOW, _case
-from loomspan.sources.tables import table
+from loomspan.sources.tables import dealt, table
 
 _SQL = lambda text: "'" + text.replace("'", "''").replace("NAME", "' || p_name || '") + "'"
 _SAID = (
@@ -17,7 +17,8 @@ _SAID = (
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select("p_partkey", F.expr(_case([_SQL(s[0]) for s in _SAID])).alias("said"), F.expr(_SQL(_WINDOW)).alias("meant"), F.lit("L3L1L0").alias("profile"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    own = part.select("p_partkey", F.expr(_case([_SQL(s[0]) for s in _SAID])).alias("said"), F.expr(_SQL(_WINDOW)).alias("meant"), F.lit("L3L1L0").alias("profile"))
     return scores.target_scores(own, "said", "meant", "profile")
 
 
