@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import contracts
-from loomspan.sources.tables import table
+from loomspan.sources.tables import dealt, table
 
 Faults = Sequence[tuple[str, str, str | None]]
 
@@ -130,7 +130,7 @@ _TREES = [
 
 
 def _judged(spark: SparkSession, sf_dir: str, name: Column) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", name.alias("rule"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", name.alias("rule"))
 
 
 def target_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def target_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that each output spec breaks, and the ids of those that keep to theirs."""
     spec = F.expr(_quoted(_SPECS, 0))
-    return table(spark, sf_dir, "part").select("p_partkey", contracts.output_spec(spec, F.expr(_quoted(_SPECS, 1))).alias("rule"), contracts.profile_id(spec).alias("profile_id"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", contracts.output_spec(spec, F.expr(_quoted(_SPECS, 1))).alias("rule"), contracts.profile_id(spec).alias("profile_id"))
 
 
 def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:

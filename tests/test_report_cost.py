@@ -7,6 +7,7 @@ import pytest
 
 from loomspan.operators import scores
 from loomspan.plans import scores as plans
+from loomspan.plans import targets
 
 KIND = "scored struct<score:double,exact:boolean,valid:boolean,matched:int,total:int,error:string>"
 
@@ -23,6 +24,13 @@ def test_one_small_file_is_scored_by_all_tasks(spark, small, name):
     assert plan.index("ArrowEvalPython") < plan.index("Repartition ")
 
 
+@pytest.mark.parametrize("name", sorted(targets.QUERIES))
+def test_one_small_file_is_judged_by_all_tasks(spark, small, name):
+    plan = targets.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {max(4, spark.sparkContext.defaultParallelism)}, true" in plan
+    assert plan.index("parseJson(") < plan.index("Repartition ")
+
+
 @pytest.mark.parametrize(("n", "kinds", "top"), [(0, 3, 10), (1, 1, 10), (300, 5, 10), (300, 40, 10), (300, 40, 1), (200, 0, 10)])
 def test_report_against_plain_python(spark, n, kinds, top):
     r = random.Random(n + kinds)
