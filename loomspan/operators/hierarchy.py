@@ -76,15 +76,16 @@ def verdicts(units: DataFrame, limit: Column, least: int) -> DataFrame:
 
 def grid_anchors(units: DataFrame, ranges: DataFrame, level: int, stride: int) -> DataFrame:
     """(episode, frame, forced): the frames of one grid from an episode's first unit on that lie in a labelled range; where the last unit gets none, its first labelled frame is forced."""
-    ranges = checkpointed(ranges)  # read twice, as what holds frames is
+    ranges = checkpointed(ranges)  # read twice, as spans are
     spans = units.where(F.col("level") == level).groupBy("episode").agg(F.min("start").alias("first"), F.max("end").alias("end"), F.max_by("id", F.struct("start", "end")).alias("unit"))
-    grid = spans.select("episode", F.explode(F.when(F.col("end") > F.col("first"), F.sequence("first", F.col("end") - 1, F.lit(stride).cast("long")))).alias("frame"))
-    at = grid.select("episode", "frame", F.col("frame").alias("l_start"), (F.col("frame") + 1).alias("l_end"))
-    held = intervals.overlaps(at, ranges.select("episode", "unit", F.col("lo").alias("r_start"), F.col("hi").alias("r_end")), ["episode"], BIN).select("episode", "frame", "unit").distinct()
-    held = checkpointed(held)
-    last = spans.select("episode", "unit")
-    missing = ranges.join(last, ["episode", "unit"]).groupBy("episode", "unit").agg(F.min("lo").alias("frame")).join(held.select("episode", "unit").distinct(), ["episode", "unit"], "left_anti")
-    every = held.select("episode", "frame", F.lit(False).alias("forced")).unionByName(missing.select("episode", "frame", F.lit(True).alias("forced")))
+    spans = checkpointed(spans)  # with its own exchange below the join, a hot episode's ranges can be split
+    # a range's frames are reckoned, not looked up: an episode's grid as a side of a join is many times what its size is taken for, and would be broadcast
+    step, lo, hi = F.lit(stride).cast("long"), F.greatest("lo", "first"), F.least("hi", "end")
+    at = lo + F.pmod(F.col("first") - lo, step)
+    meets = F.coalesce((F.col("hi") > F.col("lo")) & (F.col("end") > F.col("first")) & (at < hi), F.lit(False))
+    held = ranges.join(spans.drop("unit"), "episode").select("episode", F.explode(F.when(meets, F.sequence(at, hi - 1, step))).alias("frame"), F.lit(False).alias("forced"))
+    last = ranges.join(spans, ["episode", "unit"]).groupBy("episode", "unit").agg(F.min("lo").alias("frame"), F.max(meets).alias("met"))
+    every = held.unionByName(last.where("not met").select("episode", "frame", F.lit(True).alias("forced")))
     return every.groupBy("episode", "frame").agg(F.max("forced").alias("forced"))
 
 
